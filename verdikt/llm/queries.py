@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdikt.llm import langid, pii, ppm
 from verdikt.llm.line_dedup import dedup_lines
 from verdikt.llm.packing import pack_documents
 from verdikt.llm.url_reputation import judge_urls
@@ -23,17 +24,35 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def op2_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"), redact=False)
+
+
 def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def id_remainder(of: int) -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(of))
+
+
+def op5_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder(3) == 1
+    found = langid.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(read(spark, sf_dir, "documents"), min_length=1, min_documents=10, keep_first=False)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(read(spark, sf_dir, "documents"), id_remainder(7) == 2)
+
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -51,7 +70,10 @@ FROM marked GROUP BY doc_id
 
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
+    "op2_boosted_pii": op2_boosted_pii,
     "op3_nnls_packing": op3_nnls_packing,
+    "op5_hierarchical_language_id": op5_hierarchical_language_id,
     "op7_line_dedup": op7_line_dedup,
+    "op8_ppm_scoring": op8_ppm_scoring,
 }
 ORACLES = {"op7_line_dedup": OP7_SQL}
