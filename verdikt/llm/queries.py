@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.llm import langid, pii, ppm
+from verdikt.llm.nn_descent import nearest
+from verdikt.llm.order_minhash import near_duplicates
+from verdikt.llm.mixing import WEIGHTS, corpus_levels, mix
+from verdikt.llm.va_file import top_k
 from verdikt.llm.line_dedup import dedup_lines
 from verdikt.llm.packing import pack_documents
 from verdikt.llm.url_reputation import judge_urls
@@ -34,6 +38,29 @@ def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = read(spark, sf_dir, "embeddings")
+    return top_k(embeddings, embeddings.filter("vec_id % 50 = 0"))
+
+
+OP4_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def id_remainder(of: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
@@ -53,6 +80,16 @@ def op8_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(read(spark, sf_dir, "documents"), id_remainder(7) == 2)
 
 
+def op9_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """80 % of all tokens by weight, two epochs at most."""
+    mixed = mix(read(spark, sf_dir, "documents"), WEIGHTS, 0.8, corpus_levels(), max_epochs=2, seed=11)
+    return mixed.select("doc_id", "lang", "source", "epoch")
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
+
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -72,8 +109,12 @@ QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_boosted_pii": op2_boosted_pii,
     "op3_nnls_packing": op3_nnls_packing,
+    "op4_va_file_top_k": op4_va_file_top_k,
     "op5_hierarchical_language_id": op5_hierarchical_language_id,
+    "op6_nn_descent": op6_nn_descent,
     "op7_line_dedup": op7_line_dedup,
     "op8_ppm_scoring": op8_ppm_scoring,
+    "op9_hierarchical_mixing": op9_hierarchical_mixing,
+    "op10_order_minhash": op10_order_minhash,
 }
-ORACLES = {"op7_line_dedup": OP7_SQL}
+ORACLES = {"op4_va_file_top_k": OP4_SQL, "op7_line_dedup": OP7_SQL}
