@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import WHITE, ascii_lower, row_key
+from verdikt.llm.common import WHITE, ascii_lower, row_key, written
 
 #: Rows of one hash that reach the streaming window at most: its occurrences are summed up in so many parts.
 SALTS = 64
@@ -72,7 +72,7 @@ def keep_bitmaps(documents: DataFrame, id_column: str = "doc_id", text_column: s
     Hot lines: the join is an equi-join with one row per line on the right, so adaptive execution broadcasts a right
     side that it has measured to be small, and else splits a hot line's rows.
     """
-    lines = keyed_lines(documents, id_column, text_column, min_length)
+    lines = written(keyed_lines(documents, id_column, text_column, min_length), "lines")  # hashes alone, for both uses
     common = line_occurrences(lines, min_documents).withColumnsRenamed({"h1": "c1", "h2": "c2"})
     hit = lines.join(common, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
     if keep_first:
