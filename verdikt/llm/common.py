@@ -19,6 +19,15 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CHUNK_BYTES = 1 << 21
 
 
+#: Bytes of rows that Spark hands to Python at once, whatever the rows' number: texts may be long.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps what a Python worker holds small: Spark's own limit of 64 MB a batch is lowered, for this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors and the driver see; a session without one (tests) gets its own."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

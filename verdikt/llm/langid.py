@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import chunks, utf8
+from verdikt.llm.common import bounded_batches, chunks, utf8
 
 #: Families of languages by code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -158,6 +158,7 @@ def fit(labelled: DataFrame, per_language: int = 800, bits: int = 12) -> Classif
     """A classifier from text and lang of the rows (nulls take no part), of which at most per_language for each
     language, chosen by hash, are looked at: whole texts, whose features alone go to the driver. Equal rows count once.
     None without rows. Languages are taken to be few."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''").select("text", "lang", F.xxhash64("text", "lang").alias("h"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -192,6 +193,7 @@ def _has_letter(text: str) -> bool:
 def predict(documents: DataFrame, classifier: Classifier | None, text_column: str = "text") -> DataFrame:
     """The rows of documents with lang_pred and score, which replace columns of these names. Only the text is looked at.
     Null texts and texts without a letter, and all texts if nothing was learnt, get ``und`` and 0."""
+    bounded_batches(documents.sparkSession)
     kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(classifier)  # of a fixed size for each pair of languages

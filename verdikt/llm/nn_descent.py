@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import written
+from verdikt.llm.common import bounded_batches, written
 from verdikt.llm.vectors import matrix, usable
 
 EDGES = "u long, v long, s double"
@@ -189,6 +189,7 @@ def nearest(embeddings: DataFrame, asked: Column, k: int = 20, id_column: str =
     Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part; vectors meet
     those of their own dimension. Rows with an id count once, with their least vector.
     """
+    bounded_batches(embeddings.sparkSession)
     source = embeddings.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
     rows = source.filter(F.col("id").isNotNull() & usable(F.col("v"), nonzero=True))
     vectors = rows.groupBy("id").agg(F.min("v").alias("v"), F.bool_or("asked").alias("asked"))

@@ -8,22 +8,41 @@ best fit, again by length and count. Pieces are then numbered within their lengt
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import written
+from verdikt.llm.common import bounded_batches, written
 
 #: Pieces of one length are numbered in so many lots, so that no length has to meet in one task.
 LOTS = 256
-#: Parts of texts whose ids a worker keeps, until they take so many bytes.
-CACHE_BYTES = 48 << 20
+#: Parts of texts whose ids a worker keeps at most; others are encoded each time.
+KEPT_PARTS = 200_000
+#: Fixed value: how byte-level vocabularies of this kind split texts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Parts(dict):
+    """Ids of parts of texts, found when first asked for; the first ones are kept, up to a number."""
+
+    def __init__(self, encode: Callable[[str], list[int]], before: str) -> None:
+        self.encode, self.before = encode, before
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.encode(self.before + part)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < KEPT_PARTS and len(part) < 64:
+            self[part] = packed
+        return packed
 
 
 class Tokens:
@@ -31,7 +50,8 @@ class Tokens:
 
     A byte-level vocabulary never joins a blank to what stands before it, so a text can be cut before each blank and the
     parts' ids kept, unless a blank stands between white space; such texts, and those with something like a special
-    token, are encoded whole.
+    token, are encoded whole. Where the tokenizer's merges are numbered in their order, as in byte-level vocabularies,
+    parts are encoded by rank, which gives the same ids sooner.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,29 +59,27 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = re.compile(r"\s \s|<\|")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.kept = 0
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, known: dict[str, bytes], parts: list[str], before: str) -> None:
-        for part, ids in zip(parts, self.encode([before + p for p in parts]), strict=True):
-            known[part] = ids
-            self.kept += len(part) + len(ids) + 150
+        one = self.ranked(path) or (lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.first, self.later = Parts(one, ""), Parts(one, " ")
+
+    @staticmethod
+    def ranked(path: str) -> Callable[[str], list[int]] | None:
+        import tiktoken
+
+        setup = json.loads(Path(path).read_text())
+        vocabulary, merges = setup["model"]["vocab"], setup["model"].get("merges", [])
+        joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
+        if setup["pre_tokenizer"].get("type") != "ByteLevel" or setup.get("normalizer") or [vocabulary.get(j) for j in joined] != list(range(256, 256 + len(joined))):
+            return None
+        shown = {c: c for c in (*range(33, 127), *range(161, 173), *range(174, 256))}  # bytes that stand for themselves; others follow 255
+        shown |= {256 + n: c for n, c in enumerate(c for c in range(256) if c not in shown)}
+        ranks = {bytes(shown[ord(c)] for c in token): number for token, number in vocabulary.items() if number < 256 + len(joined)}
+        return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
         if self.whole.search(text):
-            return self.encode([text])[0]
-        parts = text.split(" ")
-        if self.kept > CACHE_BYTES:
-            self.first, self.later, self.kept = {}, {}, 0
-        head = parts.pop(0)
-        if head not in self.first:
-            self.learn(self.first, [head], "")
-        if new := set(parts).difference(self.later):
-            self.learn(self.later, list(new), " ")
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        head, *parts = text.split(" ")
         return self.first[head] + b"".join(map(self.later.__getitem__, parts))
 
 
@@ -71,6 +89,7 @@ _tokens: dict[str, Tokens] = {}
 def cut(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The pieces: doc_id, piece, start, length, ids_crc32 and lot. A document is its ids and then end_id; a longer one
     than capacity is cut into pieces of capacity tokens, of which the first may be shorter. A null text is empty."""
+    bounded_batches(documents.sparkSession)
     kind = documents.schema[id_column].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

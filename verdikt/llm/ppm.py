@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import chunks, row_key, utf8, word_hashes, written
+from verdikt.llm.common import bounded_batches, chunks, row_key, utf8, word_hashes, written
 
 END, PAD, BITS = 256, 257, 9
 WORD, GRAM, LAST = 0, 1, 2
@@ -277,6 +277,7 @@ def score_documents(documents: DataFrame, held_out: Column, order: int = 4, id_c
     their end is scored. Equal rows are learnt from and scored each. Without training rows the model is uniform and
     nothing is known. broadcast_entries: up to so many table entries (16 bytes each) the tables are broadcast.
     """
+    bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     counts = written(train(rows.filter(~F.col("held_out")), order), "counts")
     total = counts.agg(F.coalesce(F.sum(F.when(F.col("kind") != GRAM, F.col("n"))), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("kind") == LAST, F.col("n"))), F.lit(0)).alias("ends"), F.count_if(F.col("kind") == WORD).alias("kinds"), F.count("*").alias("entries")).first()

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdikt.llm.common import bounded_batches
 from verdikt.llm.vectors import blocks, unpacked, usable
 
 
@@ -65,6 +66,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, id_column: str
     of their own dimension. A repeated row is a candidate for itself each time; a repeated query id counts once, with
     its least vector.
     """
+    bounded_batches(embeddings.sparkSession)
     whole = lambda df: df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{vector_column}`").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))).select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
     once = whole(queries).groupBy("id").agg(F.min("v").alias("v"))
     asked = blocks(once, "id", "v", query_rows, "long").withColumnsRenamed({"dim": "q_dim", "block_ids": "q_ids", "block": "q_block"})
