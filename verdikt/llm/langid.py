@@ -77,22 +77,22 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _largest(x: np.ndarray, share: np.ndarray) -> float:
     """The largest eigenvalue of the weighted second moments, by power iteration: what a gradient step must stay below."""
-    v = np.ones(x.shape[1])
+    v = np.ones(x.shape[1], np.float32)
     value = 1.0
     for _ in range(15):
         v = x.T @ (share * (x @ v))
         value = float(np.linalg.norm(v)) or 1.0
-        v /= value
+        v /= np.float32(value)
     return 1.1 * value
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 120, penalty: float = 1e-4) -> np.ndarray:
     """Weights (a column for each class) of multinomial logistic regression, classes weighing the same; accelerated
-    gradient descent."""
-    share = 1 / np.bincount(y, minlength=classes)[y] / classes
+    gradient descent. All in single precision, like x, so that no product makes a wider copy of x."""
+    share = (1 / np.bincount(y, minlength=classes)[y] / classes).astype(np.float32)
     step = 1 / (0.5 * _largest(x, share) + penalty)
-    target = np.eye(classes)[y]
-    w = v = np.zeros((x.shape[1], classes))
+    target = np.eye(classes, dtype=np.float32)[y]
+    w = v = np.zeros((x.shape[1], classes), np.float32)
     for t in range(rounds):
         new = v - step * (x.T @ ((_softmax(x @ v) - target) * share[:, None]) + penalty * v)
         v, w = new + t / (t + 3) * (new - w), new
@@ -102,9 +102,10 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 120, p
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 120, penalty: float = 1e-3) -> np.ndarray:
     """Weights of a linear support vector machine with squared hinge loss; y: 1 and -1, which weigh the same. Scaled so
     that half of the rows lie beyond a margin of 1."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    y = y.astype(np.float32)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     step = 1 / (2 * _largest(x, share) + penalty)
-    w = v = np.zeros(x.shape[1])
+    w = v = np.zeros(x.shape[1], np.float32)
     for t in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
         new = v - step * (-2 * x.T @ (share * y * slack) + penalty * v)
@@ -113,7 +114,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 120, penalty: float = 1e
 
 
 class Classifier:
-    """Families, the softmax between them and the machines within."""
+    """Families, the softmax between them and the machines within. x, in single precision, is centred in place."""
 
     def __init__(self, x: np.ndarray, languages: list[str]) -> None:
         self.bits = int(x.shape[1]).bit_length() - 1
@@ -123,13 +124,13 @@ class Classifier:
         named = np.array(languages)
         family = np.array([self.families.index(family_of(c)) for c in languages])
         self.mean = x.mean(0)
-        x = x - self.mean
-        self.between = fit_softmax(x, family, len(self.families)).astype(np.float32) if len(self.families) > 1 else None
+        x -= self.mean
+        self.between = fit_softmax(x, family, len(self.families)) if len(self.families) > 1 else None
         self.within: dict[tuple[str, str], np.ndarray] = {}
         for members in self.members:
             for a, b in combinations(members, 2):
                 rows = (named == a) | (named == b)
-                self.within[a, b] = fit_svm(x[rows], np.where(named[rows] == a, 1.0, -1.0)).astype(np.float32)
+                self.within[a, b] = fit_svm(x[rows], np.where(named[rows] == a, 1.0, -1.0))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language of each row and how sure it is, 0 to 1: the family's share times the mean of the winner's votes."""
@@ -176,14 +177,18 @@ def fit(labelled: DataFrame, per_language: int = 800, bits: int = 12) -> Classif
                 x = features(data, at[a : b + 1], bits).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
 
-    found = chosen.select("text", "lang", "h").mapInArrow(look, "lang string, h long, x binary").toArrow().sort_by("h").to_pydict()
+    found = chosen.select("text", "lang", "h").mapInArrow(look, "lang string, h long, x binary").toArrow()
+    order, languages, rows_ = np.argsort(found["h"].to_numpy(), kind="stable"), found["lang"].to_pylist(), found["x"]
     taken, kept = dict.fromkeys(sizes, 0), []
-    for i, language in enumerate(found["lang"]):
-        if taken[language] < per_language:
-            taken[language] += 1
+    for i in order.tolist():
+        if taken[languages[i]] < per_language:
+            taken[languages[i]] += 1
             kept.append(i)
-    x = np.stack([np.frombuffer(found["x"][i], np.float16) for i in kept]).astype(np.float32)
-    return Classifier(x, [found["lang"][i] for i in kept])
+    x = np.empty((len(kept), 1 << bits), np.float32)
+    for to, i in enumerate(kept):
+        x[to] = np.frombuffer(rows_[i].as_buffer(), np.float16)
+    del found, rows_
+    return Classifier(x, [languages[i] for i in kept])
 
 
 def _has_letter(text: str) -> bool:
