@@ -114,68 +114,34 @@ def back_off(symbol: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> float:
     return score - log10(257 - len(excluded))
 
 
-class Table:
-    """Values by number: open addressing over arrays, looked up many at a time."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        self.keys = np.full((1 << self.bits) + 1, -1, np.int64)  # no key is -1 but for one hash in 2**64
-        self.at = np.zeros(len(self.keys), np.int32)
-        self.values = values
-        left, slot = np.arange(len(keys)), self.slot(keys)
-        while len(left):
-            free = self.keys[slot] == -1
-            self.keys[slot[free]] = keys[left[free]]
-            self.at[slot[free]] = left[free]
-            own = self.keys[slot] == keys[left]
-            self.at[slot[own]] = left[own]
-            left, slot = left[~own], self.next(slot[~own])
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def next(self, slot: np.ndarray) -> np.ndarray:
-        return (slot + 1) & ((1 << self.bits) - 1)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, -1 if there is none."""
-        slot = self.slot(keys)
-        held = self.keys[slot]
-        place = np.where(held == keys, self.at[slot], -1)
-        left = np.flatnonzero((held != keys) & (held != -1))
-        slot = slot[left]
-        while len(left):
-            slot = self.next(slot)
-            held = self.keys[slot]
-            hit = held == keys[left]
-            place[left[hit]] = self.at[slot[hit]]
-            on = ~hit & (held != -1)
-            left, slot = left[on], slot[on]
-        return place
+def places(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted number in a sorted table, -1 if it isn't there. wanted is sorted too, which keeps the
+    lookups close together."""
+    at = np.searchsorted(table, wanted)
+    held = at < len(table)
+    held[held] = table[at[held]] == wanted[held]
+    return np.where(held, at, -1)
 
 
 class Model:
-    """The tables as arrays, for one worker."""
+    """The tables as sorted arrays, for one worker: some 40 bytes for each entry in all."""
 
     def __init__(self, words: np.ndarray, word_counts: np.ndarray, grams: np.ndarray, gram_counts: np.ndarray, order: int) -> None:
-        self.order = order
-        self.words = Table(words, np.log10(word_counts + 1.0))
-        by = np.argsort(grams)
-        grams, gram_counts = grams[by], gram_counts[by]
-        context = grams >> BITS
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(grams) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[first, len(grams)])
-        totals = np.add.reduceat(gram_counts, first) if len(grams) else gram_counts
-        self.grams = Table(grams, np.log10(gram_counts / np.repeat(totals + sizes, sizes)))
+        self.order, self.words, self.word_counts = order, words, word_counts
+        self.upto = np.r_[0, np.cumsum(gram_counts, dtype=np.int64)]
         self.levels = [(grams, gram_counts)]
         for k in range(order, 0, -1):
-            shorter, at = np.unique(self.levels[-1][0] & ((1 << BITS * k) - 1), return_inverse=True)
-            self.levels.append((shorter, np.bincount(at, self.levels[-1][1]).astype(np.int64)))
+            codes, counts = self.levels[-1]
+            shorter = codes & ((1 << BITS * k) - 1)
+            by = np.argsort(shorter, kind="stable")
+            shorter = shorter[by]
+            first = np.flatnonzero(np.r_[True, shorter[1:] != shorter[:-1]]) if len(shorter) else np.zeros(0, np.int64)
+            self.levels.append((shorter[first], np.add.reduceat(counts[by], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)))
         self.missed: dict[int, float] = {}
 
     def unseen(self, code: int) -> float:
         if code not in self.missed:
-            if len(self.missed) > 1_000_000:
+            if len(self.missed) > 200_000:
                 self.missed.clear()
             levels = []
             for k, (codes, counts) in enumerate(self.levels):
@@ -185,29 +151,47 @@ class Model:
             self.missed[code] = back_off(code & ((1 << BITS) - 1), levels)
         return self.missed[code]
 
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probabilities of sorted codes."""
+        grams, counts = self.levels[0]
+        place = places(grams, codes)
+        seen = place >= 0
+        context = codes[seen] >> BITS
+        a, b = np.searchsorted(grams, context << BITS), np.searchsorted(grams, (context + 1) << BITS)
+        value = np.empty(len(codes))
+        value[seen] = np.log10(counts[place[seen]] / (self.upto[b] - self.upto[a] + (b - a)))
+        value[~seen] = [self.unseen(c) for c in codes[~seen].tolist()]
+        return value
+
     def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text: words, known words, the sum of log10(c + 1) over its words, the log10 probability."""
         n = len(at) - 1
         hashes, bounds = word_hashes(data, at)
-        place = self.words.find(hashes.view(np.int64))
+        distinct, back = np.unique(hashes.view(np.int64), return_inverse=True)
+        place = places(self.words, distinct)
         known = place >= 0
+        weight = np.zeros(len(distinct))
+        weight[known] = np.log10(self.word_counts[place[known]] + 1.0)
         row = np.repeat(np.arange(n), np.diff(bounds))
-        weight = np.bincount(row[known], self.words.values[place[known]], n)
-        n_known = np.bincount(row[known], minlength=n)
+        n_known = np.bincount(row, known[back], n).astype(np.int64)
+        total = np.bincount(row, weight[back], n)
         codes, ends = gram_codes(data, at, self.order)
-        place = self.grams.find(codes)
-        value = self.grams.values[place] if len(self.grams.values) else np.zeros(len(codes))
-        if len(missing := np.flatnonzero(place < 0)):
-            new, back = np.unique(codes[missing], return_inverse=True)
-            value[missing] = np.array([self.unseen(c) for c in new.tolist()])[back]
-        return np.diff(bounds), n_known, weight, np.add.reduceat(value, ends[:-1])
+        distinct, back = np.unique(codes, return_inverse=True)
+        return np.diff(bounds), n_known, total, np.add.reduceat(self.values(distinct)[back], ends[:-1])
+
+
+def _collected(counts: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a kind, sorted, and their counts."""
+    table = counts.filter(F.col("kind") == kind).select("code", "n").toArrow()
+    code, n = (table.column(i).to_numpy() for i in (0, 1))
+    del table
+    by = np.argsort(code)
+    return code[by], n[by].astype(np.int32 if n.max(initial=0) < 2**31 else np.int64)
 
 
 def _score_in_place(rows: DataFrame, counts: DataFrame, order: int) -> DataFrame:
     """The tables, at most as many entries as the caller has checked, are broadcast."""
-    table = counts.filter(F.col("kind") != LAST).toArrow()
-    kind, code, n = (table.column(i).to_numpy() for i in range(3))
-    shared = rows.sparkSession.sparkContext.broadcast((code[kind == WORD], n[kind == WORD], code[kind == GRAM], n[kind == GRAM]))
+    shared = rows.sparkSession.sparkContext.broadcast((*_collected(counts, WORD), *_collected(counts, GRAM)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value, order)
@@ -270,12 +254,12 @@ def _score_by_join(rows: DataFrame, counts: DataFrame, order: int) -> DataFrame:
     return both.select("id", "held_out", zero("words", "long"), zero("known", "long"), zero("weight", "double"), "score")
 
 
-def score_documents(documents: DataFrame, held_out: Column, order: int = 4, id_column: str = "doc_id", text_column: str = "text", broadcast_entries: int = 12_000_000) -> DataFrame:
+def score_documents(documents: DataFrame, held_out: Column, order: int = 4, id_column: str = "doc_id", text_column: str = "text", broadcast_entries: int = 8_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     held_out: a boolean column; where it is true, rows are not learnt from (null: false). Null texts are empty: only
     their end is scored. Equal rows are learnt from and scored each. Without training rows the model is uniform and
-    nothing is known. broadcast_entries: up to so many table entries (16 bytes each) the tables are broadcast.
+    nothing is known. broadcast_entries: up to so many table entries (12 to 16 bytes each) the tables are broadcast.
     """
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
