@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdikt.llm import nn_descent
-from verdikt.llm.va_file import approximation, top_k, upper_bounds
+from verdikt.llm.va_file import approximation, search_block, top_k, upper_bounds
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id long"
 
@@ -44,6 +44,23 @@ def test_va_file(spark, kind):
     assert (upper_bounds(whole[:20], low, width, cells) >= whole[:20] @ whole.T).all()
 
 
+@pytest.mark.parametrize("k", [5, 40])
+def test_va_file_copies(k):
+    """Hundreds of copies of a vector share every bound: each is read once, in a block of the production size."""
+    for seed in range(10):
+        draw = np.random.default_rng(seed)
+        vectors = draw.integers(-60, 61, (2048, 16))
+        vectors[draw.permutation(2048)[:400]] = 100
+        ids = draw.permutation(10_000)[:2048]
+        queries = np.r_[draw.integers(50, 100, (4, 16)), vectors[:4]]
+        asked = np.r_[20_000:20_004, ids[:4]]
+        for (own, got_ids, got_scores), q, query in zip(search_block(asked, queries, ids, vectors, approximation(vectors, 6), k), asked, queries, strict=True):
+            scores = vectors @ query
+            want = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:k]
+            assert own == q
+            assert (got_ids.tolist(), got_scores.tolist()) == (ids[want].tolist(), scores[want].tolist())
+
+
 def test_other_dimensions(spark):
     df = table(spark, np.ones((4, 3)), [(100, [1.0, 2.0]), (101, [2.0, 2.0])])
     got = {(r.query_id, r.vec_id): r.score for r in top_k(df, df.filter("vec_id IN (0, 100)"), 9).collect()}

@@ -38,22 +38,23 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     for row, (own, query) in enumerate(zip(query_ids, queries, strict=True)):
         bound = bounds[row]
         found_ids, found_scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seen, step = 0, 4 * k
-        order = np.zeros(0, np.int64)
-        while seen < len(ids):
-            if seen == len(order):  # the next part of the order, ever larger ones
-                order = np.argsort(-bound, kind="stable") if 8 * step >= len(ids) else np.argpartition(-bound, 8 * step)[: 8 * step]
-                order = order[np.argsort(-bound[order], kind="stable")]
-                step *= 8
-            if len(found_scores) >= k and bound[order[seen]] < found_scores.min():
-                break
-            part = order[seen : seen + 4 * k]
-            seen += len(part)
-            part = part[ids[part] != own]
-            scores = np.r_[found_scores, vectors[part] @ query]
-            near = np.r_[found_ids, ids[part]]
-            best = np.lexsort((near, -scores))[:k]
-            found_ids, found_scores = near[best], scores[best]
+        unread, step, done = np.ones(len(ids), bool), 4 * k, False
+        while not done and unread.any():  # the unread ones with the largest bounds, ever more of them; equal bounds in any order
+            order = np.flatnonzero(unread)
+            if len(order) > step:
+                order = order[np.argpartition(-bound[order], step - 1)[:step]]
+            order = order[np.argsort(-bound[order], kind="stable")]
+            unread[order] = False
+            step *= 8
+            for at in range(0, len(order), 4 * k):
+                if done := len(found_scores) >= k and bound[order[at]] < found_scores.min():
+                    break
+                part = order[at : at + 4 * k]
+                part = part[ids[part] != own]
+                scores = np.r_[found_scores, vectors[part] @ query]
+                near = np.r_[found_ids, ids[part]]
+                best = np.lexsort((near, -scores))[:k]
+                found_ids, found_scores = near[best], scores[best]
         yield int(own), found_ids, found_scores
 
 
