@@ -3,12 +3,14 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import words
 from verdikt.llm.mixing import budgets, mix
-from verdikt.llm.order_minhash import banded_matches, components, drop_near_duplicates, near_duplicates
+from verdikt.llm.common import utf8, word_hashes
+from verdikt.llm.order_minhash import banded_matches, components, drop_near_duplicates, labelled, near_duplicates, shingles, similar, sketches
 from verdikt.llm.url_reputation import beta_below, host_of, judge_urls, path_of
 
 
@@ -65,6 +67,33 @@ def test_hot_near_duplicates(spark, documents, nothing):
     assert drop_near_duplicates(documents).columns == documents.columns
 
 
+def test_hot_classes(spark):
+    """Hot groups of edited copies, small groups beside them: the classes are those of all candidates."""
+    texts = []
+    for g, size in enumerate((250, 120, 6, 4)):
+        base = words(300 + g % 2, 300) if g < 2 else edited(words(300 + g % 2, 300), g, 12)  # the small ones share sketches with a hot one
+        texts += [" ".join(edited(base, 1000 * g + i, 3 + i % 3 if g < 2 else 2)) for i in range(size)]
+    bounds = shingles(*word_hashes(*utf8(pa.array(texts))), 5)
+    labels = labelled(*bounds)
+    made = sketches(labels, bounds[1], 12)
+    at = bounds[1]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    part = lambda x, i: x[at[i] : at[i + 1]]
+    for b in range(len(texts)):
+        for a in np.flatnonzero((made[:b] == made[b]).any(1)):
+            if top(a) != top(b) and similar(part(bounds[0], a), part(labels, a), part(bounds[0], b), part(labels, b), 0.8):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.id: r.class_id for r in near_duplicates(df).collect()}
+    assert got == {i: top(i) for i in range(len(texts))}
+
+
 def test_alignment():
     draw = np.random.default_rng(8)
     for _ in range(60):

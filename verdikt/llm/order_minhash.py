@@ -193,19 +193,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, similarity: float = 0.8, hashes: int = 12) -> DataFrame:
-    """id, k1, k2 (the row's key), class_id (the least id of its class) and first (whether the row is its class's
-    representative: the least by id and key, nulls first) for every row.
-
-    Rows with equal texts share a class; equal rows also share the key and first. Texts without words (null, empty or
-    white) are classes of their own. Shorter texts than a shingle are one shingle. Texts with similarity J agree on a
-    sketch with about J**2, so all of 12 miss a pair at 0.8 about once in 200,000.
-
-    Nobody is compared with all others of a bucket: its members meet the bucket's leader (in one of three orders, so that
-    leaders differ between buckets), and links among copies run through leaders. A member that its leader doesn't match
-    meets leaders in eight further orders. Buckets are never gathered: leaders are minima, and joins with them are
-    equi-joins whose hot keys adaptive execution splits.
-    """
+def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, similarity: float = 0.8, hashes: int = 12) -> DataFrame:
+    """id, k1, k2 (the row's key) and class (a key of its class) for every row: the connected components of all similar
+    candidates and exact copies. For the rest see near_duplicates."""
     bounded_batches(documents.sparkSession)
     rows = written(_sketched(documents, id_column, text_column, shingle_words, hashes), "sketches")
     texts = rows.filter("n > 0").groupBy("t").agg(F.min(F.struct("id", "k1", "k2")).alias("owner"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
@@ -223,8 +213,44 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     more = _compared(documents, rows, again.join(shown.select("t", "leader"), ["t", "leader"], "left_anti"), id_column, text_column, shingle_words, similarity)
     links = shown.union(more).filter("linked").select(F.col("t").alias("a"), F.col("leader").alias("b"))
     roots = components(links).withColumnRenamed("node", "t")
-    placed = rows.select("id", "k1", "k2", "t").join(roots, "t", "left").select("id", "k1", "k2", F.coalesce("root", "t").alias("class"))
-    best = written(placed.groupBy("class").agg(F.min(F.struct("id", "k1", "k2")).alias("best")), "classes")
+    rest = _compared(documents, rows, _apart(bands, roots, shown.union(more), similarity), id_column, text_column, shingle_words, similarity).filter("linked")
+    root_of = lambda t, name: roots.select(F.col("t").alias(t), F.col("root").alias(name))
+    bridges = rest.join(root_of("t", "a"), "t", "left").join(root_of("leader", "b"), "leader", "left").select(F.coalesce("a", "t").alias("a"), F.coalesce("b", "leader").alias("b"))
+    whole = components(bridges).select(F.col("node").alias("part"), F.col("root").alias("whole"))
+    placed = rows.select("id", "k1", "k2", "t").join(roots, "t", "left").withColumn("part", F.coalesce("root", "t"))
+    return placed.join(whole, "part", "left").select("id", "k1", "k2", F.coalesce("whole", "part").alias("class"))
+
+
+def _apart(bands: DataFrame, roots: DataFrame, shown: DataFrame, similarity: float) -> DataFrame:
+    """t, n, leader and leader_n: the pairs of a bucket's members in different classes that haven't met and whose lengths
+    allow a link. All of them: who isn't in the bucket's largest class meets everyone outside its own."""
+    members = written(bands.select("value", "t", "n").join(roots, "t", "left").select("value", "t", "n", F.coalesce("root", "t").alias("root")), "members")
+    sizes = members.groupBy("value", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("value").agg(F.max(F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("value", F.col("main.root").alias("main"))
+    split = written(members.join(largest, "value").select("value", "t", "n", "root", (F.col("root") != F.col("main")).alias("minor")), "split")
+    minor = split.filter("minor").select("value", F.col("t").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root"))
+    close = F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n")
+    met = split.join(minor, "value").filter((F.col("root") != F.col("leader_root")) & (~F.col("minor") | (F.col("t") < F.col("leader"))) & close).select("t", "n", "leader", "leader_n").distinct()
+    known = shown.select("t", "leader").union(shown.select("leader", "t"))
+    return met.join(known, ["t", "leader"], "left_anti")
+
+
+def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, similarity: float = 0.8, hashes: int = 12) -> DataFrame:
+    """id, k1, k2 (the row's key), class_id (the least id of its class) and first (whether the row is its class's
+    representative: the least by id and key, nulls first) for every row.
+
+    Rows with equal texts share a class; equal rows also share the key and first. Texts without words (null, empty or
+    white) are classes of their own. Shorter texts than a shingle are one shingle. Texts with similarity J agree on a
+    sketch with about J**2, so all of 12 miss a pair at 0.8 about once in 200,000.
+
+    Those of a class aren't all compared with each other: a bucket's members first meet its leader (in one of three
+    orders, so that leaders differ between buckets), and links among copies run through leaders. A member that its leader
+    doesn't match meets leaders in eight further orders. What is then still in different classes of a bucket meets in
+    pairs, so the classes are those of all candidates. Buckets are never gathered: leaders are minima, and joins with
+    them are equi-joins whose hot keys adaptive execution splits.
+    """
+    placed = written(classes(documents, id_column, text_column, shingle_words, similarity, hashes), "placed")
+    best = placed.groupBy("class").agg(F.min(F.struct("id", "k1", "k2")).alias("best"))
     return placed.join(best, "class").select("id", "k1", "k2", F.col("best.id").alias("class_id"), ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("first"))
 
 
