@@ -239,3 +239,25 @@ def test_pipeline(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "in" / "documents.parquet"))
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path / "in")).collect()} == {(r.doc_id, r.piece, r.ids_crc32) for r in packed}
+
+
+def test_pipeline_copies(spark, tmp_path):
+    """Twelve exact and twelve near copies: their lines stay once, what all share goes, and no row is left empty."""
+    import corpus_pipeline
+
+    boilerplate = "All rights reserved by the owner of this site"
+    body = [" ".join(words(900 + i, 20)) for i in range(8)]
+    near = [" ".join(words(950 + i, 40)) for i in range(8)]
+    rows = [(i, "\n".join(body), "en", "src1", 0) for i in range(12)]
+    rows += [(20 + i, "\n".join([*near, " ".join(words(700 + i, 4))]), "en", "src1", 0) for i in range(12)]
+    rows += [(40 + i, "\n".join([boilerplate, " ".join(words(i, 40))]), "en", "src2", 0) for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.drop_common_lines(spark, docs, str(tmp_path))
+    got = {r.doc_id: r.text for r in lines.collect()}
+    assert set(got) == {0, *range(20, 32), *range(40, 55)}
+    assert got[0] == "\n".join(body)
+    assert got[20] == rows[12][1]
+    assert all(got[20 + i] == rows[12 + i][1].split("\n")[-1] for i in range(1, 12))
+    assert not any(boilerplate in t for t in got.values())
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_copies(spark, lines, str(tmp_path)).collect()}
+    assert list(kept.values()).count("\n".join(body)) == 1
