@@ -170,6 +170,21 @@ def test_pii(spark, nothing):
     assert pii.find(nothing).count() == 0
 
 
+def test_pii_candidates():
+    """Every rewritten form is proposed with its own span, alone and next to other numbers."""
+    values = {"email": ["joe.doe@mail.example.com", "a@3x.4y.org"], "ip": ["10.0.0.1", "8.8.8.8", "192.168.100.200"], "card": ["4111111111111111", "378282246310005"], "phone": ["+1 (456) 555-2186", "+49 30 555 123 4567"]}
+    for kind, own in values.items():
+        for value in own:
+            for lot in range(48):
+                for form in pii._rewritten(kind, value, lot):
+                    for before, after in (("see ", " now"), ("17 ", " ok"), ("2023 ", " 2023"), ("555-765-4321 ", " 4.5"), ("", "")):
+                        if kind != "email" or before in ("see ", ""):
+                            text = before + form + after
+                            assert (kind, (len(before), len(before) + len(form))) in pii.candidates(text), text
+    assert [s for k, s in pii.candidates("call 555-123-4567 555-765-4321") if k == "phone" and s in ((5, 17), (18, 30))] == [(5, 17), (18, 30)]
+    assert len(pii.candidates("1 " * 20_000)) < 40 * 20_000
+
+
 LANGUAGES = {"en": "the and of thing with", "de": "der und schach keit lich", "fr": "le étion queau chère", "es": "el ción ñado que llor"}
 
 
