@@ -30,9 +30,13 @@ def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; one without a language label gets the predicted one."""
+    """Documents in a language; one without a language label gets the predicted one. Without any label nothing can be
+    learnt: then every text with a letter stays as it is."""
     labels = docs.select("text", column_or_null(docs, "lang", "string").alias("lang"))
-    found = langid.predict(docs, langid.fit(labels)).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE))
+    classifier = langid.fit(labels)
+    if classifier is None:
+        return _like(docs.filter(F.col("text").rlike(r"\p{L}")), docs)
+    found = langid.predict(docs, classifier).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE))
     if "lang" in docs.columns:
         found = found.withColumn("lang", F.coalesce("lang", "lang_pred"))
     return _like(found, docs)

@@ -261,3 +261,13 @@ def test_pipeline_copies(spark, tmp_path):
     assert not any(boilerplate in t for t in got.values())
     kept = {r.doc_id: r.text for r in corpus_pipeline.drop_copies(spark, lines, str(tmp_path)).collect()}
     assert list(kept.values()).count("\n".join(body)) == 1
+
+
+def test_pipeline_without_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "the cat", None), (2, "123 456", None), (3, None, None), (4, "漢字", None)], "doc_id long, text string, lang string")
+    for own in (docs, docs.drop("lang")):
+        kept = corpus_pipeline.identify_language(spark, own, str(tmp_path))
+        assert kept.columns == own.columns
+        assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
