@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import words
 from verdikt.llm.mixing import budgets, mix
 from verdikt.llm.common import utf8, word_hashes
-from verdikt.llm.order_minhash import banded_matches, components, drop_near_duplicates, labelled, near_duplicates, shingles, similar, sketches
+from verdikt.llm.order_minhash import banded_matches, components, drop_near_duplicates, folded, labelled, near_duplicates, rising, shingles, signature, similar, sketches
 from verdikt.llm.url_reputation import beta_below, host_of, judge_urls, path_of
 
 
@@ -271,3 +271,58 @@ def test_pipeline_without_labels(spark, tmp_path):
         kept = corpus_pipeline.identify_language(spark, own, str(tmp_path))
         assert kept.columns == own.columns
         assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
+def test_template_pairs(spark):
+    """Pairs over the line that share a long template with all others: every one is linked, and no two pairs are."""
+    template, rows = words(1, 90), []
+    for pair in range(150):
+        own = words(5000 + pair, 10)
+        rows += [(2 * pair + side, " ".join([*own, *template, *words(9000 + 2 * pair + side, 7)])) for side in (0, 1)]
+    assert jaccard(rows[0][1].split(), rows[1][1].split()) >= 0.8 > jaccard(rows[0][1].split(), rows[2][1].split())
+    got = {r.id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(got[2 * p] == got[2 * p + 1] == 2 * p for p in range(150)) == 150
+
+
+def test_long_near_duplicates(spark):
+    """Long texts, one with its halves exchanged and one with parts moved a little: the alignment's cost is the band's."""
+    base = words(3, 60_000)
+    moved = [*base[:1000], *base[1100:3000], *base[1000:1100], *base[3000:]]
+    texts = [base, moved, base[30_000:] + base[:30_000], words(4, 60_000)]
+    got = {r.id: r.class_id for r in near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_window_of_alignment():
+    """The moving window gives what the whole bit vector gives."""
+    def whole(a, b, band):
+        state = full = (1 << len(a)) - 1
+        for j, x in enumerate(b):
+            hit = state & sum(1 << i for i, y in enumerate(a) if y == x and abs(i - j) <= band)
+            state = ((state + hit) | (state - hit)) & full
+        return len(a) - state.bit_count()
+
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (draw.integers(0, 8, draw.integers(1, 40)).tolist() for _ in range(2))
+        a, b = [-1, *a, -2], [-3, *b, -4]
+        for band in (0, 1, 3, 12):
+            assert banded_matches(a, b, band) == whole(a, b, band)
+    assert rising(np.array([3, 1, 2, 9, 4, 5])) == 4
+
+
+def test_signatures():
+    """A signature's differing bits never exceed the labels of one text alone, at any two lengths."""
+    draw = np.random.default_rng(6)
+    for n in (1, 5, 100, 127, 128, 129, 700, 5000):
+        a = draw.integers(0, 2**63, n).astype(np.uint64)
+        b = np.r_[a[n // 9 :], draw.integers(0, 2**63, n // 7).astype(np.uint64)]
+        x, y = (np.frombuffer(signature(v), np.uint64)[None] for v in (a, b))
+        while x.shape[1] > y.shape[1]:
+            x = folded(x)
+        while y.shape[1] > x.shape[1]:
+            y = folded(y)
+        apart = int(np.bitwise_count(x ^ y).sum())
+        true = len(np.setxor1d(a, b))
+        assert true - apart <= true // 4 + 1
+        assert apart <= true

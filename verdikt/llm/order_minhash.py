@@ -9,6 +9,7 @@ connected components of links and exact copies.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,14 @@ from verdikt.llm.common import bounded_batches, chunks, mixed, row_key, utf8, wo
 
 #: So many orders in which a bucket's leader is its first text: a text missed by one leader meets another.
 ORDERS = 3
-#: So many more for those whom the leader doesn't match.
-FURTHER = 8
-_POSITION = np.uint64((1 << 24) - 1)
+#: Places to which rows of one key are dealt where they are joined with that key's one row.
+SALTS = 8
+#: Texts, about, that are compared with one copy of a leader's text.
+LED = 500
+#: Bytes of signatures, about, in one block of a bucket's members.
+BLOCK_BYTES = 1 << 20
+#: A text has fewer shingles than bytes, and a string fewer bytes than 2**31.
+_POSITION = np.uint64((1 << 32) - 1)
 
 
 def shingles(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +89,18 @@ def sketches(labels: np.ndarray, at: np.ndarray, hashes: int, least: int = 2) ->
     return out
 
 
+def signature(labels: np.ndarray) -> bytes:
+    """A bit for each place: whether an odd number of labels falls there. The differing bits of two signatures are no
+    more than the labels that only one of the texts has. Four places or more for each label, so that most differences
+    show at any length."""
+    places = 1 << max(9, int(4 * len(labels) - 1).bit_length())
+    at = (mixed(labels, 55) & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(bool), bitorder="little").tobytes()
+
+
 def _sketched(documents: DataFrame, id_column: str, text_column: str, size: int, hashes: int) -> DataFrame:
-    """id, k1, k2, t (128 bits of the text; of the whole row if the text has no words), n and sketches of all rows."""
+    """id, k1, k2, t (128 bits of the text; of the whole row if the text has no words), n, sketches and signature of all
+    rows."""
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     rows = documents.select(F.col(f"`{id_column}`").alias("id"), *row_key(f"`{id_column}`", f"`{text_column}`"), F.unhex(F.md5(text.cast("binary"))).alias("t"), text.alias("text"))
 
@@ -93,19 +109,25 @@ def _sketched(documents: DataFrame, id_column: str, text_column: str, size: int,
             data, at = utf8(batch.column(4))
             for a, b in chunks(at):
                 found, bounds = shingles(*word_hashes(data, at[a : b + 1]), size)
-                made = sketches(labelled(found, bounds), bounds, hashes).view(np.int64)
+                labels = labelled(found, bounds)
+                made = sketches(labels, bounds, hashes).view(np.int64)
+                marks = [signature(labels[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 column = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * hashes, pa.int32()), pa.array(made.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(4)), pa.array(np.diff(bounds).astype(np.int64)), column], names=["id", "k1", "k2", "t", "n", "sketches"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(4)), pa.array(np.diff(bounds).astype(np.int64)), column, pa.array(marks, pa.binary())], names=["id", "k1", "k2", "t", "n", "sketches", "signature"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    made = rows.mapInArrow(sketch, f"id {kind}, k1 long, k2 long, t binary, n long, sketches array<long>")
+    made = rows.mapInArrow(sketch, f"id {kind}, k1 long, k2 long, t binary, n long, sketches array<long>, signature binary")
     alone = F.unhex(F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
     return made.withColumn("t", F.when(F.col("n") > 0, F.col("t")).otherwise(alone))
 
 
+#: Shingles that occur more often in a text keep their places as one number, others as a list.
+_OFTEN = 2048
+
+
 def banded_matches(a: list[int], b: list[int], band: int) -> int:
-    """The most elements that an alignment matches, positions at most band apart: bit-parallel, a bit for each element
-    of a. Equal ends are matched first."""
+    """The most elements that an alignment matches, positions at most band apart: bit-parallel, on a window of bits that
+    moves along a, so that a step costs the band's width and not the text's. Equal ends are matched first."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -115,67 +137,168 @@ def banded_matches(a: list[int], b: list[int], band: int) -> int:
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if not a or not b:
         return head + tail
-    places: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    all_bits, window, state = (1 << len(a)) - 1, (1 << 2 * band + 1) - 1, (1 << len(a)) - 1
+        places.setdefault(x, []).append(i)
+    often = {x: sum(1 << i for i in at) for x, at in places.items() if len(at) > _OFTEN}
+    width, matched = 2 * band + 1, 0
+    full = state = (1 << width) - 1
     for j, x in enumerate(b):
-        if x in places:
-            near = window << (j - band) if j >= band else window >> (band - j)
-            hit = state & places[x] & near
-            state = ((state + hit) | (state - hit)) & all_bits
-    return head + tail + len(a) - state.bit_count()
+        low = j - band  # the place in a of the window's first bit
+        if x in often:
+            hit = (often[x] >> low if low > 0 else often[x] << -low) & state
+        else:
+            at, hit = places.get(x, ()), 0
+            for i in at[bisect_left(at, low) : bisect_left(at, low + width)] if at else ():
+                hit |= 1 << (i - low)
+            hit &= state
+        if hit:
+            state = ((state + hit) | (state - hit)) & full
+        matched += not state & 1
+        state = state >> 1 | 1 << (width - 1)
+    return head + tail + matched + width - state.bit_count()
+
+
+def rising(order: np.ndarray) -> int:
+    """The length of the longest rising part of a sequence."""
+    ends: list[int] = []
+    for x in order.tolist():
+        at = bisect_left(ends, x)
+        ends[at : at + 1] = [x]
+    return len(ends)
+
+
+def needed_of(both: np.ndarray | int, least: float) -> np.ndarray:
+    """How many of both texts' shingles together have to match."""
+    return np.ceil(least / (1 + least) * both - 1e-9).astype(np.int64)
 
 
 def similar(a: np.ndarray, a_labels: np.ndarray, b: np.ndarray, b_labels: np.ndarray, least: float) -> bool:
-    """Whether matched / (all - matched) >= least for the best banded alignment of two texts' shingles."""
+    """Whether matched / (all - matched) >= least for the best banded alignment of two texts' shingles. Bounds come
+    first: shared labels from above, and those of them in the same order from below."""
     both = len(a) + len(b)
-    needed = int(np.ceil(least / (1 + least) * both - 1e-9))
+    needed = int(needed_of(np.int64(both), least))
     common, at, to = np.intersect1d(a_labels, b_labels, assume_unique=True, return_indices=True)
     if len(common) < needed or needed == 0:
         return False
-    band = both - 2 * needed
     order = to[np.argsort(at)]
-    if np.all(order[1:] > order[:-1]):
-        return True
-    return banded_matches(a.tolist(), b.tolist(), band) >= needed
+    return bool(np.all(order[1:] > order[:-1])) or rising(order) >= needed or banded_matches(a.tolist(), b.tolist(), both - 2 * needed) >= needed
+
+
+def _spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows joined with few, which has one row for each key. A key may hold any share of rows: they are dealt by the
+    column by to SALTS places, each of which gets few's row."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return dealt.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "__salt"], how).drop("__salt")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """t, leader and whether they are similar. texts: one row for each t that occurs."""
-    left = texts.select("t", F.col("text").alias("a"))
-    right = texts.select(F.col("t").alias("leader"), F.col("text").alias("b"))
-    rows = pairs.join(left, "t").join(right, "leader").select("t", "leader", "a", "b")
+    """t, leader and whether they are similar. texts: one row for each t that occurs.
+
+    A leader's text goes once to each of its parts, of LED texts or so, and is met there by the texts themselves: sorted
+    behind it, one at a time.
+    """
+    parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(LED)).alias("parts"))
+    led = _spread_join(pairs.select("t", "leader"), parts, ["leader"], "t").select("t", "leader", F.pmod(F.xxhash64("t"), "parts").alias("part"), F.lit(1).alias("place"))
+    own = parts.select(F.col("leader").alias("t"), "leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"))
+    rows = led.unionByName(own).join(texts, "t").select("t", "leader", "part", "place", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", "place")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        leading = None
         for batch in batches:
-            result = []
-            columns = [(utf8(batch.column(i + 2)), batch.column(i).to_pylist()) for i in (0, 1)]
+            data, at = utf8(batch.column(4))
+            leader, place, result = batch.column(1).to_pylist(), batch.column(3).to_pylist(), []
             for i in range(len(batch)):
-                sides = []
-                for (data, at), keys in columns:
-                    if keys[i] not in kept:
-                        found, bounds = shingles(*word_hashes(data, at[i : i + 2]), size)
-                        if len(kept) > 256:
-                            kept.clear()
-                        kept[keys[i]] = found, labelled(found, bounds)
-                    sides += kept[keys[i]]
-                result.append(similar(*sides, least))
+                found, bounds = shingles(*word_hashes(data, at[i : i + 2]), size)
+                this = found, labelled(found, bounds)
+                if place[i] == 0:
+                    leading = leader[i], this
+                    result.append(None)
+                else:
+                    assert leading is not None and leading[0] == leader[i]
+                    result.append(similar(*this, *leading[1], least))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(result, pa.bool_())], names=["t", "leader", "linked"])
 
-    return rows.mapInArrow(compare, "t binary, leader binary, linked boolean")
-
+    return rows.mapInArrow(compare, "t binary, leader binary, linked boolean").filter("linked IS NOT NULL")
+
+
+def folded(signature: np.ndarray) -> np.ndarray:
+    """Signatures, a row each, of half as many bits: a shingle's place there is its place modulo their number."""
+    half = signature.shape[1] // 2
+    return signature[:, :half] ^ signature[:, half:]
+
+
+def close_members(n: np.ndarray, root: np.ndarray, minor: np.ndarray, signatures: list[bytes], a: np.ndarray, b: np.ndarray, least: float, most: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """For each of b, of other classes than its own those of a whose signatures allow a link: their places, its place,
+    and whether more of that class were left out. Of each class the most likeliest are given. Members stand in order of
+    their ids, and two that are both minor meet once."""
+    a = a[np.argsort(n[a], kind="stable")]
+    sizes = np.array([len(signatures[i]) for i in a])
+    held = {}
+    for size in np.unique(sizes).tolist():
+        first, last = np.searchsorted(sizes, [size, size + 1])  # longer texts have no shorter signatures
+        whole = np.frombuffer(b"".join(signatures[i] for i in a[first:last]), np.uint64).reshape(last - first, -1)
+        held[size] = first, last, whole, folded(whole) if whole.shape[1] > 1 else whole
+    for i in b.tolist():
+        own = np.frombuffer(signatures[i], np.uint64)[None]
+        low, high = np.searchsorted(n[a], [int(np.ceil(least * n[i] - 1e-9)), int(n[i] / least + 1e-9) + 1])
+        near = []
+        for size, (first, last, whole, half) in held.items():
+            first, last, start = max(first, low), min(last, high), first
+            if first >= last:
+                continue
+            mine = own if size >= len(signatures[i]) else folded(own)
+            table = whole if size <= len(signatures[i]) else half
+            apart = np.bitwise_count(table[first - start : last - start] ^ mine).sum(1, dtype=np.int64)
+            other = a[first:last]
+            both = n[other] + n[i]
+            good = (apart <= both - 2 * needed_of(both, least)) & (root[other] != root[i]) & (~minor[other] | (other < i))
+            near.append(np.stack([root[other[good]], apart[good], other[good]]))
+        if near and (found := np.concatenate(near, 1)).shape[1]:
+            found = found[:, np.lexsort(found[::-1])]
+            first = np.flatnonzero(np.r_[True, found[0, 1:] != found[0, :-1]])
+            count = np.diff(np.r_[first, found.shape[1]])
+            nth = np.arange(found.shape[1]) - np.repeat(first, count)
+            keep = nth < most
+            yield found[2, keep], i, np.repeat(count > most, count)[keep]
+
+
+def _apart(members: DataFrame, signatures: DataFrame, least: float, most: int) -> DataFrame:
+    """t, leader and more: pairs of a bucket's members of different classes that their signatures allow to be linked, of
+    each class the most likeliest for a member; more tells whether that left out any.
+
+    members: value, t, n and root. Who isn't in the bucket's largest class meets everyone outside its own, in blocks of
+    signatures of about BLOCK_BYTES: a block pair is a row, pairs of members aren't.
+    """
+    sizes = members.groupBy("value", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("value").agg(F.max(F.struct("size", "root")).alias("main"), F.count("*").alias("classes"), F.sum("size").alias("members")).filter("classes > 1 AND members > 2").select("value", F.col("main.root").alias("main"))
+    split = _spread_join(members, largest, ["value"], "t").select("value", "t", "n", "root", (F.col("root") != F.col("main")).alias("minor"))
+    split = written(split.join(signatures, "t"), "split")
+    width = F.octet_length("signature")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / F.lit(BLOCK_BYTES)))
+    parts = split.groupBy("value").agg(blocks(F.sum(width)).alias("rows"), blocks(F.sum(F.when(F.col("minor"), width))).alias("columns"))
+    dealt = _spread_join(split, parts, ["value"], "t")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64(F.lit(5), "t"), n)
+    member = F.struct("t", "n", "root", "minor", "signature")
+    all_ = dealt.select("value", own("rows").alias("row"), every("columns").alias("column"), F.lit(0).alias("side"), member.alias("m"))
+    asked = dealt.filter("minor").select("value", every("rows").alias("row"), own("columns").alias("column"), F.lit(1).alias("side"), member.alias("m"))
+    met = all_.unionByName(asked).groupBy("value", "row", "column").agg(F.collect_list(F.struct("side", "m.t", "m.n", "m.root", "m.minor", "m.signature")).alias("m"), F.max("side").alias("any")).filter("any = 1").select("m")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column(0):
+                flat = row.values
+                t, root, signature = (flat.field(name).to_pylist() for name in ("t", "root", "signature"))
+                by = sorted(range(len(t)), key=t.__getitem__)
+                t, root, signature = ([x[i] for i in by] for x in (t, root, signature))
+                side, n, minor = (flat.field(name).to_numpy(zero_copy_only=False)[by] for name in ("side", "n", "minor"))
+                names = {r: i for i, r in enumerate(set(root))}
+                found = list(close_members(n, np.array([names[r] for r in root]), minor, signature, np.flatnonzero(side == 0), np.flatnonzero(side == 1), least, most))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([t[i] for near, _, _ in found for i in near], pa.binary()), pa.array([t[i] for near, i, _ in found for _ in near], pa.binary()), pa.array(np.concatenate([more for _, _, more in found]))], names=["t", "leader", "more"])
 
-def _compared(documents: DataFrame, rows: DataFrame, met: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
-    """t, leader and linked for the distinct pairs of met whose lengths allow it. Only texts that are in a pair move."""
-    close = F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n")
-    pairs = written(met.filter(close).select("t", "leader").distinct(), "pairs")
-    wanted = pairs.select("t").union(pairs.select("leader")).distinct()
-    owners = rows.filter("n > 0").groupBy("t").agg(F.min(F.struct("id", "k1", "k2")).alias("owner")).join(wanted, "t").select("t", F.col("owner.k1").alias("o1"), F.col("owner.k2").alias("o2"))
-    keyed = documents.select(*row_key(f"`{id_column}`", f"`{text_column}`"), F.col(f"`{text_column}`").alias("text"))
-    held = keyed.join(owners, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2"))).groupBy("t").agg(F.first("text").alias("text"))
-    return written(_verified(pairs, written(held, "candidates"), size, similarity), "verified")
+    return met.mapInArrow(meet, "t binary, leader binary, more boolean").groupBy("t", "leader").agg(F.bool_or("more").alias("more"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,41 +321,41 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     candidates and exact copies. For the rest see near_duplicates."""
     bounded_batches(documents.sparkSession)
     rows = written(_sketched(documents, id_column, text_column, shingle_words, hashes), "sketches")
-    texts = rows.filter("n > 0").groupBy("t").agg(F.min(F.struct("id", "k1", "k2")).alias("owner"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    texts = rows.filter("n > 0").groupBy("t").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     spread = texts.select("t", "n", F.posexplode("sketches").alias("j", "value"))
     bands = written(spread.select("value", "t", "n", F.xxhash64("t", F.pmod("j", F.lit(ORDERS))).alias("rank")), "bands")
     leaders = bands.groupBy("value").agg(F.min(F.struct("rank", "t", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1").select("value", "lead")
-    met = written(bands.join(leaders, "value").filter(F.col("t") != F.col("lead.t")).select("value", "t", "n", F.col("lead.t").alias("leader"), F.col("lead.n").alias("leader_n")), "met")
-    shown = _compared(documents, rows, met, id_column, text_column, shingle_words, similarity)
-    good = shown.filter("linked").select("t", "leader")
-    left = written(met.join(good, ["t", "leader"], "left_anti").select("value", "t", "n"), "unmatched")
-    # whom its bucket's leader doesn't match may match another member: it meets the first ones in further orders
-    order = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "t").alias("rank"), "t", "n"))
-    further = bands.join(left.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.array(*(order(seed) for seed in range(FURTHER))).alias("leads")).withColumn("lead", F.explode(F.array_distinct("leads")))
-    again = left.join(further, "value").filter(F.col("t") != F.col("lead.t")).select("t", "n", F.col("lead.t").alias("leader"), F.col("lead.n").alias("leader_n")).distinct()
-    more = _compared(documents, rows, again.join(shown.select("t", "leader"), ["t", "leader"], "left_anti"), id_column, text_column, shingle_words, similarity)
-    links = shown.union(more).filter("linked").select(F.col("t").alias("a"), F.col("leader").alias("b"))
-    roots = components(links).withColumnRenamed("node", "t")
-    rest = _compared(documents, rows, _apart(bands, roots, shown.union(more), similarity), id_column, text_column, shingle_words, similarity).filter("linked")
-    root_of = lambda t, name: roots.select(F.col("t").alias(t), F.col("root").alias(name))
-    bridges = rest.join(root_of("t", "a"), "t", "left").join(root_of("leader", "b"), "leader", "left").select(F.coalesce("a", "t").alias("a"), F.coalesce("b", "leader").alias("b"))
-    whole = components(bridges).select(F.col("node").alias("part"), F.col("root").alias("whole"))
-    placed = rows.select("id", "k1", "k2", "t").join(roots, "t", "left").withColumn("part", F.coalesce("root", "t"))
-    return placed.join(whole, "part", "left").select("id", "k1", "k2", F.coalesce("whole", "part").alias("class"))
-
-
-def _apart(bands: DataFrame, roots: DataFrame, shown: DataFrame, similarity: float) -> DataFrame:
-    """t, n, leader and leader_n: the pairs of a bucket's members in different classes that haven't met and whose lengths
-    allow a link. All of them: who isn't in the bucket's largest class meets everyone outside its own."""
-    members = written(bands.select("value", "t", "n").join(roots, "t", "left").select("value", "t", "n", F.coalesce("root", "t").alias("root")), "members")
-    sizes = members.groupBy("value", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("value").agg(F.max(F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("value", F.col("main.root").alias("main"))
-    split = written(members.join(largest, "value").select("value", "t", "n", "root", (F.col("root") != F.col("main")).alias("minor")), "split")
-    minor = split.filter("minor").select("value", F.col("t").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root"))
-    close = F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n")
-    met = split.join(minor, "value").filter((F.col("root") != F.col("leader_root")) & (~F.col("minor") | (F.col("t") < F.col("leader"))) & close).select("t", "n", "leader", "leader_n").distinct()
-    known = shown.select("t", "leader").union(shown.select("leader", "t"))
-    return met.join(known, ["t", "leader"], "left_anti")
+    met = written(_spread_join(bands, leaders, ["value"], "t").filter(F.col("t") != F.col("lead.t")).select("value", "t", "n", F.col("lead.t").alias("leader"), F.col("lead.n").alias("leader_n")), "met")
+    wanted = written(met.select("t").union(met.select("leader")).distinct(), "wanted")
+
+    # the texts of all buckets, fetched once: of each distinct text its first row's
+    owners = rows.filter("n > 0").groupBy("t").agg(F.min(F.struct("id", "k1", "k2")).alias("owner")).join(wanted, "t").select("t", F.col("owner.k1").alias("k1"), F.col("owner.k2").alias("k2"))
+    keyed = documents.select(*row_key(f"`{id_column}`", f"`{text_column}`"), F.col(f"`{text_column}`").alias("text"))
+    held = written(keyed.join(owners, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("t", "text"), "candidates")
+
+    fits = F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n")
+    shown = written(_verified(met.filter(fits).select("t", "leader").distinct(), held, shingle_words, similarity), "verified")
+    roots = components(shown.filter("linked").select(F.col("t").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("node", "t")
+    in_buckets = met.select("value", "t", "n").union(met.select("value", "leader", "leader_n").distinct())
+    members = written(in_buckets.join(roots, "t", "left").select("value", "t", "n", F.coalesce("root", "t").alias("root")), "members")
+
+    # what leaders left in different classes of a bucket; once two classes are one, their other pairs needn't meet
+    signatures = rows.filter("n > 0").join(wanted, "t", "left_semi").groupBy("t").agg(F.first("signature").alias("signature"))
+    most = 4
+    while True:
+        pairs = written(_apart(members, signatures, similarity, most), "apart")
+        known = shown.select("t", "leader").union(shown.select("leader", "t"))
+        more = written(_verified(pairs.select("t", "leader").join(known, ["t", "leader"], "left_anti"), held, shingle_words, similarity), "verified")
+        shown = shown.union(more)
+        root_of = members.select("t", "root").distinct()
+        ends = lambda df: df.join(root_of.withColumnRenamed("root", "a"), "t").join(root_of.select(F.col("t").alias("leader"), F.col("root").alias("b")), "leader")  # noqa: E731, B023
+        whole = components(ends(more.filter("linked")).select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+        members = written(_spread_join(members, whole, ["root"], "t", "left").select("value", "t", "n", F.coalesce("whole", "root").alias("root")), "members")
+        root_of = members.select("t", "root").distinct()
+        if ends(pairs.filter("more")).filter("a <> b").isEmpty():
+            break
+        most *= 8
+    return _spread_join(rows.select("id", "k1", "k2", "t"), root_of, ["t"], "k1", "left").select("id", "k1", "k2", F.coalesce("root", "t").alias("class"))
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, similarity: float = 0.8, hashes: int = 12) -> DataFrame:
@@ -244,14 +367,17 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     sketch with about J**2, so all of 12 miss a pair at 0.8 about once in 200,000.
 
     Those of a class aren't all compared with each other: a bucket's members first meet its leader (in one of three
-    orders, so that leaders differ between buckets), and links among copies run through leaders. A member that its leader
-    doesn't match meets leaders in eight further orders. What is then still in different classes of a bucket meets in
-    pairs, so the classes are those of all candidates. Buckets are never gathered: leaders are minima, and joins with
-    them are equi-joins whose hot keys adaptive execution splits.
+    orders, so that leaders differ between buckets), and links among copies run through leaders. What is then still in
+    different classes of a bucket meets by signatures, in blocks, and what those allow is aligned, until no pair of
+    different classes is left: the classes are those of all candidates, whatever the size of a bucket. Buckets are never
+    gathered: leaders are minima, and rows that share a key are dealt to several places.
+
+    Texts may be of any length up to Spark's own: signatures grow with them, and an alignment costs the text's length
+    times the band's width in machine words, and only where shared shingles stand in another order.
     """
     placed = written(classes(documents, id_column, text_column, shingle_words, similarity, hashes), "placed")
     best = placed.groupBy("class").agg(F.min(F.struct("id", "k1", "k2")).alias("best"))
-    return placed.join(best, "class").select("id", "k1", "k2", F.col("best.id").alias("class_id"), ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("first"))
+    return _spread_join(placed, best, ["class"], "k1").select("id", "k1", "k2", F.col("best.id").alias("class_id"), ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("first"))
 
 
 def drop_near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: float) -> DataFrame:
