@@ -263,27 +263,50 @@ def close_members(n: np.ndarray, root: np.ndarray, minor: np.ndarray, signatures
             yield found[2, keep], i, np.repeat(count > most, count)[keep]
 
 
+def _arenas(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who meets whom: arena, t, n and root of all that are there, and of those minor ones who meet all of other classes.
+
+    In every bucket, who isn't in its largest class meets everyone outside its own class. Buckets of the same largest
+    class hold much the same texts if that class is hot; then, where this means fewer meetings, its minor ones meet the
+    class itself, once, and in their buckets only each other.
+    """
+    here = members.select("t", "n", "root", F.explode("buckets").alias("value"))
+    sizes = here.groupBy("value", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("value").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("members")).filter("members > 2 AND members > main.size").select("value", F.col("main.root").alias("main"), F.col("main.size").alias("size"), (F.col("members") - F.col("main.size")).alias("others"))
+    largest = written(largest, "largest")
+    other = sizes.select("value", "root").join(largest.select("value", "main"), "value").filter("root <> main")
+    minor = written(_spread_join(here, other, ["value", "root"], "t").select("value", "main", "t", "n", "root"), "minor")
+    by_bucket = largest.groupBy("main").agg(F.sum(F.col("size") * F.col("others")).alias("by_bucket"))
+    by_class = minor.select("main", "t").distinct().groupBy("main").agg(F.count("*").alias("minors")).join(members.groupBy(F.col("root").alias("main")).agg(F.count("*").alias("size")), "main")
+    hot = written(by_bucket.join(by_class, "main").filter("by_bucket > minors * size").select("main"), "hot")
+
+    in_class = F.xxhash64(F.lit("class"), "main").alias("arena")
+    of_class = members.join(hot.select(F.col("main").alias("root")), "root", "left_semi").withColumn("main", F.col("root")).select(in_class, "t", "n", "root", F.lit(False).alias("minor"))
+    cool = largest.join(hot, "main", "left_anti").select("value", F.col("main").alias("root"))
+    of_bucket = _spread_join(here, cool, ["value", "root"], "t").select(F.col("value").alias("arena"), "t", "n", "root", F.lit(False).alias("minor"))
+    own = minor.select(F.col("value").alias("arena"), "t", "n", "root", F.lit(True).alias("minor"))
+    against_class = minor.join(hot, "main", "left_semi").select(in_class, "t", "n", "root", F.lit(True).alias("minor")).distinct()
+    return of_class.unionByName(of_bucket).unionByName(own), own.unionByName(against_class)
+
+
 def _apart(members: DataFrame, signatures: DataFrame, least: float, most: int) -> DataFrame:
     """t, leader and more: pairs of a bucket's members of different classes that their signatures allow to be linked, of
     each class the most likeliest for a member; more tells whether that left out any.
 
-    members: value, t, n and root. Who isn't in the bucket's largest class meets everyone outside its own, in blocks of
-    signatures of about BLOCK_BYTES: a block pair is a row, pairs of members aren't.
+    members: t, n, root and buckets (an array). Members of an arena meet in blocks of signatures of about BLOCK_BYTES: a
+    block pair is a row, pairs of members aren't.
     """
-    sizes = members.groupBy("value", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("value").agg(F.max(F.struct("size", "root")).alias("main"), F.count("*").alias("classes"), F.sum("size").alias("members")).filter("classes > 1 AND members > 2").select("value", F.col("main.root").alias("main"))
-    split = _spread_join(members, largest, ["value"], "t").select("value", "t", "n", "root", (F.col("root") != F.col("main")).alias("minor"))
-    split = written(split.join(signatures, "t"), "split")
+    there, asking = _arenas(members)
+    both = there.withColumn("side", F.lit(0)).unionByName(asking.withColumn("side", F.lit(1)))
+    held = written(both.join(signatures, "t"), "arenas")
     width = F.octet_length("signature")
-    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / F.lit(BLOCK_BYTES)))
-    parts = split.groupBy("value").agg(blocks(F.sum(width)).alias("rows"), blocks(F.sum(F.when(F.col("minor"), width))).alias("columns"))
-    dealt = _spread_join(split, parts, ["value"], "t")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64(F.lit(5), "t"), n)
-    member = F.struct("t", "n", "root", "minor", "signature")
-    all_ = dealt.select("value", own("rows").alias("row"), every("columns").alias("column"), F.lit(0).alias("side"), member.alias("m"))
-    asked = dealt.filter("minor").select("value", every("rows").alias("row"), own("columns").alias("column"), F.lit(1).alias("side"), member.alias("m"))
-    met = all_.unionByName(asked).groupBy("value", "row", "column").agg(F.collect_list(F.struct("side", "m.t", "m.n", "m.root", "m.minor", "m.signature")).alias("m"), F.max("side").alias("any")).filter("any = 1").select("m")
+    blocks = lambda side: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == side, width)) / F.lit(BLOCK_BYTES)))
+    parts = held.groupBy("arena").agg(blocks(0).alias("rows"), blocks(1).alias("columns"))
+    dealt = _spread_join(held, parts, ["arena"], "t")
+    own = lambda n: F.array(F.pmod(F.xxhash64(F.lit(5), "t"), n))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    placed = dealt.withColumn("row", F.explode(F.when(F.col("side") == 0, own("rows")).otherwise(every("rows")))).withColumn("column", F.explode(F.when(F.col("side") == 0, every("columns")).otherwise(own("columns"))))
+    met = placed.groupBy("arena", "row", "column").agg(F.collect_list(F.struct("side", "t", "n", "root", "minor", "signature")).alias("m"), F.min("side").alias("first"), F.max("side").alias("last")).filter("first < last").select("m")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,8 +359,8 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     fits = F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n")
     shown = written(_verified(met.filter(fits).select("t", "leader").distinct(), held, shingle_words, similarity), "verified")
     roots = components(shown.filter("linked").select(F.col("t").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("node", "t")
-    in_buckets = met.select("value", "t", "n").union(met.select("value", "leader", "leader_n").distinct())
-    members = written(in_buckets.join(roots, "t", "left").select("value", "t", "n", F.coalesce("root", "t").alias("root")), "members")
+    in_buckets = met.select("value", "t", "n").union(met.select("value", "leader", "leader_n").distinct()).groupBy("t", "n").agg(F.collect_list("value").alias("buckets"))
+    members = written(in_buckets.join(roots, "t", "left").select("t", "n", "buckets", F.coalesce("root", "t").alias("root")), "members")
 
     # what leaders left in different classes of a bucket; once two classes are one, their other pairs needn't meet
     signatures = rows.filter("n > 0").join(wanted, "t", "left_semi").groupBy("t").agg(F.first("signature").alias("signature"))
@@ -347,15 +370,13 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
         known = shown.select("t", "leader").union(shown.select("leader", "t"))
         more = written(_verified(pairs.select("t", "leader").join(known, ["t", "leader"], "left_anti"), held, shingle_words, similarity), "verified")
         shown = shown.union(more)
-        root_of = members.select("t", "root").distinct()
-        ends = lambda df: df.join(root_of.withColumnRenamed("root", "a"), "t").join(root_of.select(F.col("t").alias("leader"), F.col("root").alias("b")), "leader")  # noqa: E731, B023
+        ends = lambda df: df.join(members.select("t", F.col("root").alias("a")), "t").join(members.select(F.col("t").alias("leader"), F.col("root").alias("b")), "leader")  # noqa: E731, B023
         whole = components(ends(more.filter("linked")).select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("whole"))
-        members = written(_spread_join(members, whole, ["root"], "t", "left").select("value", "t", "n", F.coalesce("whole", "root").alias("root")), "members")
-        root_of = members.select("t", "root").distinct()
+        members = written(_spread_join(members, whole, ["root"], "t", "left").select("t", "n", "buckets", F.coalesce("whole", "root").alias("root")), "members")
         if ends(pairs.filter("more")).filter("a <> b").isEmpty():
             break
         most *= 8
-    return _spread_join(rows.select("id", "k1", "k2", "t"), root_of, ["t"], "k1", "left").select("id", "k1", "k2", F.coalesce("root", "t").alias("class"))
+    return _spread_join(rows.select("id", "k1", "k2", "t"), members.select("t", "root"), ["t"], "k1", "left").select("id", "k1", "k2", F.coalesce("root", "t").alias("class"))
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, similarity: float = 0.8, hashes: int = 12) -> DataFrame:
