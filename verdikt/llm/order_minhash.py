@@ -263,30 +263,39 @@ def close_members(n: np.ndarray, root: np.ndarray, minor: np.ndarray, signatures
             yield found[2, keep], i, np.repeat(count > most, count)[keep]
 
 
-def _arenas(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Who meets whom: arena, t, n and root of all that are there, and of those minor ones who meet all of other classes.
+#: Who is there to be met, who meets them, and who does both.
+THERE, ASKING, BOTH = 0, 1, 2
+
+
+def _arenas(members: DataFrame) -> DataFrame:
+    """Who meets whom: arena, t, n, root, side, and in how many rows and columns of blocks the arena's sides stand.
 
     In every bucket, who isn't in its largest class meets everyone outside its own class. Buckets of the same largest
     class hold much the same texts if that class is hot; then, where this means fewer meetings, its minor ones meet the
     class itself, once, and in their buckets only each other.
     """
+    width = F.greatest(F.col("n"), F.lit(64))  # a signature's bytes at most
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(F.col(w) / F.lit(BLOCK_BYTES)))
     here = members.select("t", "n", "root", F.explode("buckets").alias("value"))
-    sizes = here.groupBy("value", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("value").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("members")).filter("members > 2 AND members > main.size").select("value", F.col("main.root").alias("main"), F.col("main.size").alias("size"), (F.col("members") - F.col("main.size")).alias("others"))
-    largest = written(largest, "largest")
-    other = sizes.select("value", "root").join(largest.select("value", "main"), "value").filter("root <> main")
-    minor = written(_spread_join(here, other, ["value", "root"], "t").select("value", "main", "t", "n", "root"), "minor")
+    sizes = here.groupBy("value", "root").agg(F.count("*").alias("size"), F.sum(width).alias("w"))
+    whole = sizes.groupBy("value").agg(F.max(F.struct("size", "root", "w")).alias("main"), F.sum("size").alias("members"), F.sum("w").alias("w")).filter("members > 2 AND members > main.size")
+    largest = written(whole.select("value", F.col("main.root").alias("main"), F.col("main.size").alias("size"), (F.col("members") - F.col("main.size")).alias("others"), "w", (F.col("w") - F.col("main.w")).alias("other_w")), "largest")
+    other = sizes.select("value", "root").join(largest.select("value", "main", "w", "other_w"), "value").filter("root <> main")
+    minor = written(_spread_join(here, other, ["value", "root"], "t").select("value", "main", "t", "n", "root", "w", "other_w"), "minor")
     by_bucket = largest.groupBy("main").agg(F.sum(F.col("size") * F.col("others")).alias("by_bucket"))
-    by_class = minor.select("main", "t").distinct().groupBy("main").agg(F.count("*").alias("minors")).join(members.groupBy(F.col("root").alias("main")).agg(F.count("*").alias("size")), "main")
-    hot = written(by_bucket.join(by_class, "main").filter("by_bucket > minors * size").select("main"), "hot")
+    minors = minor.select("main", "t", "n").distinct().groupBy("main").agg(F.count("*").alias("minors"), F.sum(width).alias("minor_w"))
+    by_class = minors.join(members.groupBy(F.col("root").alias("main")).agg(F.count("*").alias("size"), F.sum(width).alias("class_w")), "main")
+    hot = written(by_bucket.join(by_class, "main").filter("by_bucket > minors * size").select("main", blocks("class_w").alias("hot_rows"), blocks("minor_w").alias("hot_columns")), "hot")
 
-    in_class = F.xxhash64(F.lit("class"), "main").alias("arena")
-    of_class = members.join(hot.select(F.col("main").alias("root")), "root", "left_semi").withColumn("main", F.col("root")).select(in_class, "t", "n", "root", F.lit(False).alias("minor"))
-    cool = largest.join(hot, "main", "left_anti").select("value", F.col("main").alias("root"))
-    of_bucket = _spread_join(here, cool, ["value", "root"], "t").select(F.col("value").alias("arena"), "t", "n", "root", F.lit(False).alias("minor"))
-    own = minor.select(F.col("value").alias("arena"), "t", "n", "root", F.lit(True).alias("minor"))
-    against_class = minor.join(hot, "main", "left_semi").select(in_class, "t", "n", "root", F.lit(True).alias("minor")).distinct()
-    return of_class.unionByName(of_bucket).unionByName(own), own.unionByName(against_class)
+    place = lambda arena, side, rows, columns: [arena.alias("arena"), "t", "n", "root", F.lit(side).alias("side"), rows.alias("rows"), columns.alias("columns")]
+    in_class, hot_places = F.xxhash64(F.lit("class"), "main"), (F.col("hot_rows"), F.col("hot_columns"))
+    of_class = members.withColumn("main", F.col("root")).join(hot, "main").select(*place(in_class, THERE, *hot_places))
+    cool = largest.join(hot, "main", "left_anti").select("value", F.col("main").alias("root"), "w", "other_w")
+    of_bucket = _spread_join(here, cool, ["value", "root"], "t").select(*place(F.col("value"), THERE, blocks("w"), blocks("other_w")))
+    marked = minor.join(hot, "main", "left")
+    in_bucket = marked.select(*place(F.col("value"), BOTH, F.when(F.col("hot_rows").isNull(), blocks("w")).otherwise(blocks("other_w")), blocks("other_w")))
+    against_class = marked.filter("hot_rows IS NOT NULL").select(*place(in_class, ASKING, *hot_places)).distinct()
+    return of_class.unionByName(of_bucket).unionByName(in_bucket).unionByName(against_class)
 
 
 def _apart(members: DataFrame, signatures: DataFrame, least: float, most: int) -> DataFrame:
@@ -296,17 +305,16 @@ def _apart(members: DataFrame, signatures: DataFrame, least: float, most: int) -
     members: t, n, root and buckets (an array). Members of an arena meet in blocks of signatures of about BLOCK_BYTES: a
     block pair is a row, pairs of members aren't.
     """
-    there, asking = _arenas(members)
-    both = there.withColumn("side", F.lit(0)).unionByName(asking.withColumn("side", F.lit(1)))
-    held = written(both.join(signatures, "t"), "arenas")
-    width = F.octet_length("signature")
-    blocks = lambda side: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == side, width)) / F.lit(BLOCK_BYTES)))
-    parts = held.groupBy("arena").agg(blocks(0).alias("rows"), blocks(1).alias("columns"))
-    dealt = _spread_join(held, parts, ["arena"], "t")
-    own = lambda n: F.array(F.pmod(F.xxhash64(F.lit(5), "t"), n))
+    each = _arenas(members).groupBy("t").agg(F.collect_list(F.struct("arena", "n", "root", "side", "rows", "columns")).alias("arenas"))
+    placed = each.join(signatures, "t").select("t", "signature", F.inline("arenas"))
+    own = lambda n: F.pmod(F.xxhash64(F.lit(5), "t"), n)
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    placed = dealt.withColumn("row", F.explode(F.when(F.col("side") == 0, own("rows")).otherwise(every("rows")))).withColumn("column", F.explode(F.when(F.col("side") == 0, every("columns")).otherwise(own("columns"))))
-    met = placed.groupBy("arena", "row", "column").agg(F.collect_list(F.struct("side", "t", "n", "root", "minor", "signature")).alias("m"), F.min("side").alias("first"), F.max("side").alias("last")).filter("first < last").select("m")
+    spot = lambda at, row, column: F.struct(F.lit(at).alias("at"), row.alias("row"), column.alias("column"))
+    as_row = F.transform(every("columns"), lambda c: spot(THERE, own("rows"), c))
+    as_column = F.transform(every("rows"), lambda r: spot(ASKING, r, own("columns")))
+    spots = F.when(F.col("side") == THERE, as_row).when(F.col("side") == ASKING, as_column).otherwise(F.concat(as_row, as_column))
+    dealt = placed.select("arena", "t", "n", "root", (F.col("side") != THERE).alias("minor"), "signature", F.inline(spots))
+    met = dealt.groupBy("arena", "row", "column").agg(F.collect_list(F.struct("at", "t", "n", "root", "minor", "signature")).alias("m"), F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("m")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,9 +323,9 @@ def _apart(members: DataFrame, signatures: DataFrame, least: float, most: int) -
                 t, root, signature = (flat.field(name).to_pylist() for name in ("t", "root", "signature"))
                 by = sorted(range(len(t)), key=t.__getitem__)
                 t, root, signature = ([x[i] for i in by] for x in (t, root, signature))
-                side, n, minor = (flat.field(name).to_numpy(zero_copy_only=False)[by] for name in ("side", "n", "minor"))
+                side, n, minor = (flat.field(name).to_numpy(zero_copy_only=False)[by] for name in ("at", "n", "minor"))
                 names = {r: i for i, r in enumerate(set(root))}
-                found = list(close_members(n, np.array([names[r] for r in root]), minor, signature, np.flatnonzero(side == 0), np.flatnonzero(side == 1), least, most))
+                found = list(close_members(n, np.array([names[r] for r in root]), minor, signature, np.flatnonzero(side == THERE), np.flatnonzero(side == ASKING), least, most))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([t[i] for near, _, _ in found for i in near], pa.binary()), pa.array([t[i] for near, i, _ in found for _ in near], pa.binary()), pa.array(np.concatenate([more for _, _, more in found]))], names=["t", "leader", "more"])
 
