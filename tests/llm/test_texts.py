@@ -239,12 +239,12 @@ def brute_ppm(texts, held, order):
     return scores
 
 
-@pytest.mark.parametrize("entries", [10**6, 0])
-def test_ppm(spark, nothing, entries):
+@pytest.mark.parametrize("block_bytes", [16 << 20, 64])
+def test_ppm(spark, nothing, block_bytes):
     texts = [None, "", "The cat sat.", "the cat\nsat on thé mat", "xyz", "The cat sat.", "  the   end ", " ".join(words(3, 200)), " ".join(words(4, 200)), "ZZZ qqq"]
     held = [i in (4, 8, 9) for i in range(len(texts))]
     df = spark.createDataFrame([(i, t, h, 1) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, held boolean, score int")
-    got = {r.doc_id: r for r in ppm.score_documents(df, F.col("held"), broadcast_entries=entries).collect()}
+    got = {r.doc_id: r for r in ppm.score_documents(df, F.col("held"), block_bytes=block_bytes).collect()}
     split = [[*re.findall(f"[^{WHITE}]+", (t or "").translate(LOWER)), None] for t in texts]
     counts = Counter(w for s, h in zip(split, held, strict=True) if not h for w in s)
     n, v = sum(counts.values()), len(counts)
@@ -253,8 +253,8 @@ def test_ppm(spark, nothing, entries):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(split[i]), sum(counts[w] > 0 for w in split[i]), n)
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in split[i]), rel_tol=1e-9)
         assert math.isclose(r.score, score, rel_tol=1e-9)
-    assert ppm.score_documents(nothing, F.lit(False), broadcast_entries=entries).count() == 0
-    alone = ppm.score_documents(df.limit(3), F.lit(True), broadcast_entries=entries).collect()
+    assert ppm.score_documents(nothing, F.lit(False), block_bytes=block_bytes).count() == 0
+    alone = ppm.score_documents(df.limit(3), F.lit(True), block_bytes=block_bytes).collect()
     assert all(r.n_known == 0 and math.isclose(r.score, -(len((texts[r.doc_id] or "").encode()) + 1) * math.log10(257)) for r in alone)
 
 

@@ -6,8 +6,10 @@ probability n / (N + T) there, N the context's symbols and T its distinct ones;
 to the next shorter context, where symbols that a longer one has seen are excluded, and below the empty context to a
 uniform choice of what remains (method C). A text's score is the log10 probability of its bytes and of its end.
 
-Tables are counted by Spark. Up to a checked number of entries they are broadcast and texts scored where they are read;
-beyond it, texts become sparse counts that are joined with the tables. Both ways give the same scores.
+The table is counted by Spark and grows with the corpus; it is never gathered. What every code is worth is found by joins
+with the contexts' sums. Texts are dealt to blocks of some megabytes; a block asks for the values of the codes that occur
+in it, each once, by a join with the table, and its texts are scored with those. A block's part is bounded by its own
+bytes, so all sizes take this one way.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import bounded_batches, chunks, row_key, utf8, word_hashes, written
+from verdikt.llm.common import bounded_batches, chunks, utf8, word_hashes, written
 
 END, PAD, BITS = 256, 257, 9
-WORD, GRAM, LAST = 0, 1, 2
+#: Kinds of counts: training words (by hash) and grams, training texts, grams of texts held out, bytes of all texts.
+WORD, GRAM, LAST, OUT, BYTES = range(5)
+#: Bytes of texts that are scored together, about; a longer text comes alone or with few.
+BLOCK_BYTES = 16 << 20
 _LOWER = np.arange(256, dtype=np.int64)
 _LOWER[65:91] += 32
 #: Entries that a task gathers before it hands on their sums.
@@ -78,194 +84,143 @@ class Gathered:
 
 
 def train(texts: DataFrame, order: int = 4) -> DataFrame:
-    """kind, code, n: counts of words (by hash), of grams, and of texts (kind LAST) over a column text of all rows."""
+    """kind, code, n over the rows' text and held_out: counts of words and grams of texts that aren't held out, of those
+    texts, of the others' grams, and of all bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, n = Gathered(), Gathered(), 0
+        kinds = {WORD: Gathered(), GRAM: Gathered(), OUT: Gathered()}
+        n = size = 0
         for batch in batches:
-            data, at = utf8(batch.column(0))
-            n += len(at) - 1
-            for a, b in chunks(at):
-                words.add(word_hashes(data, at[a : b + 1])[0].view(np.int64))
-                grams.add(gram_codes(data, at[a : b + 1], order)[0])
-            for kind, gathered in ((WORD, words), (GRAM, grams)):
+            for out in (False, True):
+                data, at = utf8(batch.column(0).filter(pa.compute.equal(batch.column(1), out)))
+                n += 0 if out else len(at) - 1
+                size += int(at[-1] - at[0])
+                for a, b in chunks(at):
+                    kinds[OUT if out else GRAM].add(gram_codes(data, at[a : b + 1], order)[0])
+                    if not out:
+                        kinds[WORD].add(word_hashes(data, at[a : b + 1])[0].view(np.int64))
+            for kind, gathered in kinds.items():
                 if gathered.size > GATHERED:
                     yield from gathered.drain(kind)
-        yield from words.drain(WORD)
-        yield from grams.drain(GRAM)
-        yield pa.RecordBatch.from_arrays([pa.array([LAST], pa.int32()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["kind", "code", "n"])
-
-    return texts.select("text").mapInArrow(count, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
-
-
-def back_off(symbol: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> float:
-    """log10 P(symbol), from the symbols and counts seen in its contexts, the longest first."""
-    excluded: set[int] = set()
-    score = 0.0
-    for symbols, counts in levels:
-        seen = {int(s): int(c) for s, c in zip(symbols, counts, strict=True) if int(s) not in excluded}
-        if not seen:
-            continue
-        total, kinds = sum(seen.values()), len(seen)
-        if symbol in seen:
-            return score + log10(seen[symbol] / (total + kinds))
-        score += log10(kinds / (total + kinds))
-        excluded |= seen.keys()
-    return score - log10(257 - len(excluded))
-
-
-def places(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each wanted number in a sorted table, -1 if it isn't there. wanted is sorted too, which keeps the
-    lookups close together."""
-    at = np.searchsorted(table, wanted)
-    held = at < len(table)
-    held[held] = table[at[held]] == wanted[held]
-    return np.where(held, at, -1)
-
-
-class Model:
-    """The tables as sorted arrays, for one worker: some 40 bytes for each entry in all."""
-
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, grams: np.ndarray, gram_counts: np.ndarray, order: int) -> None:
-        self.order, self.words, self.word_counts = order, words, word_counts
-        self.upto = np.r_[0, np.cumsum(gram_counts, dtype=np.int64)]
-        self.levels = [(grams, gram_counts)]
-        for k in range(order, 0, -1):
-            codes, counts = self.levels[-1]
-            shorter = codes & ((1 << BITS * k) - 1)
-            by = np.argsort(shorter, kind="stable")
-            shorter = shorter[by]
-            first = np.flatnonzero(np.r_[True, shorter[1:] != shorter[:-1]]) if len(shorter) else np.zeros(0, np.int64)
-            self.levels.append((shorter[first], np.add.reduceat(counts[by], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)))
-        self.missed: dict[int, float] = {}
-
-    def unseen(self, code: int) -> float:
-        if code not in self.missed:
-            if len(self.missed) > 200_000:
-                self.missed.clear()
-            levels = []
-            for k, (codes, counts) in enumerate(self.levels):
-                context = (code >> BITS) & ((1 << BITS * (self.order - k)) - 1)
-                a, b = np.searchsorted(codes, [context << BITS, (context + 1) << BITS])
-                levels.append((codes[a:b] & ((1 << BITS) - 1), counts[a:b]))
-            self.missed[code] = back_off(code & ((1 << BITS) - 1), levels)
-        return self.missed[code]
-
-    def values(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probabilities of sorted codes."""
-        grams, counts = self.levels[0]
-        place = places(grams, codes)
-        seen = place >= 0
-        context = codes[seen] >> BITS
-        a, b = np.searchsorted(grams, context << BITS), np.searchsorted(grams, (context + 1) << BITS)
-        value = np.empty(len(codes))
-        value[seen] = np.log10(counts[place[seen]] / (self.upto[b] - self.upto[a] + (b - a)))
-        value[~seen] = [self.unseen(c) for c in codes[~seen].tolist()]
-        return value
-
-    def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each text: words, known words, the sum of log10(c + 1) over its words, the log10 probability."""
-        n = len(at) - 1
-        hashes, bounds = word_hashes(data, at)
-        distinct, back = np.unique(hashes.view(np.int64), return_inverse=True)
-        place = places(self.words, distinct)
-        known = place >= 0
-        weight = np.zeros(len(distinct))
-        weight[known] = np.log10(self.word_counts[place[known]] + 1.0)
-        row = np.repeat(np.arange(n), np.diff(bounds))
-        n_known = np.bincount(row, known[back], n).astype(np.int64)
-        total = np.bincount(row, weight[back], n)
-        codes, ends = gram_codes(data, at, self.order)
-        distinct, back = np.unique(codes, return_inverse=True)
-        return np.diff(bounds), n_known, total, np.add.reduceat(self.values(distinct)[back], ends[:-1])
-
-
-def _collected(counts: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of a kind, sorted, and their counts."""
-    table = counts.filter(F.col("kind") == kind).select("code", "n").toArrow()
-    code, n = (table.column(i).to_numpy() for i in (0, 1))
-    del table
-    by = np.argsort(code)
-    return code[by], n[by].astype(np.int32 if n.max(initial=0) < 2**31 else np.int64)
-
-
-def _score_in_place(rows: DataFrame, counts: DataFrame, order: int) -> DataFrame:
-    """The tables, at most as many entries as the caller has checked, are broadcast."""
-    shared = rows.sparkSession.sparkContext.broadcast((*_collected(counts, WORD), *_collected(counts, GRAM)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value, order)
-        for batch in batches:
-            data, at = utf8(batch.column(2))
-            parts = [model.score(data, at[a : b + 1]) for a, b in chunks(at)]
-            if parts:
-                words, known, weight, total = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(weight.astype(float)), pa.array(total.astype(float))], names=["id", "held_out", "words", "known", "weight", "score"])
+        for kind, gathered in kinds.items():
+            yield from gathered.drain(kind)
+        yield pa.RecordBatch.from_arrays([pa.array([LAST, BYTES], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([n, size], pa.int64())], names=["kind", "code", "n"])
 
-    return rows.select("id", "held_out", "text").mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, words long, known long, weight double, score double")
+    return texts.select("text", "held_out").mapInArrow(count, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
-def _features(rows: DataFrame, order: int) -> DataFrame:
-    """k1, k2, kind, code, n: how often each row has each word and gram."""
+def values(counts: DataFrame, order: int) -> DataFrame:
+    """code and value, the log10 probability of its symbol in its context, of all codes in counts, learnt or held out.
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = utf8(batch.column(2))
-            for a, b in chunks(at):
-                for i in range(a, b):
-                    one = at[i : i + 2]
-                    for kind, codes in ((WORD, word_hashes(data, one)[0].view(np.int64)), (GRAM, gram_codes(data, one, order)[0])):
-                        found, n = np.unique(codes, return_counts=True)
-                        same = lambda column, m=len(found), i=i: pa.array([column[i].as_py()] * m, pa.int64())
-                        yield pa.RecordBatch.from_arrays([same(batch.column(0)), same(batch.column(1)), pa.array(np.full(len(found), kind, np.int32)), pa.array(found), pa.array(n.astype(np.int64))], names=["k1", "k2", "kind", "code", "n"])
-
-    return rows.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).mapInArrow(split, "k1 long, k2 long, kind int, code long, n long")
-
-
-def _score_by_join(rows: DataFrame, counts: DataFrame, order: int) -> DataFrame:
-    """Sparse counts of the texts joined with the tables by code; nothing is broadcast but by Spark's own choice."""
-    keyed = rows.select("id", "held_out", "text", *row_key("id", "text"))
-    features = written(_features(keyed, order), "features")
-    word = counts.filter(F.col("kind") == WORD).select("code", F.log10(F.col("n") + F.lit(1.0)).alias("weight"))
-    words = features.filter(F.col("kind") == WORD).join(word, "code", "left").groupBy("k1", "k2").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("weight").isNotNull(), F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.coalesce("weight", F.lit(0.0))).alias("weight"))
-    gram = counts.filter(F.col("kind") == GRAM).select("code", "n")
+    The symbols seen in a context have all been seen in the shorter ones, too. So what a longer context excludes from a
+    shorter one is summed once for each context: how many symbols it has, and how often the shorter one has those. A
+    context has no more symbols than there are, so no key of these joins is hot.
+    """
     mask = lambda k: F.lit((1 << BITS * k) - 1)
-    levels = []
-    for k in range(order, -1, -1):  # what each context of k symbols has been followed by, 258 symbols at most
-        codes = gram.select(F.col("code").bitwiseAND(mask(k + 1)).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n"))
-        levels.append(codes.groupBy(F.shiftright("code", BITS).alias("context")).agg(F.collect_list(F.struct(F.col("code").bitwiseAND(mask(1)).alias("s"), "n")).alias(f"level{k}")))
-    seen = features.filter(F.col("kind") == GRAM).select("code").distinct()
-    for k, level in zip(range(order, -1, -1), levels, strict=True):
-        context = F.shiftright(F.col("code"), BITS).bitwiseAND(mask(k)) if k else F.lit(0).cast("long")
-        seen = seen.withColumn("context", context).join(level, "context", "left").drop("context")
-
-    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = []
-            for row in batch.to_pylist():
-                levels = [([x["s"] for x in row[f"level{k}"] or ()], [x["n"] for x in row[f"level{k}"] or ()]) for k in range(order, -1, -1)]
-                scores.append(back_off(row["code"] & ((1 << BITS) - 1), levels))
-            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(scores, pa.float64())], names=["code", "value"])
-
-    values = seen.mapInArrow(value, "code long, value double")
-    grams = features.filter(F.col("kind") == GRAM).join(values, "code").groupBy("k1", "k2").agg(F.sum(F.col("n") * F.col("value")).alias("score"))
-    both = keyed.select("id", "held_out", "k1", "k2").join(grams, ["k1", "k2"]).join(words, ["k1", "k2"], "left")
-    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
-    return both.select("id", "held_out", zero("words", "long"), zero("known", "long"), zero("weight", "double"), "score")
-
-
-def score_documents(documents: DataFrame, held_out: Column, order: int = 4, id_column: str = "doc_id", text_column: str = "text", broadcast_entries: int = 8_000_000) -> DataFrame:
+    context = F.shiftright("code", BITS)
+    grams = {order: counts.filter(F.col("kind") == GRAM).select("code", "n")}
+    for k in range(order - 1, -1, -1):
+        grams[k] = written(grams[k + 1].groupBy(F.col("code").bitwiseAND(mask(k + 1)).alias("code")).agg(F.sum("n").alias("n")), "grams")
+    known = grams[order].groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.collect_list(F.struct("code", "n")).alias("own"))
+    learnt = known.select("total", "kinds", F.inline("own")).select("code", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("value"))
+
+    whole = grams[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds")).first()
+    zero = F.lit(0).cast("long")
+    left = counts.filter(F.col("kind") == OUT).select("code").join(grams[order], "code", "left_anti")
+    left = left.select("code", F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("escaped"), zero.alias("less_total"), zero.alias("less_kinds"))
+    for k in range(order, -1, -1):
+        if k:  # total and kinds of contexts of k symbols, and how often the next shorter ones have those symbols
+            shorter = grams[k - 1].select(F.col("code").alias("shorter"), F.col("n").alias("shorter_n"))
+            sums = grams[k].withColumn("shorter", F.col("code").bitwiseAND(mask(k))).join(shorter, "shorter").groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("shorter_n").alias("next_total"))
+            left = left.withColumn("context", context.bitwiseAND(mask(k))).join(sums, "context", "left")
+        else:
+            left = left.withColumns({"total": F.lit(whole.total), "kinds": F.lit(whole.kinds), "next_total": zero})
+        seen = F.lit(None).cast("long")
+        if k < order:
+            left = left.withColumn("own", F.col("code").bitwiseAND(mask(k + 1))).join(grams[k].withColumnRenamed("code", "own"), "own", "left")
+            seen = F.col("n")
+        kinds = F.col("kinds") - F.col("less_kinds")
+        all_ = F.col("total") - F.col("less_total") + kinds
+        left = left.select(
+            "code", F.coalesce("value", F.when(seen.isNotNull(), F.col("escaped") + F.log10(seen / all_))).alias("value"), (F.col("escaped") + F.when(kinds > 0, F.log10(kinds / all_)).otherwise(0.0)).alias("escaped"),
+            F.coalesce("next_total", "less_total").alias("less_total"), F.coalesce("kinds", "less_kinds").alias("less_kinds"),
+        )
+    unseen = left.select("code", F.coalesce("value", F.col("escaped") - F.log10(F.lit(257.0) - F.col("less_kinds"))).alias("value"))
+    return learnt.unionByName(unseen)
+
+
+def _asked(texts: pa.Table, order: int) -> pa.Table:
+    """block, kind and code of the words and grams of a block's texts, each once."""
+    data, at = utf8(texts.column("text"))
+    kinds = {WORD: Gathered(), GRAM: Gathered()}
+    for a, b in chunks(at):
+        kinds[WORD].add(word_hashes(data, at[a : b + 1])[0].view(np.int64))
+        kinds[GRAM].add(gram_codes(data, at[a : b + 1], order)[0])
+    found = [batch for kind, gathered in kinds.items() for batch in gathered.drain(kind)]
+    codes = pa.Table.from_batches(found, pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])).select(["kind", "code"])
+    return codes.add_column(0, "block", pa.array(np.full(len(codes), texts.column("block")[0].as_py()), pa.int64()))
+
+
+class Table:
+    """The values of a block's codes of one kind, sorted; others have none."""
+
+    def __init__(self, held: pa.Table, kind: int) -> None:
+        own = held.filter(pa.compute.equal(held.column("kind"), kind))
+        code, value = (own.column(name).to_numpy() for name in ("code", "value"))
+        by = np.argsort(code)
+        self.code, self.value = code[by], value[by]
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each code has a value, and that value or 0."""
+        distinct, back = np.unique(codes, return_inverse=True)  # sorted, which keeps the lookups close together
+        at = np.searchsorted(self.code, distinct)
+        held = at < len(self.code)
+        held[held] = self.code[at[held]] == distinct[held]
+        value = np.zeros(len(distinct))
+        value[held] = self.value[at[held]]
+        return held[back], value[back]
+
+
+def _scored(texts: pa.Table, held: pa.Table, order: int) -> pa.Table:
+    """id, held_out, words, known words, the sum of log10(c + 1) over its words, and the log10 probability of each text."""
+    words, grams = Table(held, WORD), Table(held, GRAM)
+    data, at = utf8(texts.column("text"))
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    for a, b in chunks(at):
+        codes, bounds = word_hashes(data, at[a : b + 1])
+        known, weight = words.of(codes.view(np.int64))
+        row = np.repeat(np.arange(b - a), np.diff(bounds))
+        codes, ends = gram_codes(data, at[a : b + 1], order)
+        columns[0].append(np.diff(bounds))
+        columns[1].append(np.bincount(row, known, b - a).astype(np.int64))
+        columns[2].append(np.bincount(row, weight, b - a))
+        columns[3].append(np.add.reduceat(grams.of(codes)[1], ends[:-1]))
+    kinds = (np.int64, np.int64, float, float)
+    made = [pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind)) for x, kind in zip(columns, kinds, strict=True)]
+    return pa.Table.from_arrays([texts.column("id"), texts.column("held_out"), *made], names=["id", "held_out", "words", "known", "weight", "score"])
+
+
+def score_documents(documents: DataFrame, held_out: Column, order: int = 4, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     held_out: a boolean column; where it is true, rows are not learnt from (null: false). Null texts are empty: only
     their end is scored. Equal rows are learnt from and scored each. Without training rows the model is uniform and
-    nothing is known. broadcast_entries: up to so many table entries (12 to 16 bytes each) the tables are broadcast.
+    nothing is known. Very long texts are worked through in parts; only the codes that occur in one are held at once.
     """
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
-    counts = written(train(rows.filter(~F.col("held_out")), order), "counts")
-    total = counts.agg(F.coalesce(F.sum(F.when(F.col("kind") != GRAM, F.col("n"))), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("kind") == LAST, F.col("n"))), F.lit(0)).alias("ends"), F.count_if(F.col("kind") == WORD).alias("kinds"), F.count("*").alias("entries")).first()
-    scored = (_score_in_place if total.entries <= broadcast_entries else _score_by_join)(rows, counts, order)
+    counts = written(train(rows, order), "counts")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    total = counts.agg((of(WORD) + of(LAST)).alias("tokens"), of(LAST).alias("ends"), F.count_if(F.col("kind") == WORD).alias("kinds"), of(BYTES).alias("bytes")).first()
+
+    word = counts.filter(F.col("kind") == WORD).select("kind", "code", F.log10(F.col("n") + F.lit(1.0)).alias("value"))
+    table = written(values(counts, order).select(F.lit(GRAM).alias("kind"), "code", "value").unionByName(word), "values")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-total.bytes // block_bytes)))))
+    asked = dealt.groupBy("block").applyInArrow(lambda texts: _asked(texts, order), "block long, kind int, code long")
+    held = asked.join(table, ["kind", "code"]).select("block", "kind", "code", "value")
+    kind = rows.schema["id"].dataType.simpleString()
+    scored = dealt.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(lambda texts, codes: _scored(texts, codes, order), f"id {kind}, held_out boolean, words long, known long, weight double, score double")
+
     tokens = F.col("words") + 1
     floor = log10(total.tokens + total.kinds + (total.ends > 0) + 1)
     return scored.select(
