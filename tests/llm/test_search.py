@@ -93,3 +93,37 @@ def test_nn_descent(spark, clusters):
     assert nn_descent.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = table(spark, x[50:55])
     assert nn_descent.nearest(few, F.lit(True), 20).count() == 20
+
+
+def test_nn_rare_dimension(spark):
+    """Few vectors of another dimension beside many: all of them are found."""
+    draw = np.random.default_rng(2)
+    df = table(spark, draw.normal(0, 1, (3000, 16)), [(20 * (5000 + i), [float(x) for x in draw.normal(0, 1, 5)]) for i in range(8)])
+    got = defaultdict(set)
+    for r in nn_descent.nearest(df, F.col("vec_id") >= 100_000, 20).collect():
+        got[r.query_id].add(r.vec_id)
+    everyone = {20 * (5000 + i) for i in range(8)}
+    assert got == {q: everyone - {q} for q in everyone}
+
+
+@pytest.mark.parametrize("n", [1500, 4500])
+def test_nn_hot(spark, n):
+    """A third of all vectors are copies of one, a third stand close around another: results are those of brute force."""
+    draw = np.random.default_rng(n)
+    x = np.float32(draw.normal(0, 1, (n, 16)))
+    x[::3] = x[0]
+    x[1::3] = x[1] + np.float32(draw.normal(0, 0.05, (len(x[1::3]), 16)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0]
+    got = defaultdict(list)
+    for r in nn_descent.nearest(table(spark, x), F.col("vec_id") % 20 == 0, 20).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    wide, hits = x.astype(float), 0
+    for q in range(0, n, 20):
+        s = wide @ wide[q]
+        s[q] = -9
+        assert len(got[q]) == 20
+        if q % 3 == 0:
+            assert [v for _, v, _ in sorted(got[q])] == [i for i in range(0, 63, 3) if i != q][:20]
+        hits += sum(v >= np.sort(s)[-20] - 1e-9 for _, _, v in got[q])
+    assert hits / (20 * len(range(0, n, 20))) >= 0.9

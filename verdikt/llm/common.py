@@ -30,20 +30,20 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors and the driver see; a session without one (tests) gets its own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        set_already = spark.sparkContext.getCheckpointDir()
-        folder = set_already or tempfile.mkdtemp(prefix="verdikt-")
-        if not set_already:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="verdikt-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df, computed once and kept as a table in the shared folder: later jobs read them whoever was lost.
 
-    Only slim tables are kept so (keys, lengths, sketches), never texts. The folder is the cluster's to clean,
-    like other checkpoints.
+    Most of them are slim (keys, lengths, sketches); texts are kept only where several jobs compare them. The folder is
+    the cluster's to clean, like other checkpoints.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/verdikt/{tag}-{uuid.uuid4().hex}"
@@ -51,6 +51,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Places to which rows of one key are dealt where they are joined with that key's one row.
+SALTS = 8
+
+
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows joined with few, which has one row for each key. A key may hold any share of rows: they are dealt by the
+    column by to SALTS places, each of which gets few's row."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return dealt.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "__salt"], how).drop("__salt")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, other letters kept; texts of ASCII alone take the quick way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, CAPITALS, CAPITALS.lower()))

@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by NN-descent.
 
-A graph holds the k nearest found of every vector. It starts from random hyperplanes' buckets, within which all vectors
-meet, and is improved in rounds: a vector's neighbours, and those that it is a neighbour of, are likely to be neighbours
+Equal vectors are one node. A graph holds the k nearest found of every node. It starts from random hyperplanes' buckets,
+which are split by nearness to some of their own until all within one can meet, and is improved in rounds: a vector's neighbours, and those that it is a neighbour of, are likely to be neighbours
 of each other, so each vector introduces them (a join of the graph with itself through it) and everyone keeps the best.
-Rounds see vectors as bytes. A query walks the graph greedily: from the best nodes it knows that it hasn't visited to
+Rounds see vectors as short integers. A query walks the graph greedily: from the best nodes it knows that it hasn't visited to
 their neighbours, until its best stay the same; its results are ordered by exact products.
 """
 
@@ -16,23 +16,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import bounded_batches, written
+from verdikt.llm.common import bounded_batches, spread_join, written
 from verdikt.llm.vectors import matrix, usable
 
 EDGES = "u long, v long, s double"
-#: Vectors that meet in one place at most; larger buckets and the circles of much-linked vectors are dealt to several.
+#: Vectors that meet in one place at most; the circles of much-linked vectors are dealt to several, anew in every round.
 PLACE = 64
+#: Members by whose nearness a large bucket is split, and how often at most: what can't be split has equal codes.
+PIVOTS, SPLITS = 8, 20
 
 
 def coded(vectors: DataFrame) -> DataFrame:
-    """id, code (a byte for each component) and scale of id and v."""
+    """id, code (two bytes for each component: in a dense cluster one would leave the order to rounding) and scale."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim_rows in _by_dimension(batch):
                 v = matrix(dim_rows.column(1), np.float64)
-                scale = np.abs(v).max(1) / 127
-                codes = np.rint(v / scale[:, None]).astype(np.int8)
+                scale = np.abs(v).max(1) / 32767
+                codes = np.rint(v / scale[:, None]).astype(np.int16)
                 yield pa.RecordBatch.from_arrays([dim_rows.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], names=["id", "code", "scale"])
 
     return vectors.mapInArrow(code, "id long, code binary, scale double")
@@ -44,47 +46,78 @@ def _by_dimension(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(sizes == dim)) if (sizes != dim).any() else batch
 
 
-def buckets(nodes: DataFrame, bits: int, trees: int, seed: int) -> DataFrame:
-    """place and id: each node's bucket of each tree, by the signs of bits random projections."""
+def buckets(nodes: DataFrame, bits: dict[int, int], trees: int, seed: int) -> DataFrame:
+    """place and id: each node's bucket of each tree, by the signs of random projections, as many as bits says for its
+    dimension."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, codes = batch.column(0), [np.frombuffer(c, np.int8) for c in batch.column(1).to_pylist()]
+            ids, codes = batch.column(0), [np.frombuffer(c, np.int16) for c in batch.column(1).to_pylist()]
             for dim in {len(c) for c in codes}:
                 rows = [i for i, c in enumerate(codes) if len(c) == dim]
                 x = np.stack([codes[i] for i in rows]).astype(np.float32)
-                planes = np.random.default_rng(seed).standard_normal((trees, bits, dim)).astype(np.float32)
+                planes = np.random.default_rng(seed).standard_normal((trees, bits[dim], dim)).astype(np.float32)
                 for tree in range(trees):
-                    signs = (x @ planes[tree].T > 0) @ (1 << np.arange(bits))
+                    signs = (x @ planes[tree].T > 0) @ (1 << np.arange(bits[dim]))
                     yield pa.RecordBatch.from_arrays([pa.array((dim * trees + tree) * (1 << 40) + signs.astype(np.int64)), ids.take(pa.array(rows))], names=["place", "id"])
 
     return nodes.select("id", "code").mapInArrow(split, "place long, id long")
 
 
+def split_buckets(places: DataFrame, nodes: DataFrame, leaf: int, seed: int) -> DataFrame:
+    """place and id, where places of more than leaf members are split, again and again: a member goes with the nearest of
+    some members that are drawn by hash. Near ones so stay together, however many they are."""
+    done: DataFrame | None = None
+    for nth in range(SPLITS):
+        sizes = places.groupBy("place").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(F.min_by("id", F.xxhash64(F.lit(seed + PIVOTS * nth + i), "id")) for i in range(PIVOTS)))).alias("pivots"))
+        sizes = written(sizes, "places")
+        large = sizes.filter(F.col("n") > leaf)
+        if large.isEmpty():
+            break
+        small = places.join(large.select("place"), "place", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        pivots = large.select("place", F.explode("pivots").alias("id")).join(nodes.select("id", F.col("code").alias("pivot")), "id").groupBy("place").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
+        met = spread_join(places.join(nodes.select("id", "code"), "id"), pivots, ["place"], "id").select("place", "id", "code", "pivots")
+
+        def nearest_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                codes, pivots_, side = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+                known: dict[tuple, np.ndarray] = {}
+                for code, own in zip(codes, map(tuple, pivots_), strict=True):
+                    if own not in known:
+                        y = np.stack([np.frombuffer(p, np.int16) for p in own]).astype(np.float32)
+                        known[own] = y / np.linalg.norm(y, axis=1, keepdims=True)
+                    side.append(int((known[own] @ np.frombuffer(code, np.int16).astype(np.float32)).argmax()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(side, pa.int32())], names=["place", "id", "side"])
+
+        sides = met.mapInArrow(nearest_pivot, "place long, id long, side int")
+        places = written(sides.select(F.xxhash64("place", "side").alias("place"), "id"), "split")
+    return places if done is None else done.unionByName(places)
+
+
 def introduced(members: DataFrame, k: int, size: int, seed: int) -> DataFrame:
     """Edges u, v, s between members that meet and aren't linked yet, as far as they beat what u has: at most the k
-    best for a meeting. members: place, id, fresh, and of id code, scale, bar, mark0, mark1. A meeting has about size
-    members: those of a larger place are dealt by hash. Two members that aren't fresh have met before."""
+    best for a meeting. members: place, id, fresh, and of id code, scale, bar and known (hashes of its neighbours' ids, of
+    32 bits: a new one passes for a neighbour about once in 10**8). A meeting has about size members: those of a larger
+    place are dealt by hash, in every round anew; in others two members that aren't fresh have met before."""
     counts = members.groupBy("place").agg(F.count("*").alias("n"))
-    dealt = members.join(counts, "place").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "id"), F.ceil(F.col("n") / size)))
-    met = dealt.groupBy("place", "part").agg(F.collect_list(F.struct("id", "code", "scale", "bar", "mark0", "mark1", "fresh")).alias("m")).filter(F.size("m") > 1).select("m")
+    dealt = members.join(counts, "place").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "place", "id"), F.ceil(F.col("n") / size))).withColumn("fresh", F.col("fresh") | (F.col("n") > size))
+    met = dealt.groupBy("place", "part").agg(F.collect_list(F.struct("id", F.hash("id").alias("mark"), "code", "scale", "bar", "known", "fresh")).alias("m")).filter(F.size("m") > 1).select("m")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(0).flatten()
             at = batch.column(0).offsets.to_numpy()
             at = at - at[0]
-            ids, scale, bar, mark0, mark1, fresh = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("id", "scale", "bar", "mark0", "mark1", "fresh"))
-            codes = flat.field("code").to_pylist()
+            ids, scale, bar, fresh = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("id", "scale", "bar", "fresh"))
+            codes, known, marks = flat.field("code").to_pylist(), flat.field("known"), flat.field("mark").to_numpy()
             us, vs, ss = [], [], []
-            bit0, bit1 = _marks(ids, seed)
             for a, b in zip(at[:-1], at[1:], strict=True):
                 if len({len(c) for c in codes[a:b]}) > 1:
                     continue  # vectors of several dimensions never share a bucket or an edge
-                x = np.frombuffer(b"".join(codes[a:b]), np.int8).reshape(b - a, -1).astype(np.float32)
+                x = np.frombuffer(b"".join(codes[a:b]), np.int16).reshape(b - a, -1).astype(np.float32)
                 s = (x @ x.T).astype(float) * scale[a:b, None] * scale[None, a:b]
-                known = ((mark0[a:b, None] & bit0[None, a:b]) | (mark1[a:b, None] & bit1[None, a:b])) != 0
-                out = known | (s <= bar[a:b, None]) | (ids[a:b, None] == ids[None, a:b]) | ~(fresh[a:b, None] | fresh[None, a:b])
+                out = _listed(known[a:b], marks[a:b]) | (s <= bar[a:b, None]) | (ids[a:b, None] == ids[None, a:b]) | ~(fresh[a:b, None] | fresh[None, a:b])
                 s[out] = -np.inf
                 if b - a > k:
                     keep = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -100,22 +133,16 @@ def introduced(members: DataFrame, k: int, size: int, seed: int) -> DataFrame:
     return met.mapInArrow(meet, EDGES)
 
 
-def _marks(ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bit that stands for each id in a round's two words of marks."""
-    h = (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 7919 + 1)) * np.uint64(0xBF58476D1CE4E5B9)
-    bit = (np.uint64(1) << (h >> np.uint64(57) & np.uint64(63))).view(np.int64)
-    return np.where(h >> np.uint64(63), 0, bit), np.where(h >> np.uint64(63), bit, 0)
-
-
-def _marked(edges: DataFrame, seed: int) -> DataFrame:
-    @F.pandas_udf("struct<m0 long, m1 long>")
-    def marks(v):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        m0, m1 = _marks(v.to_numpy(), seed)
-        return pd.DataFrame({"m0": m0, "m1": m1})
-
-    return edges.withColumn("mark", marks("v"))
+def _listed(lists: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """Whether each list (a row) holds each mark (a column)."""
+    at = lists.offsets.to_numpy()
+    flat, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), np.diff(at))
+    by = np.argsort(marks, kind="stable")
+    first, last = (np.searchsorted(marks[by], flat, side) for side in ("left", "right"))
+    found = np.zeros((len(lists), len(marks)), bool)
+    some = last > first
+    found[row[some], by[first[some]]] = True
+    return found
 
 
 def best(edges: DataFrame, k: int, by: str = "u", to: str = "v") -> DataFrame:
@@ -127,19 +154,20 @@ def best(edges: DataFrame, k: int, by: str = "u", to: str = "v") -> DataFrame:
 def build(vectors: DataFrame, k: int = 24, trees: int = 5, leaf: int = 192, rounds: int = 6, settled: float = 0.02, seed: int = 7) -> DataFrame:
     """The graph: u, v, s (about their inner product), at most k edges for each u. vectors: id and v, distinct ids.
 
-    Ends when a round brings fewer than a share of settled new edges, or after so many rounds.
+    Ends when a round brings fewer than a share of settled new edges, or after so many rounds. All vectors of a dimension
+    that has no more than leaf of them meet at the start.
     """
     nodes = written(coded(vectors), "codes")
-    n = nodes.count()
-    bits = max(0, int(np.ceil(np.log2(max(1, n) / leaf)))) if n > leaf else 0
-    start = buckets(nodes, bits, trees, seed).join(nodes, "id").select("place", "id", "code", "scale", F.lit(float("-inf")).alias("bar"), F.lit(0).cast("long").alias("mark0"), F.lit(0).cast("long").alias("mark1"), F.lit(True).alias("fresh"))
+    dims = {r.dim: r.n for r in nodes.groupBy((F.octet_length("code") / 2).cast("int").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row for each dimension
+    bits = {dim: int(np.ceil(np.log2(n / leaf))) if n > leaf else 0 for dim, n in dims.items()}
+    low, nobody = F.lit(float("-inf")), F.array().cast("array<int>")
+    places = split_buckets(written(buckets(nodes, bits, trees, seed), "buckets"), nodes, leaf, seed)
+    start = places.join(nodes, "id").select("place", "id", "code", "scale", low.alias("bar"), nobody.alias("known"), F.lit(True).alias("fresh"))
     first = introduced(start, k, leaf, seed).groupBy("u", "v").agg(F.max("s").alias("s"))
     graph = written(best(first, k).withColumn("fresh", F.lit(True)), "graph")
     for nth in range(rounds):
-        if not n:
-            break
-        marked = _marked(graph, seed + nth + 1).groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(float("-inf"))).alias("bar"), F.bit_or("mark.m0").alias("mark0"), F.bit_or("mark.m1").alias("mark1"))
-        known = nodes.join(marked.withColumnRenamed("u", "id"), "id", "left").select("id", "code", "scale", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"), F.coalesce("mark0", F.lit(0)).alias("mark0"), F.coalesce("mark1", F.lit(0)).alias("mark1"))
+        linked = graph.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") >= k, F.min("s")).otherwise(low).alias("bar"), F.collect_list(F.hash("v")).alias("known"))
+        known = nodes.join(linked, "id", "left").select("id", "code", "scale", F.coalesce("bar", low).alias("bar"), F.coalesce("known", nobody).alias("known"))
         both = graph.select(F.col("u").alias("place"), F.col("v").alias("id"), "fresh").union(graph.select("v", "u", "fresh")).groupBy("place", "id").agg(F.bool_or("fresh").alias("fresh"))
         found = introduced(both.join(known, "id"), k, PLACE, seed + nth + 1)
         merged = graph.select("u", "v", "s", F.lit(False).alias("fresh")).union(found.select("u", "v", "s", F.lit(True))).groupBy("u", "v").agg(F.max("s").alias("s"), F.bool_and("fresh").alias("fresh"))
@@ -187,13 +215,26 @@ def nearest(embeddings: DataFrame, asked: Column, k: int = 20, id_column: str =
     product in double precision, ties to the smaller id; all others if there are no more than that.
 
     Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part; vectors meet
-    those of their own dimension. Rows with an id count once, with their least vector.
+    those of their own dimension. Rows with an id count once, with their least vector. Equal vectors are one node of the
+    graph, which stands for its least ids, so any number of copies is found whole; an empty table gives no rows.
     """
     bounded_batches(embeddings.sparkSession)
     source = embeddings.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
     rows = source.filter(F.col("id").isNotNull() & usable(F.col("v"), nonzero=True))
-    vectors = rows.groupBy("id").agg(F.min("v").alias("v"), F.bool_or("asked").alias("asked"))
-    graph = build(vectors.select("id", "v"), max(graph_k, k), **options)
-    found = walk(graph, vectors.filter("asked").select("id", "v"), vectors.select("id", "v"), max(pool, k))
-    order = Window.partitionBy("q").orderBy(F.col("s").desc(), "v")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("v").alias("vec_id"), F.col("s").alias("score"))
+    once = rows.groupBy("id").agg(F.min("v").alias("v"), F.bool_or("asked").alias("asked"))
+    vectors = written(once.select("id", "v", "asked", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")), "vectors")
+    same = ["h1", "h2"]
+    nodes = written(vectors.groupBy(*same).agg(F.min("id").alias("node"), F.first("v").alias("v"), F.bool_or("asked").alias("asked")), "nodes")
+    distinct = nodes.select(F.col("node").alias("id"), "v")
+    queries = nodes.filter("asked").select(F.col("node").alias("id"), "v")
+    graph = build(distinct, max(graph_k, k), **options)
+    found = walk(graph, queries, distinct, max(pool, k)).unionByName(exact(queries.select(F.col("id").alias("q"), F.col("id").alias("v")), queries, distinct))
+
+    # each node stands for its k + 1 least ids: a query among them leaves k; that limit comes before rows are shuffled
+    least = vectors.select("id", *same).withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("id"))).filter(F.col("nth") <= k + 1)
+    members = least.join(nodes.select(*same, F.col("node").alias("v")), same).select("v", "id")
+    ranked = lambda by: Window.partitionBy(by).orderBy(F.col("s").desc(), "id")
+    top = found.join(members, "v").withColumn("nth", F.row_number().over(ranked("q"))).filter(F.col("nth") <= k + 1).groupBy("q").agg(F.collect_list(F.struct("id", "s")).alias("top"))
+    asking = spread_join(vectors.filter("asked").select(F.col("id").alias("query_id"), *same), nodes.select(*same, F.col("node").alias("q")), same, "query_id")
+    near = spread_join(asking.select("query_id", "q"), top, ["q"], "query_id").select("query_id", F.inline("top")).filter("query_id <> id")
+    return near.withColumn("rank", F.row_number().over(ranked("query_id"))).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), F.col("s").alias("score"))

@@ -17,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import bounded_batches, chunks, mixed, row_key, utf8, word_hashes, written
+from verdikt.llm.common import bounded_batches, chunks, mixed, row_key, spread_join, utf8, word_hashes, written
 
 #: So many orders in which a bucket's leader is its first text: a text missed by one leader meets another.
 ORDERS = 3
-#: Places to which rows of one key are dealt where they are joined with that key's one row.
-SALTS = 8
 #: Texts, about, that are compared with one copy of a leader's text.
 LED = 500
 #: Bytes of signatures, about, in one block of a bucket's members.
@@ -185,13 +183,6 @@ def similar(a: np.ndarray, a_labels: np.ndarray, b: np.ndarray, b_labels: np.nda
     return bool(np.all(order[1:] > order[:-1])) or rising(order) >= needed or banded_matches(a.tolist(), b.tolist(), both - 2 * needed) >= needed
 
 
-def _spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
-    """rows joined with few, which has one row for each key. A key may hold any share of rows: they are dealt by the
-    column by to SALTS places, each of which gets few's row."""
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    return dealt.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "__salt"], how).drop("__salt")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
     """t, leader and whether they are similar. texts: one row for each t that occurs.
 
@@ -199,7 +190,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     behind it, one at a time.
     """
     parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(LED)).alias("parts"))
-    led = _spread_join(pairs.select("t", "leader"), parts, ["leader"], "t").select("t", "leader", F.pmod(F.xxhash64("t"), "parts").alias("part"), F.lit(1).alias("place"))
+    led = spread_join(pairs.select("t", "leader"), parts, ["leader"], "t").select("t", "leader", F.pmod(F.xxhash64("t"), "parts").alias("part"), F.lit(1).alias("place"))
     own = parts.select(F.col("leader").alias("t"), "leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"))
     rows = led.unionByName(own).join(texts, "t").select("t", "leader", "part", "place", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", "place")
 
@@ -281,7 +272,7 @@ def _arenas(members: DataFrame) -> DataFrame:
     whole = sizes.groupBy("value").agg(F.max(F.struct("size", "root", "w")).alias("main"), F.sum("size").alias("members"), F.sum("w").alias("w")).filter("members > 2 AND members > main.size")
     largest = written(whole.select("value", F.col("main.root").alias("main"), F.col("main.size").alias("size"), (F.col("members") - F.col("main.size")).alias("others"), "w", (F.col("w") - F.col("main.w")).alias("other_w")), "largest")
     other = sizes.select("value", "root").join(largest.select("value", "main", "w", "other_w"), "value").filter("root <> main")
-    minor = written(_spread_join(here, other, ["value", "root"], "t").select("value", "main", "t", "n", "root", "w", "other_w"), "minor")
+    minor = written(spread_join(here, other, ["value", "root"], "t").select("value", "main", "t", "n", "root", "w", "other_w"), "minor")
     by_bucket = largest.groupBy("main").agg(F.sum(F.col("size") * F.col("others")).alias("by_bucket"))
     minors = minor.select("main", "t", "n").distinct().groupBy("main").agg(F.count("*").alias("minors"), F.sum(width).alias("minor_w"))
     by_class = minors.join(members.groupBy(F.col("root").alias("main")).agg(F.count("*").alias("size"), F.sum(width).alias("class_w")), "main")
@@ -291,7 +282,7 @@ def _arenas(members: DataFrame) -> DataFrame:
     in_class, hot_places = F.xxhash64(F.lit("class"), "main"), (F.col("hot_rows"), F.col("hot_columns"))
     of_class = members.withColumn("main", F.col("root")).join(hot, "main").select(*place(in_class, THERE, *hot_places))
     cool = largest.join(hot, "main", "left_anti").select("value", F.col("main").alias("root"), "w", "other_w")
-    of_bucket = _spread_join(here, cool, ["value", "root"], "t").select(*place(F.col("value"), THERE, blocks("w"), blocks("other_w")))
+    of_bucket = spread_join(here, cool, ["value", "root"], "t").select(*place(F.col("value"), THERE, blocks("w"), blocks("other_w")))
     marked = minor.join(hot, "main", "left")
     in_bucket = marked.select(*place(F.col("value"), BOTH, F.when(F.col("hot_rows").isNull(), blocks("w")).otherwise(blocks("other_w")), blocks("other_w")))
     against_class = marked.filter("hot_rows IS NOT NULL").select(*place(in_class, ASKING, *hot_places)).distinct()
@@ -356,7 +347,7 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     spread = texts.select("t", "n", F.posexplode("sketches").alias("j", "value"))
     bands = written(spread.select("value", "t", "n", F.xxhash64("t", F.pmod("j", F.lit(ORDERS))).alias("rank")), "bands")
     leaders = bands.groupBy("value").agg(F.min(F.struct("rank", "t", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1").select("value", "lead")
-    met = written(_spread_join(bands, leaders, ["value"], "t").filter(F.col("t") != F.col("lead.t")).select("value", "t", "n", F.col("lead.t").alias("leader"), F.col("lead.n").alias("leader_n")), "met")
+    met = written(spread_join(bands, leaders, ["value"], "t").filter(F.col("t") != F.col("lead.t")).select("value", "t", "n", F.col("lead.t").alias("leader"), F.col("lead.n").alias("leader_n")), "met")
     wanted = written(met.select("t").union(met.select("leader")).distinct(), "wanted")
 
     # the texts of all buckets, fetched once: of each distinct text its first row's
@@ -380,11 +371,11 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
         shown = shown.union(more)
         ends = lambda df: df.join(members.select("t", F.col("root").alias("a")), "t").join(members.select(F.col("t").alias("leader"), F.col("root").alias("b")), "leader")  # noqa: E731, B023
         whole = components(ends(more.filter("linked")).select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("whole"))
-        members = written(_spread_join(members, whole, ["root"], "t", "left").select("t", "n", "buckets", F.coalesce("whole", "root").alias("root")), "members")
+        members = written(spread_join(members, whole, ["root"], "t", "left").select("t", "n", "buckets", F.coalesce("whole", "root").alias("root")), "members")
         if ends(pairs.filter("more")).filter("a <> b").isEmpty():
             break
         most *= 8
-    return _spread_join(rows.select("id", "k1", "k2", "t"), members.select("t", "root"), ["t"], "k1", "left").select("id", "k1", "k2", F.coalesce("root", "t").alias("class"))
+    return spread_join(rows.select("id", "k1", "k2", "t"), members.select("t", "root"), ["t"], "k1", "left").select("id", "k1", "k2", F.coalesce("root", "t").alias("class"))
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, similarity: float = 0.8, hashes: int = 12) -> DataFrame:
@@ -406,7 +397,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     """
     placed = written(classes(documents, id_column, text_column, shingle_words, similarity, hashes), "placed")
     best = placed.groupBy("class").agg(F.min(F.struct("id", "k1", "k2")).alias("best"))
-    return _spread_join(placed, best, ["class"], "k1").select("id", "k1", "k2", F.col("best.id").alias("class_id"), ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("first"))
+    return spread_join(placed, best, ["class"], "k1").select("id", "k1", "k2", F.col("best.id").alias("class_id"), ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("first"))
 
 
 def drop_near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: float) -> DataFrame:
