@@ -326,3 +326,74 @@ def test_signatures():
         true = len(np.setxor1d(a, b))
         assert true - apart <= true // 4 + 1
         assert apart <= true
+
+
+def test_reputation(spark):
+    """Rates shrink from suffix to domain to site as beta-binomial means say, and a bad site is blocked."""
+    draw, rows, good = np.random.default_rng(3), [], []
+    rate = {"a.one.net": 0.95, "b.one.net": 0.9, "bad.one.net": 0.2, "www.two.co.uk": 0.9, "x.three.net": 0.97}
+    for site, p in rate.items():
+        for _ in range(120):
+            good.append((len(rows), bool(draw.random() < p)))
+            rows.append((len(rows), f"http://{site}/{'p' * 5000}{len(rows)}", "h", "r", True))
+    rows.append((len(rows), "http://new.one.net/", "h", "r", True))
+    pages = spark.createDataFrame(rows, "page_id long, url string, site string, rule string, blocked boolean")
+    outcomes = spark.createDataFrame(good, "page_id long, good boolean")
+    judged = judge_urls(pages, outcomes)
+    verdicts = {(r.host, r.verdict) for r in judged.collect()}
+    assert {h for h, v in verdicts if v == "block"} >= {"bad.one.net"}
+    assert ("a.one.net", "allow") in verdicts and ("x.three.net", "allow") in verdicts
+    n, k = defaultdict(int), defaultdict(int)
+    for (i, ok), (_, url, *_) in zip(good, rows, strict=False):
+        n[url.split("/")[2]] += 1
+        k[url.split("/")[2]] += ok
+    domain = lambda s: "two.co.uk" if s.endswith("co.uk") else ".".join(s.split(".")[-2:])
+    suffix = lambda d: d.partition(".")[2]
+    grouped = lambda of, x: {g: sum(v for s, v in x.items() if of(s) == g) for g in {of(s) for s in x}}
+
+    def strength(level_n, level_k, up_rate, parents):
+        w, q = sum(level_n.values()), sum(v * v for v in level_n.values())
+        e = sum(level_n[g] * (level_k[g] / level_n[g] - up_rate[g]) ** 2 for g in level_n)
+        variance = sum(level_n[g] * up_rate[g] * (1 - up_rate[g]) for g in level_n) / w
+        if w - q / w <= 0:
+            return 10.0
+        share = min(0.5, max(1 / 1001, (e - max(0, len(level_n) - parents) * variance) / (w - q / w) / variance))
+        return (1 - share) / share
+
+    top = (sum(k.values()) + 1) / (sum(n.values()) + 2)
+    dn, dk = grouped(domain, n), grouped(domain, k)
+    sn, sk = grouped(suffix, dn), grouped(suffix, dk)
+    ms, md = strength(sn, sk, dict.fromkeys(sn, top), 1), strength(dn, dk, {d: sk[suffix(d)] / sn[suffix(d)] for d in dn}, len(sn))
+    mh = strength(n, k, {s: dk[domain(s)] / dn[domain(s)] for s in n}, len(dn))
+    suffix_mean = {s: (sk[s] + ms * top) / (sn[s] + ms) for s in sn}
+    domain_mean = {d: (dk[d] + md * suffix_mean[suffix(d)]) / (dn[d] + md) for d in dn}
+    got = {r.host: r for r in judged.collect()}
+    for site in rate:
+        prior = domain_mean[domain(site)]
+        assert got[site].posterior_mean == pytest.approx((k[site] + mh * prior) / (n[site] + mh), rel=1e-9)
+        a, b = k[site] + mh * prior, n[site] - k[site] + mh * (1 - prior)
+        assert got[site].p_below == pytest.approx(np.mean(draw.beta(a, b, 200_000) < 0.8 * top), abs=5e-3)
+    assert got["new.one.net"].posterior_mean == pytest.approx(domain_mean["one.net"], rel=1e-9)
+    assert float(beta_below(0.5, np.array([2e6]), np.array([2e6]))[0]) == pytest.approx(0.5, abs=1e-6)
+
+
+def test_pipeline_columns(spark, tmp_path):
+    """Columns whose names operators use within come through every stage, and missing, empty and null ones are no harm."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, keep string, n_lines int, n_dropped int, epoch int, `odd name` string"
+    rows = [(i, " ".join(words(i, 50)), ("en", "de", None)[i % 3], "src1", 0, 42.0, "p", "k", 5, 6, 7, "o") for i in range(40)]
+    rows += [rows[0], (100, None, None, None, None, None, None, None, None, None, None, None), (101, "", "en", "src1", 0, 42.0, "p", "k", 5, 6, 7, "o")]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame(rows, schema).limit(0), spark.createDataFrame(rows, schema).select("doc_id", "text"), spark.createDataFrame([r for r in rows if r[1] is None], schema)):
+        whole = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            assert out.schema.simpleString() == docs.schema.simpleString()
+            path = str(tmp_path / f"{name}-{len(docs.columns)}-{whole}")
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+        if "epoch" in docs.columns:
+            assert {(r.score, r.lang_pred, r.keep, r.n_lines, r.n_dropped, r.epoch, r["odd name"]) for r in docs.collect()} <= {(42.0, "p", "k", 5, 6, 7, "o")}
+        assert docs.count() > 20 if whole > 20 else docs.count() == 0
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()

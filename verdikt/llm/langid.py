@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdikt.llm.common import bounded_batches, chunks, utf8
 
@@ -155,13 +156,16 @@ class Classifier:
         return language, score
 
 
-def fit(labelled: DataFrame, per_language: int = 800, bits: int = 12) -> Classifier | None:
+def fit(labelled: DataFrame, per_language: int = 800, bits: int = 12, most_languages: int = 60) -> Classifier | None:
     """A classifier from text and lang of the rows (nulls take no part), of which at most per_language for each
     language, chosen by hash, are looked at: whole texts, whose features alone go to the driver. Equal rows count once.
-    None without rows. Languages are taken to be few."""
+    None without rows. More languages than most_languages are refused, as the driver holds that sample's features."""
     bounded_batches(labelled.sparkSession)
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''").select("text", "lang", F.xxhash64("text", "lang").alias("h"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()
+    if len(found) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: set most_languages if the driver may hold {per_language} rows of each")
+    sizes = {r.lang: r.n for r in found}
     if not sizes:
         return None
     cut = F.lit(None).cast("long")
@@ -221,7 +225,7 @@ def predict(documents: DataFrame, classifier: Classifier | None, text_column: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     inner = documents.select(*(F.col(f"`{c}`") for c in kept))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema), "lang_pred string", "score double"])
+    schema = T.StructType([*inner.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return inner.mapInArrow(label, schema)
 
 

@@ -119,9 +119,9 @@ def cut(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
     return documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text")).mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, lot int")
 
 
-def full_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """All ways to fill capacity exactly with one to three of the lengths (three only up to a capacity of 2048), as rows
-    of three lengths in falling order, 0 for none."""
+def full_patterns(lengths: np.ndarray, capacity: int, parts: int = 3) -> np.ndarray:
+    """All ways to fill capacity exactly with one to parts (2 or 3) of the lengths, as rows of three lengths in falling
+    order, 0 for none. There are up to capacity**2 / 12 of three."""
     there = np.zeros(capacity + 1, bool)
     there[lengths] = True
     there[0] = False
@@ -129,7 +129,7 @@ def full_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     second = np.arange(1, capacity // 2 + 1)
     second = second[there[second] & there[capacity - second]]
     found.append(np.stack([capacity - second, second, 0 * second], 1))
-    if capacity <= 2048:
+    if parts > 2:
         for third in np.flatnonzero(there[: capacity // 3 + 1]):
             middle = np.arange(third, (capacity - third) // 2 + 1)
             middle = middle[there[middle] & there[capacity - third - middle]]
@@ -161,11 +161,11 @@ def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 400)
     return x
 
 
-def plan_packs(histogram: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+def plan_packs(histogram: np.ndarray, capacity: int, parts: int = 3) -> list[tuple[list[int], int]]:
     """(lengths of one sequence, how many such sequences), few, which together hold the histogram exactly."""
     left = np.array(histogram, np.int64)
     packs: list[tuple[list[int], int]] = []
-    patterns = full_patterns(np.flatnonzero(left), capacity) if left.any() else np.zeros((0, 3), np.int64)
+    patterns = full_patterns(np.flatnonzero(left), capacity, parts) if left.any() else np.zeros((0, 3), np.int64)
     if len(patterns):
         repeats = np.floor(fit_repeats(patterns, left.astype(float)) + 0.5).astype(np.int64)
         for at in np.argsort(-repeats, kind="stable")[: np.count_nonzero(repeats)]:
@@ -212,7 +212,7 @@ def _slots(packs: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray,
     return table[:, 0], table[:, 1], table[:, 2]
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", parts: int = 3) -> DataFrame:
     """All pieces of all documents with their sequence_id and offset: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset.
 
@@ -225,7 +225,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
     counts = np.zeros((capacity + 1, LOTS), np.int64)
     counts[counted["length"], counted["lot"]] = counted["n"]
     before = np.cumsum(counts, 1) - counts
-    keys, sequences, offsets = _slots(plan_packs(counts.sum(1), capacity))
+    keys, sequences, offsets = _slots(plan_packs(counts.sum(1), capacity, parts))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

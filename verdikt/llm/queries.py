@@ -29,16 +29,19 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of every document, without the redacted texts."""
     return pii.find(read(spark, sf_dir, "documents"), redact=False)
 
 
 def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
     import public_tokenizers
 
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all vectors for every fiftieth."""
     embeddings = read(spark, sf_dir, "embeddings")
     return top_k(embeddings, embeddings.filter("vec_id % 50 = 0"))
 
@@ -58,6 +61,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of all vectors for every twentieth."""
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
@@ -66,17 +70,20 @@ def id_remainder(of: int) -> Column:
 
 
 def op5_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the documents that aren't held out, predicted for all."""
     held_out = id_remainder(3) == 1
     found = langid.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ten documents or more go from all; only a digest of what stays is returned."""
     kept = dedup_lines(read(spark, sf_dir, "documents"), min_length=1, min_documents=10, keep_first=False)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the documents that aren't held out, all scored."""
     return ppm.score_documents(read(spark, sf_dir, "documents"), id_remainder(7) == 2)
 
 
@@ -87,6 +94,7 @@ def op9_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document."""
     return near_duplicates(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
