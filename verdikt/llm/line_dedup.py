@@ -8,8 +8,6 @@ get back a compressed bitmap of the lines that stay (run lengths), not text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +65,9 @@ def run_lengths(positions: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.array(r.start.x - r.gone - 1, r.end.x - r.start.x + 1)))
 
 
-def keep_bitmaps(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_length: int = 1, min_documents: int = 2, keep_first: bool = True, classes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def keep_bitmaps(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_length: int = 1, min_documents: int = 2, keep_first: bool = True) -> DataFrame:
     """k1, k2 and keep, for rows that lose lines: the bitmap of the lines that stay, compressed to run lengths, kept
-    lines first. Lines found in min_documents rows or more go, but for the first occurrence if keep_first. With classes,
-    which gives k1, k2 and class of rows, the first occurrence goes too if rows of min_documents classes have the line.
+    lines first. Lines found in min_documents rows or more go, but for the first occurrence if keep_first.
 
     Hot lines: the join is an equi-join with one row per line on the right, so adaptive execution broadcasts a right
     side that it has measured to be small, and else splits a hot line's rows.
@@ -78,29 +75,21 @@ def keep_bitmaps(documents: DataFrame, id_column: str = "doc_id", text_column: s
     lines = written(keyed_lines(documents, id_column, text_column, min_length), "lines")  # hashes alone, for both uses
     common = line_occurrences(lines, min_documents).withColumnsRenamed({"h1": "c1", "h2": "c2"})
     hit = lines.join(common, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
-    if keep_first and classes is not None:
-        hit = written(hit.select("k1", "k2", "position", "fresh", "c1", "c2", "first"), "hits")
-        keys = [k.alias(name) for k, name in zip(row_key(f"`{id_column}`", f"`{text_column}`"), ("__k1", "__k2"), strict=True)]
-        held = hit.select(F.col("k1").alias("__h1"), F.col("k2").alias("__h2")).distinct()
-        affected = documents.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"), *keys).join(held, (F.col("__k1") == F.col("__h1")) & (F.col("__k2") == F.col("__h2")), "left_semi").drop("__k1", "__k2")
-        its = classes(affected).select("k1", "k2", "class").distinct()
-        many = hit.filter("fresh").join(its, ["k1", "k2"]).select("c1", "c2", "class").distinct().groupBy("c1", "c2").count().filter(F.col("count") >= min_documents).select("c1", "c2", F.lit(True).alias("everywhere"))
-        hit = hit.join(many, ["c1", "c2"], "left")
     if keep_first:
-        everywhere = F.coalesce(F.col("everywhere"), F.lit(False)) if classes is not None else F.lit(False)
-        hit = hit.filter(everywhere | (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")) | (F.col("position") != F.col("first.position")))
+        hit = hit.filter((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")) | (F.col("position") != F.col("first.position")))
     gone = hit.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("position")).alias("gone"))
     return gone.select("k1", "k2", run_lengths(F.col("gone")).alias("keep"))
 
 
-def dedup_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_length: int = 1, min_documents: int = 2, keep_first: bool = True, classes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def dedup_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_length: int = 1, min_documents: int = 2, keep_first: bool = True) -> DataFrame:
     """The rows of documents without their common lines, and with n_lines, n_dropped and keep (run lengths; null if all
     stay) as further columns, which replace columns of these names.
 
     Null and empty texts are one empty line, whose key is empty and stays if min_length is positive; a null text stays
-    null. A row whose lines all go has an empty text. Equal rows are documents of their own and lose the same lines.
+    null. A row whose lines all go has an empty text. Equal rows are documents of their own and lose the same lines. A
+    very long text is one array of lines within its row.
     """
-    bitmaps = keep_bitmaps(documents, id_column, text_column, min_length, min_documents, keep_first, classes).withColumnsRenamed({"k1": "b1", "k2": "b2", "keep": "b_keep"})
+    bitmaps = keep_bitmaps(documents, id_column, text_column, min_length, min_documents, keep_first).withColumnsRenamed({"k1": "b1", "k2": "b2", "keep": "b_keep"})
     others = [F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_dropped", "keep")]
     keys = [k.alias(name) for k, name in zip(row_key(f"`{id_column}`", f"`{text_column}`"), ("__k1", "__k2"), strict=True)]
     joined = documents.select(*others, *keys).join(bitmaps, (F.col("__k1") == F.col("b1")) & (F.col("__k2") == F.col("b2")), "left")
