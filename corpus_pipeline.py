@@ -14,7 +14,7 @@ from verdikt.llm import langid
 from verdikt.llm.common import WHITE, column_or_null
 from verdikt.llm.line_dedup import dedup_lines
 from verdikt.llm.mixing import WEIGHTS, corpus_levels, mix
-from verdikt.llm.order_minhash import classes, drop_near_duplicates
+from verdikt.llm.order_minhash import drop_near_duplicates
 from verdikt.llm.packing import pack_documents
 
 #: Documents that no language is at least so sure of are rejected, as are those without a letter.
@@ -50,10 +50,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share go from all of them if those are of ten classes of near copies; else the
-    first occurrence stays, so that a group of copies keeps one whole text. Documents that are emptied go; null texts and
-    those that were empty before stay, as no line of theirs goes. Equal rows are documents of their own."""
-    found = dedup_lines(_packed(docs), min_length=1, min_documents=10, keep_first=True, classes=classes)
+    """Lines that ten documents or more share stay where they occur first, by the least id, and go from the others: of a
+    group of copies one whole text stays. Documents that are emptied go; null texts and those that were empty before
+    stay, as no line of theirs goes. Equal rows are documents of their own."""
+    found = dedup_lines(_packed(docs), min_length=1, min_documents=10, keep_first=True)
     return _unpacked(found.filter((F.col("n_dropped") == 0) | (F.btrim("text", F.lit(WHITE)) != "")), docs)
 
 
