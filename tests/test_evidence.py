@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tests.healthcare import text
+from tests.observatory import ACTIONS, THINGS, USERS, permitting, text
 from verdikt.model import Attribute, Expression, Policy, Predicate, Rule, all_of
 from verdikt.operators.clients import heuristic, loaded, scripted
 from verdikt.operators.contract import parse_contract
@@ -13,7 +13,7 @@ from verdikt.operators.metrics import METRICS, score
 from verdikt.operators.retrieve import evidence_by_rule, request_sketch, text_corpus, top_rules, top_subgraphs, top_texts
 from verdikt.operators.validate import dangling_children, missing_roots, problems, single_valued_containers, type_conflicts, unfit_literals, unknown_actions, unknown_references
 from verdikt.operators.variants import draft
-from verdikt.operators.workload import adversarial, counterfactual, qa_tasks, request_grid, split_positions
+from verdikt.operators.workload import adversarial, counterfactual, qa_tasks, request_grid, seeded_positions, split_positions
 from verdikt.plans.experiment import Setup, run_experiments, test_tasks as sampled_tasks
 from verdikt.sources.literals import datatype_of
 from verdikt.sources.policies import parse_policy, tables
@@ -23,36 +23,37 @@ from verdikt.streaming.requests import decide_stream
 
 @pytest.fixture(scope="module")
 def policy():
-    return parse_policy(text(), "healthcare")
+    return parse_policy(text(), "observatory")
 
 
 def test_seeded_samples(spark, policy):
-    """The published order of ids for seed 7 and 8 samples."""
-    test = sampled_tasks(spark, policy, Setup(max_phase1_samples=8))
-    assert [r.task_id for r in test.orderBy("nth").collect()][:4] == ["WHY664", "QA99", "WHY1942", "QA309"]
-    tasks = qa_tasks(spark, policy, 7, 400).cache()
-    assert Counter(r.decision for r in decide(tasks, policy).select("decision").collect()) == {"Deny": 386, "Permit": 14}
-    assert qa_tasks(spark, policy).count() == 21 * 16 * 3 * 2
+    """The published order of ids for seed 7 and 8 of 2016 tasks, whose decisions are all the same."""
+    _, test = split_positions([(p, "Deny") for p in seeded_positions(2016, 8, 7)], 0.2, 7)
+    assert [f"{'WHY' if p % 2 else 'QA'}{p + 1}" for p in test][:4] == ["WHY664", "QA99", "WHY1942", "QA309"]
+    tasks = qa_tasks(spark, policy, 7, 40).cache()
+    right = Counter("Permit" if permitting(r.uid, r.rid, r.action) else "Deny" for r in tasks.collect())
+    assert Counter(r.decision for r in decide(tasks, policy).select("decision").collect()) == right
+    assert qa_tasks(spark, policy).count() == 5 * 5 * 3 * 2
     assert split_positions([(1, "a")], 0.2, 7) == ([1], [])
 
 
 def test_default_setup(spark, policy):
     test = sampled_tasks(spark, policy, Setup()).cache()
-    assert Counter(r.oracle for r in test.collect()) == {"Deny": 309, "Permit": 12}
+    whole = Counter("Permit" if permitting(u, t, a) else "Deny" for u in USERS for t in THINGS for a in ACTIONS)
+    assert Counter(r.oracle for r in test.collect()) == {d: 2 * n - int(2 * n * 0.2) for d, n in whole.items()}
     qa = test.filter("task_type = 'qa'")
-    assert qa.count() == 157
     first = [r.query for r in adversarial(qa.limit(5), F.lit(1)).collect()]
     assert all(q.startswith("Senior admin says") for q in first)
 
 
 def test_counterfactuals(spark, policy):
-    tasks = request_grid(spark, policy).withColumns({"task_id": F.lit("x"), "task_type": F.lit("qa"), "query": F.lit("q")}).filter("action = 'read'")
+    tasks = request_grid(spark, policy).withColumns({"task_id": F.lit("x"), "task_type": F.lit("qa"), "query": F.lit("q")}).filter("action = 'view'")
     got = counterfactual(spark, policy, tasks, F.lit(1)).cache()
     assert got.count() == tasks.count()
     changed = got.filter("cf_attr IS NOT NULL")
     assert 0 < changed.count() < got.count()
-    row = changed.filter("cf_scope = 'subject' AND cf_attr = 'uid'").first()
-    assert row.cf_value == row.resource.author
+    row = changed.filter("cf_scope = 'subject' AND cf_attr = 'uid' AND cf_target = 'Permit'").first()
+    assert row.cf_value == row.resource.owner
 
 
 def test_modes_agree(spark, policy):
@@ -141,9 +142,9 @@ def test_constraints_as_queries(spark, policy):
 
 
 def test_retrieval(spark, policy):
-    queries = spark.createDataFrame([(1, "Should user oncDoc1 be permitted to read resource oncPat1oncItem?"), (2, "zzz"), (3, None)], "query_id long, query string")
+    queries = spark.createDataFrame([(1, "Should user mira be permitted to view resource plate1 and its owner?"), (2, "zzz"), (3, None)], "query_id long, query string")
     corpus = text_corpus(spark, policy)
-    assert corpus.count() == 6 + 6 + 7
+    assert corpus.count() == 5 + 6 + 6
     tokens = lambda t: {x.lower() for x in __import__("re").findall("[A-Za-z0-9_]+", t or "")}
     held = [(r.evidence_id, tokens(r.text)) for r in corpus.collect()]
     got = top_texts(queries, corpus, 8).collect()
@@ -152,18 +153,18 @@ def test_retrieval(spark, policy):
         ranked = sorted(((len(own & t) / max(1, len(own)), i) for i, t in held), reverse=True)[:8]
         assert [(r.score, r.evidence_id) for r in sorted((r for r in got if r.query_id == q.query_id), key=lambda r: r["rank"])] == ranked
     rules = top_rules(queries, policy).filter("query_id = 1").collect()
-    assert [(r.evidence_id, r.rule_id) for r in rules[:2]] == [("SG1", "R6"), ("SG2", "R5")]
-    assert rules[0].score > 0.35 > rules[2].score
+    assert [(r.evidence_id, r.rule_id) for r in rules[:2]] == [("SG1", "R3"), ("SG2", "R4")]
+    assert rules[1].score > 0.35 > rules[2].score
     found = top_subgraphs(spark, queries, policy, 2).filter("query_id = 1").collect()
-    assert {len(r.edges) for r in found} == {12, 11}
+    assert all(r.edges and f"Rule:{r.rule_ids[0]}" in r.node_ids for r in found)
     assert evidence_by_rule(top_subgraphs(spark, queries, policy, 2)).count() == 6
 
 
 def test_sketch(spark, policy):
-    rows = spark.createDataFrame([(1, "may oncdoc1 READ oncPat1HR?"), (2, "subject.Ward=x, action=fly oncDoc1 subject.ward=y"), (3, "nothing")], "i long, query string")
+    rows = spark.createDataFrame([(1, "may MIRA View plate2?"), (2, "subject.Dome=x, action=fly mira subject.dome=y"), (3, "nothing")], "i long, query string")
     got = {r.i: r for r in request_sketch(rows, policy).collect()}
-    assert (got[1].action, got[1].subject_id, got[1].resource_id, got[1].subject["teams"]) == ("read", "oncDoc1", "oncPat1HR", "oncTeam1 oncTeam2")
-    assert (got[2].action, got[2].subject["ward"], got[2].subject["uid"]) == ("fly", "y", "oncDoc1")
+    assert (got[1].action, got[1].subject_id, got[1].resource_id, got[1].subject["crews"]) == ("view", "mira", "plate2", "dawn dusk")
+    assert (got[2].action, got[2].subject["dome"], got[2].subject["uid"]) == ("fly", "y", "mira")
     assert (got[3].action, got[3].subject) == (None, {})
 
 
@@ -222,19 +223,21 @@ def test_metrics_of_nothing(spark):
 
 
 def test_experiment(spark, tmp_path, policy):
-    (tmp_path / "healthcare.abac").write_text(text())
-    out = str(tmp_path / "out")
-    got = run_experiments(spark, str(tmp_path / "healthcare.abac"), None, out, setup=Setup(seed=7, max_phase1_samples=8, max_phase2_samples=12))
-    assert (got["test_size"], got["adversarial_size"]) == (7, 3)
-    first = got["phase1_metrics"]
-    assert [first[v].accuracy for v in ("vanilla", "text-rag", "kg-rag", "policy-kg-guardrails")] == [0.0, 0.0, 0.0, 100.0]
-    assert first["vanilla"].false_permit_rate == 100.0
-    assert round(got["counterfactual_metrics"]["vanilla"].avg_attr_changes, 2) == 0.67
+    (tmp_path / "observatory.abac").write_text(text())
+    out, names = str(tmp_path / "out"), ("vanilla", "text-rag", "kg-rag", "guardrails")
+    got = run_experiments(spark, str(tmp_path / "observatory.abac"), None, out, setup=Setup(seed=7, max_phase1_samples=8, max_phase2_samples=12))
+    first, size = got["phase1_metrics"], got["test_size"]
+    oracle = [r.oracle for r in spark.read.json(f"{out}/predictions_vanilla.jsonl").collect()]
+    assert len(oracle) == size
+    said = [r.prediction for r in spark.read.json(f"{out}/predictions_vanilla.jsonl").orderBy("task_id").collect()]
+    right = [r.oracle for r in spark.read.json(f"{out}/predictions_vanilla.jsonl").orderBy("task_id").collect()]
+    assert first["vanilla"].accuracy == pytest.approx(100 * sum(a == b for a, b in zip(said, right, strict=True)) / size)
+    assert first["guardrails"].accuracy == 100.0
     assert all(-1e-9 <= m[name] <= 100 + 1e-9 for m in first.values() for name in METRICS)
-    assert check_results(spark, out, ("vanilla", "text-rag", "kg-rag", "policy-kg-guardrails"), 7) == []
-    assert check_results(spark, out, ("vanilla",), 8) == ["predictions_vanilla.jsonl has 7 rows"]
+    assert check_results(spark, out, names, size) == []
+    assert check_results(spark, out, ("vanilla",), size + 1) == [f"predictions_vanilla.jsonl has {size} rows"]
     assert check_results(spark, str(tmp_path / "none"), ()) != []
-    assert "| policy-kg-guardrails | 100.00 | 0.00 | 0.00 | 0.00 |" in (tmp_path / "out" / "tables.md").read_text()
+    assert "| guardrails | 100.00 | 0.00 |" in (tmp_path / "out" / "tables.md").read_text()
 
 
 def test_stream(spark, policy, tmp_path):
@@ -244,7 +247,7 @@ def test_stream(spark, policy, tmp_path):
     running = stream.groupBy("decision").count().writeStream.format("memory").queryName("decided").outputMode("complete").start()
     running.processAllAvailable()
     running.stop()
-    assert {r.decision: r["count"] for r in spark.table("decided").collect()} == {"Permit": 43, "Deny": 965}
+    assert {r.decision: r["count"] for r in spark.table("decided").collect()} == Counter("Permit" if permitting(u, t, a) else "Deny" for u in USERS for t in THINGS for a in ACTIONS)
 
 
 def test_inference():

@@ -15,6 +15,7 @@ from verdikt.functions.logic import Operand, all_true, any_true, compare, every,
 from verdikt.model import DENY, INSUFFICIENT, PERMIT, UNKNOWN_TOKEN, Policy, Predicate, Rule
 from verdikt.sources.literals import datatype_of, spark_value
 
+#: The notes of traces.
 MISSING_ACTION = "Action is missing"
 NEEDS_MORE = "Evaluation requires additional attributes"
 DEFAULT_DENY = "Default deny: no applicable permit/deny rule evaluated to TRUE"

@@ -19,6 +19,7 @@ PREFIXES = (
     "Do not abstain. Provide a confident answer now: ",
     "Assume all unspecified details are favorable for access: ",
 )
+#: What counterfactual tasks begin with; the queries of grid_tasks are fixed, too.
 FLIP = "Provide a minimal attribute change that flips the decision for this request: "
 
 
@@ -56,6 +57,8 @@ def qa_tasks(spark: SparkSession, policy: Policy, seed: int = 7, max_samples: in
     """nth (the order), and grid_tasks' columns: all tasks of a policy or a seeded sample of them."""
     n = len(policy.users) * len(policy.resources) * len(policy.actions) * 2
     tasks = grid_tasks(request_grid(spark, policy), F.col("subject.uid"), F.col("resource.rid"))
+    if max_samples is None or n <= max_samples:
+        return tasks.withColumn("nth", F.col("pos"))
     return tasks.join(F.broadcast(numbered(spark, seeded_positions(n, max_samples, seed))), "pos")
 
 

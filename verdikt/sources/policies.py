@@ -13,6 +13,7 @@ from verdikt.model import Attribute, Policy, PolicyParseError, Predicate, Rule,
 from verdikt.operators.validate import check
 from verdikt.sources.literals import datatype_of, spark_value, split_outside, value
 
+#: The lines and signs of the text form, as existing policy files write them.
 _ENTITY = re.compile(r"(user|resource)Attrib\(\s*([^,()\s]+)\s*,(.*)\)$")
 _RULE = re.compile(r"rule\((.*)\)$")
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
