@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Bytes of text that the array code takes at once, so that its temporaries stay within some 100 MB.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that the array code takes at once, so that its temporaries stay within some 40 MB.
+CHUNK_BYTES = 1 << 19
 
 
 #: Bytes of rows that Spark hands to Python at once, whatever the rows' number: texts may be long.

@@ -64,8 +64,8 @@ def features(data: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
 
 
 def groups(at: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts whose features take 32 MB at most."""
-    most = max(1, (1 << 22) >> bits)
+    """Ranges of texts whose features take 8 MB at most."""
+    most = max(1, (1 << 20) >> bits)
     for a, b in chunks(at):
         for i in range(a, b, most):
             yield i, min(b, i + most)
