@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdikt.functions.logic import Operand, all_true, any_true, compare, every, negated, tri
+from verdikt.functions.logic import Operand, all_true, any_true, compare, negated, tri
 from verdikt.model import DENY, INSUFFICIENT, PERMIT, UNKNOWN_TOKEN, Policy, Predicate, Rule
 from verdikt.sources.literals import datatype_of, spark_value
 
@@ -106,37 +106,41 @@ def decide(requests: DataFrame, policy: Policy) -> DataFrame:
 def trace(requests: DataFrame, policy: Policy) -> DataFrame:
     """requests with a column trace: decision, decisive_rules, decisive_predicates (rule to predicate to value),
     rule_results, missing_attributes, combining and notes. Denials override; a rule that is unknown matters only if none is true,
-    and of such rules the one that lacks least is named, ties by id."""
+    and of such rules the one that lacks least is named, ties by id.
+
+    Each rule is a pair of plain boolean columns; names, maps and what is missing are made only for the rules that a
+    request's case needs.
+    """
     c = Compiler(policy, requests)
-    rules = []
-    for rule in policy.rules:
-        used = c.used(rule)
-        values = F.map_from_arrays(F.array(*(F.lit(p.predicate_id) for p in used)).cast("array<string>"), F.array(*(tri(c.predicate(p)[0]) for p in used)).cast("array<string>"))
-        rules.append(F.struct(F.lit(rule.rule_id).alias("id"), F.lit(rule.denies).alias("denies"), c.applies(rule).alias("applies"), tri(c.value(rule)).alias("value"), c.missing(rule).alias("missing"), values.alias("predicates")))
-    found = requests.withColumn("__rules", F.filter(F.array(*rules), lambda r: F.coalesce(r.applies, F.lit(False))))
-    of = lambda test: F.filter("__rules", test)
-    deny, permit = of(lambda r: (r.value == "TRUE") & r.denies), of(lambda r: (r.value == "TRUE") & ~r.denies)
-    least = F.slice(F.array_sort(F.transform(of(lambda r: r.value == "UNKNOWN"), lambda r: F.struct(F.size(r.missing).alias("n"), r.id.alias("id")))), 1, 1)
-    chosen_id = F.transform(least, lambda x: x.id)
-    found = found.withColumns({"__deny": deny, "__permit": permit, "__open": chosen_id})
-    cases = [("no action", _no_action()), ("none", F.size("__rules") == 0), ("deny", F.size("__deny") > 0), ("permit", F.size("__permit") > 0), ("open", F.size("__open") > 0)]
-    case = F.lit("default")
-    for name, test in reversed(cases):
-        case = F.when(test, name).otherwise(case)
-    found = found.withColumn("__case", case)
+    rules = [(r, F.col(f"__applies{n}"), F.col(f"__value{n}")) for n, r in enumerate(policy.rules)]
+    judged = {f"__applies{n}": F.coalesce(c.applies(r), F.lit(False)) for n, r in enumerate(policy.rules)} | {f"__value{n}": c.value(r) for n, r in enumerate(policy.rules)}
+    true = [(r.denies, applies & F.coalesce(value, F.lit(False))) for r, applies, value in rules]
+    any_of = lambda denies: any_true([holds for d, holds in true if d == denies])
+    unknown = any_true([applies & value.isNull() for _, applies, value in rules])
+    case = F.when(_no_action(), "no action").when(~any_true([applies for _, applies, _ in rules]), "none").when(any_of(True), "deny").when(any_of(False), "permit").when(unknown, "open").otherwise("default")
     is_ = lambda *names: F.col("__case").isin(*names)
-    ids = lambda rules: F.array_sort(F.transform(rules, lambda r: r.id))
+    chosen_of = lambda made, kind: F.array_compact(F.array(*made)) if made else F.array().cast(f"array<{kind}>")
+    lacks = [F.when(applies & value.isNull(), F.struct(F.size(c.missing(r)).alias("n"), F.lit(r.rule_id).alias("id"))) for r, applies, value in rules]
+    found = requests.withColumns(judged).withColumn("__case", case).withColumn("__open", F.when(is_("open"), F.array_min(chosen_of(lacks, "struct<n:int,id:string>")).id))
+
+    decisive = [(r, F.when(is_("open"), applies & (F.col("__open") == r.rule_id)).otherwise(is_("deny" if r.denies else "permit") & applies & F.coalesce(value, F.lit(False)))) for r, applies, value in rules]
+    lacking = F.lit(None).cast("array<string>")
+    for r, applies, _ in reversed(rules):
+        lacking = F.when(applies & (F.col("__open") == r.rule_id), c.missing(r)).otherwise(lacking)
+
+    def values(rule: Rule) -> Column:
+        used = c.used(rule)
+        return F.map_from_arrays(F.array(*(F.lit(p.predicate_id) for p in used)).cast("array<string>"), F.array(*(tri(c.predicate(p)[0]) for p in used)).cast("array<string>"))
+
+    named = [F.when(holds, F.struct(F.lit(r.rule_id).alias("key"), values(r).alias("value"))) for r, holds in decisive]
+    results = [F.when(applies & ~is_("no action"), F.struct(F.lit(r.rule_id).alias("key"), tri(value).alias("value"))) for r, applies, value in rules]
     no_text = F.array().cast("array<string>")
-    decisive = F.when(is_("deny"), ids(F.col("__deny"))).when(is_("permit"), ids(F.col("__permit"))).when(is_("open"), F.col("__open")).otherwise(no_text)
-    found = found.withColumn("__decisive", decisive)
-    named = F.filter("__rules", lambda r: F.array_contains(F.col("__decisive"), r.id))
-    lacking = F.flatten(F.transform(named, lambda r: r.missing))
     notes = F.when(is_("no action"), F.array(F.lit(MISSING_ACTION))).when(is_("none"), F.array(F.concat(F.lit("No rules match action '"), F.col("action"), F.lit("'")))).when(is_("open"), F.array(F.lit(NEEDS_MORE))).when(is_("default"), F.array(F.lit(DEFAULT_DENY))).otherwise(no_text)
     made = F.struct(
         F.when(is_("no action", "open"), INSUFFICIENT).when(is_("permit"), PERMIT).otherwise(DENY).alias("decision"),
-        F.col("__decisive").alias("decisive_rules"),
-        F.map_from_entries(F.transform(named, lambda r: F.struct(r.id, r.predicates))).alias("decisive_predicates"),
-        F.map_from_entries(F.transform(F.when(is_("no action"), F.slice("__rules", 1, 0)).otherwise(F.col("__rules")), lambda r: F.struct(r.id, r.value))).alias("rule_results"),
+        chosen_of([F.when(holds, F.lit(r.rule_id)) for r, holds in sorted(decisive, key=lambda x: x[0].rule_id)], "string").alias("decisive_rules"),
+        F.map_from_entries(chosen_of(named, "struct<key:string,value:map<string,string>>")).alias("decisive_predicates"),
+        F.map_from_entries(chosen_of(results, "struct<key:string,value:string>")).alias("rule_results"),
         F.when(is_("no action"), F.array(F.lit("action"))).when(is_("open"), lacking).otherwise(no_text).alias("missing_attributes"),
         F.lit(policy.combining).alias("combining"),
         notes.alias("notes"),
@@ -144,41 +148,49 @@ def trace(requests: DataFrame, policy: Policy) -> DataFrame:
     return found.select(*requests.columns, made.alias("trace"))
 
 
-def decide_as_data(requests: DataFrame, facts: DataFrame, rules: DataFrame, predicates: DataFrame) -> DataFrame:
-    """request_id and decision by joins, for rules kept as rows: any number of them, conjunctions of predicates.
+def gathered_facts(facts: DataFrame) -> DataFrame:
+    """request_id and facts (a map of scope.attr to items) of rows request_id, scope, attr, items; of equal names one counts."""
+    named = facts.select("request_id", F.concat_ws(".", "scope", "attr").alias("name"), "items").dropDuplicates(["request_id", "name"])
+    return named.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "items"))).alias("facts"))
+
+
+def decide_as_data(requests: DataFrame, rules: DataFrame, predicates: DataFrame) -> DataFrame:
+    """request_id and decision for rules kept as rows: any number of them, conjunctions of predicates.
 
-    requests: request_id, action. facts: request_id, scope, attr, items (array of strings, null if unknown; a scalar has
-    one item). rules and predicates as policies' tables. A predicate whose fact is absent or unknown is unknown. Requests
-    meet only rules of their action; the sides are equi-joined, so hot actions are for adaptive execution to split.
+    requests: request_id, action and facts, a map of ``scope.attr`` to items (array of strings, null if unknown; a scalar
+    has one item). rules and predicates as policies' tables. A predicate whose fact is absent or unknown is unknown.
+
+    A rule carries its own predicates as an array and requests meet the rules of their action, by an equi-join whose rule
+    side Spark broadcasts where it measures it as small; else adaptive execution splits hot actions. What a request's
+    rules say is summed up where they meet, before the one aggregation.
     """
-    by_action = rules.select("rule_id", "effect", F.explode("actions").alias("action"))
-    met = requests.select("request_id", "action").join(by_action, "action")
-    side = lambda s: facts.select(F.col("request_id").alias(f"{s}_request"), F.col("scope").alias(f"{s}_s"), F.col("attr").alias(f"{s}_a"), F.col("items").alias(f"{s}_items"))
-    tested = (
-        met.join(predicates, "rule_id", "left")
-        .join(side("l"), (F.col("request_id") == F.col("l_request")) & (F.col("left_scope") == F.col("l_s")) & (F.col("left_attr") == F.col("l_a")), "left")
-        .join(side("r"), (F.col("request_id") == F.col("r_request")) & (F.col("right_scope") == F.col("r_s")) & (F.col("right_attr") == F.col("r_a")), "left")
-    )
-    left, right = F.col("l_items"), F.when(F.col("right_kind") == "attribute", F.col("r_items")).otherwise(F.col("right_values"))
-    shared, op = F.size(F.array_intersect(left, right)), F.upper("op")
+    tests = predicates.groupBy("rule_id").agg(F.collect_list(F.struct("op", "left_scope", "left_attr", "right_scope", "right_attr", "right_kind", "right_values")).alias("tests"))
+    by_action = rules.join(tests, "rule_id", "left").select((F.lower("effect") == "deny").alias("denies"), "tests", F.explode("actions").alias("action"))
+    met = requests.select("request_id", "action", "facts").join(by_action, "action", "left")
     number = lambda items: F.try_element_at(items, F.lit(1)).try_cast("double")
-    value = F.when(
-        left.isNotNull() & right.isNotNull(),
-        F.when(op == "EQ", (F.size(F.array_except(left, right)) == 0) & (F.size(F.array_except(right, left)) == 0))
-        .when(op == "NEQ", ~((F.size(F.array_except(left, right)) == 0) & (F.size(F.array_except(right, left)) == 0)))
-        .when(op == "IN", shared > 0)
-        .when(op == "NIN", shared == 0)
-        .when(op.isin("CONTAINS", "SUPERSET"), F.size(F.array_except(right, left)) == 0)
-        .when(op == "LT", number(left) < number(right))
-        .when(op == "LE", number(left) <= number(right))
-        .when(op == "GT", number(left) > number(right))
-        .when(op == "GE", number(left) >= number(right))
-        .when(op == "MATCH", F.contains(F.try_element_at(left, F.lit(1)), F.try_element_at(right, F.lit(1)))),
-    )
-    value = F.when(F.col("predicate_id").isNull(), True).otherwise(value)
-    each = tested.withColumn("value", value).groupBy("request_id", "rule_id", "effect").agg(every(F.col("value")).alias("value"))
-    denies = F.lower("effect") == "deny"
-    whole = each.groupBy("request_id").agg(F.bool_or(F.coalesce("value", F.lit(False)) & denies).alias("deny"), F.bool_or(F.coalesce("value", F.lit(False)) & ~denies).alias("permit"), F.bool_or(F.col("value").isNull()).alias("open"))
-    joined = requests.select("request_id", "action").join(whole, "request_id", "left")
+    fact = lambda scope, attr: F.try_element_at(F.col("facts"), F.concat_ws(".", scope, attr))
+
+    def fails(p: Column) -> Column:
+        op, left = F.upper(p.op), fact(p.left_scope, p.left_attr)
+        right = F.when(p.right_kind == "attribute", fact(p.right_scope, p.right_attr)).otherwise(p.right_values)
+        within = lambda a, b: F.size(F.array_except(a, b)) == 0
+        holds = (
+            F.when(op == "EQ", within(left, right) & within(right, left))
+            .when(op == "NEQ", ~(within(left, right) & within(right, left)))
+            .when(op == "IN", F.size(F.array_intersect(left, right)) > 0)
+            .when(op == "NIN", F.size(F.array_intersect(left, right)) == 0)
+            .when(op.isin("CONTAINS", "SUPERSET"), within(right, left))
+            .when(op == "LT", number(left) < number(right))
+            .when(op == "LE", number(left) <= number(right))
+            .when(op == "GT", number(left) > number(right))
+            .when(op == "GE", number(left) >= number(right))
+            .when(op == "MATCH", F.contains(F.try_element_at(left, F.lit(1)), F.try_element_at(right, F.lit(1))))
+        )
+        return ~F.when(left.isNotNull() & right.isNotNull(), holds)
+
+    # of no predicates: true; an unknown one counts only where none fails
+    judged = met.withColumn("value", F.when(F.col("tests").isNull(), True).otherwise(~F.exists("tests", fails)))
+    is_true, met_rule = F.coalesce("value", F.lit(False)), F.col("denies").isNotNull()
+    whole = judged.groupBy("request_id").agg(F.first("action").alias("action"), F.bool_or(met_rule & is_true & F.col("denies")).alias("deny"), F.bool_or(met_rule & is_true & ~F.col("denies")).alias("permit"), F.bool_or(met_rule & F.col("value").isNull()).alias("open"))
     result = F.when(_no_action(), INSUFFICIENT).when(F.col("deny"), DENY).when(F.col("permit"), PERMIT).when(F.col("open"), INSUFFICIENT).otherwise(DENY)
-    return joined.select("request_id", result.alias("decision"))
+    return whole.select("request_id", result.alias("decision"))

@@ -137,13 +137,12 @@ def abac_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_DECIDED} SELECT DISTINCT c_custkey || '/' || s_suppkey || '/' || action AS request_id, {_DECISION} AS decision FROM ruled")
 def abac_decide_as_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same decisions by joins of requests, facts and rules kept as rows, once for each customer, supplier and action."""
+    """The same decisions by rules kept as rows, once for each customer, supplier and action."""
     named = F.concat_ws("/", "subject.id", "resource.id", "action").alias("request_id")
     requests = line_requests(spark, sf_dir).select(named, "subject", "resource", "action").dropDuplicates(["request_id"])
-    fact = lambda scope, attr: F.struct(F.lit(scope).alias("scope"), F.lit(attr).alias("attr"), F.array(F.col(f"{scope}.{attr}").cast("string")).alias("items"))
-    facts = requests.select("request_id", F.inline(F.array(*(fact(a.scope, a.name) for a in _ATTRIBUTES if a.name != "id"))))
+    facts = [x for a in _ATTRIBUTES if a.name != "id" for x in (F.lit(f"{a.scope}.{a.name}"), F.array(F.col(f"{a.scope}.{a.name}").cast("string")))]
     policy = tables(spark, TRADE)
-    return decide_as_data(requests, facts, policy["rules"], policy["predicates"])
+    return decide_as_data(requests.select("request_id", "action", F.create_map(*facts).alias("facts")), policy["rules"], policy["predicates"])
 
 
 @query("""SELECT event_type AS action, count(*) AS n, CASE event_type WHEN 'error' THEN 'Deny' WHEN 'signup' THEN 'Permit' ELSE 'Deny' END AS decision,
