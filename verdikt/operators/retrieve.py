@@ -48,12 +48,18 @@ def rule_score(query_tokens: Column, summary_tokens: Column, actions: list[str])
     return overlap(query_tokens, summary_tokens) + F.size(named) * F.lit(ACTION_BOOST)
 
 
+def ranked_rules(query: Column, policy: Policy, k: int) -> Column:
+    """The k best rules of a query, best first, ties to the larger id: structs of score and rule_id. The rules are a
+    policy's, which is small: their scores are columns of the query, without a join."""
+    if not policy.rules:
+        return F.array().cast("array<struct<score:double,rule_id:string>>")
+    scored = [F.struct(rule_score(token_set(query), token_set(F.lit(summary(r))), list(policy.actions)).alias("score"), F.lit(r.rule_id).alias("rule_id")) for r in policy.rules]
+    return F.slice(F.sort_array(F.array(*scored), asc=False), 1, k)
+
+
 def top_rules(queries: DataFrame, policy: Policy, k: int = 5, query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """query_id, evidence_id (SG and the rank), rule_id and score of each query's k best rules, ties to the larger id.
-    The rules are a policy's, which is small: their scores are columns of the query, without a join."""
-    asked = queries.select(F.col(query_id).alias("q"), token_set(F.col(query)).alias("tokens"))
-    scored = [F.struct(rule_score(F.col("tokens"), token_set(F.lit(summary(r))), list(policy.actions)).alias("score"), F.lit(r.rule_id).alias("rule_id")) for r in policy.rules]
-    ranked = asked.select("q", F.slice(F.sort_array(F.array(*scored), asc=False), 1, k).alias("top"))
+    """query_id, evidence_id (SG and the rank), rule_id and score of each query's k best rules, ties to the larger id."""
+    ranked = queries.select(F.col(query_id).alias("q"), ranked_rules(F.col(query), policy, k).alias("top"))
     return ranked.select("q", F.posexplode("top").alias("at", "x")).select(F.col("q").alias(query_id), F.concat(F.lit("SG"), F.col("at") + 1).alias("evidence_id"), F.col("x.rule_id").alias("rule_id"), F.col("x.score").alias("score"))
 
 
