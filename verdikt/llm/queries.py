@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import langid, pii, ppm
+from verdikt.llm import fim, langid, pii, ppm
 from verdikt.llm.nn_descent import nearest
 from verdikt.llm.order_minhash import near_duplicates
 from verdikt.llm.mixing import WEIGHTS, corpus_levels, mix
@@ -98,6 +98,33 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and put in another order; digests of the output and of the text rebuilt from it."""
+    made = fim.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = (F.sha2(c, 256) for c in (F.col("output"), fim.restored(F.col("output"), F.col("form"))))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(d.alias(name) for d, name in zip(digests, ("output_sha256", "restored_sha256"), strict=True)))
+
+
+OP13_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), numbers AS (
+  SELECT doc_id, t, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS d
+  FROM drawn
+), formed AS (
+  SELECT *, least(a, b) AS x, greatest(a, b) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT *, '<P>' || substr(t, 1, x) AS p, '<M>' || substr(t, x + 1, y - x) AS m, '<S>' || substr(t, y + 1) AS s FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -124,5 +151,6 @@ QUERIES = {
     "op8_ppm_scoring": op8_ppm_scoring,
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
     "op10_order_minhash": op10_order_minhash,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES = {"op4_va_file_top_k": OP4_SQL, "op7_line_dedup": OP7_SQL}
+ORACLES = {"op4_va_file_top_k": OP4_SQL, "op7_line_dedup": OP7_SQL, "op13_fill_in_middle": OP13_SQL}
