@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import fim, langid, pii, ppm
+from verdikt.llm import fim, langid, pii, ppm, quality
 from verdikt.llm.nn_descent import nearest
 from verdikt.llm.order_minhash import near_duplicates
 from verdikt.llm.mixing import WEIGHTS, corpus_levels, mix
@@ -98,6 +98,13 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op12_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the labels that aren't held out, all documents scored."""
+    held_out = id_remainder(4) == 2
+    scored = quality.score_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and put in another order; digests of the output and of the text rebuilt from it."""
     made = fim.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -151,6 +158,7 @@ QUERIES = {
     "op8_ppm_scoring": op8_ppm_scoring,
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
     "op10_order_minhash": op10_order_minhash,
+    "op12_boosted_quality": op12_boosted_quality,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES = {"op4_va_file_top_k": OP4_SQL, "op7_line_dedup": OP7_SQL, "op13_fill_in_middle": OP13_SQL}
