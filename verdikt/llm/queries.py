@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import fim, langid, pii, ppm, quality
+from verdikt.llm import fim, langid, pii, ppm, quality, spelling
 from verdikt.llm.nn_descent import nearest
 from verdikt.llm.order_minhash import near_duplicates
 from verdikt.llm.mixing import WEIGHTS, corpus_levels, mix
@@ -98,6 +98,11 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven letters or more; one of 31 runs loses a letter, so that there are errors to find."""
+    return spelling.group_spellings(read(spark, sf_dir, "documents").select("doc_id", "text"), error_every=31)
+
+
 def op12_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learnt from the labels that aren't held out, all documents scored."""
     held_out = id_remainder(4) == 2
@@ -158,6 +163,7 @@ QUERIES = {
     "op8_ppm_scoring": op8_ppm_scoring,
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
     "op10_order_minhash": op10_order_minhash,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_boosted_quality": op12_boosted_quality,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
