@@ -7,7 +7,8 @@ from tests.observatory import ACTIONS, THINGS, USERS, permitting, text
 from verdikt.model import Attribute, Expression, Policy, Predicate, Rule, all_of
 from verdikt.operators.clients import heuristic, loaded, scripted
 from verdikt.operators.contract import parse_contract
-from verdikt.operators.decide import decide, decide_as_data, gathered_facts, trace
+from verdikt.operators.as_data import decide_as_data, trace_as_data
+from verdikt.operators.decide import decide, gathered_facts, trace
 from verdikt.operators.guardrails import verify
 from verdikt.operators.metrics import METRICS, score
 from verdikt.operators.retrieve import evidence_by_rule, request_sketch, text_corpus, top_rules, top_subgraphs, top_texts
@@ -62,8 +63,15 @@ def test_modes_agree(spark, policy):
     items = lambda scope, a: F.when(F.col(f"{scope}.{a.name}").isNull(), F.array().cast("array<string>") if a.multivalue else F.array(F.lit(None).cast("string"))).otherwise(F.col(f"{scope}.{a.name}").cast("array<string>") if a.multivalue else F.array(F.col(f"{scope}.{a.name}").cast("string")))
     facts = grid.select("request_id", F.inline(F.array(*(F.struct(F.lit(s).alias("scope"), F.lit(n).alias("attr"), items(s, a).alias("items")) for (s, n), a in policy.attributes.items()))))
     made = tables(spark, policy)
-    by_rows = {r.request_id: r.decision for r in decide_as_data(grid.join(gathered_facts(facts), "request_id", "left"), made["rules"], made["predicates"]).collect()}
-    assert by_rows == {r.request_id: r.decision for r in decide(grid, policy).collect()}
+    asked_, own = grid.join(gathered_facts(facts), "request_id", "left"), (made["rules"], made["predicates"])
+    by_columns = {r.request_id: r.trace for r in trace(grid, policy).collect()}
+    assert {r.request_id: r.decision for r in decide(grid, policy).collect()} == {i: t.decision for i, t in by_columns.items()}
+    for expressions in (None, made["expressions"]):
+        for rules_in_row in (512, 1):
+            by_rows = decide_as_data(asked_, *own, expressions, rules_in_row=rules_in_row).collect()
+            assert {r.request_id: r.decision for r in by_rows} == {i: t.decision for i, t in by_columns.items()} and len(by_rows) == len(by_columns)
+            traced = {r.request_id: r.trace for r in trace_as_data(asked_, *own, expressions, rules_in_row=rules_in_row).collect()}
+            assert traced == by_columns
 
 
 def custom(*rules, **attributes):

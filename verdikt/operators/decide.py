@@ -152,45 +152,3 @@ def gathered_facts(facts: DataFrame) -> DataFrame:
     """request_id and facts (a map of scope.attr to items) of rows request_id, scope, attr, items; of equal names one counts."""
     named = facts.select("request_id", F.concat_ws(".", "scope", "attr").alias("name"), "items").dropDuplicates(["request_id", "name"])
     return named.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "items"))).alias("facts"))
-
-
-def decide_as_data(requests: DataFrame, rules: DataFrame, predicates: DataFrame) -> DataFrame:
-    """request_id and decision for rules kept as rows: any number of them, conjunctions of predicates.
-
-    requests: request_id, action and facts, a map of ``scope.attr`` to items (array of strings, null if unknown; a scalar
-    has one item). rules and predicates as policies' tables. A predicate whose fact is absent or unknown is unknown.
-
-    A rule carries its own predicates as an array and requests meet the rules of their action, by an equi-join whose rule
-    side Spark broadcasts where it measures it as small; else adaptive execution splits hot actions. What a request's
-    rules say is summed up where they meet, before the one aggregation.
-    """
-    tests = predicates.groupBy("rule_id").agg(F.collect_list(F.struct("op", "left_scope", "left_attr", "right_scope", "right_attr", "right_kind", "right_values")).alias("tests"))
-    by_action = rules.join(tests, "rule_id", "left").select((F.lower("effect") == "deny").alias("denies"), "tests", F.explode("actions").alias("action"))
-    met = requests.select("request_id", "action", "facts").join(by_action, "action", "left")
-    number = lambda items: F.try_element_at(items, F.lit(1)).try_cast("double")
-    fact = lambda scope, attr: F.try_element_at(F.col("facts"), F.concat_ws(".", scope, attr))
-
-    def fails(p: Column) -> Column:
-        op, left = F.upper(p.op), fact(p.left_scope, p.left_attr)
-        right = F.when(p.right_kind == "attribute", fact(p.right_scope, p.right_attr)).otherwise(p.right_values)
-        within = lambda a, b: F.size(F.array_except(a, b)) == 0
-        holds = (
-            F.when(op == "EQ", within(left, right) & within(right, left))
-            .when(op == "NEQ", ~(within(left, right) & within(right, left)))
-            .when(op == "IN", F.size(F.array_intersect(left, right)) > 0)
-            .when(op == "NIN", F.size(F.array_intersect(left, right)) == 0)
-            .when(op.isin("CONTAINS", "SUPERSET"), within(right, left))
-            .when(op == "LT", number(left) < number(right))
-            .when(op == "LE", number(left) <= number(right))
-            .when(op == "GT", number(left) > number(right))
-            .when(op == "GE", number(left) >= number(right))
-            .when(op == "MATCH", F.contains(F.try_element_at(left, F.lit(1)), F.try_element_at(right, F.lit(1))))
-        )
-        return ~F.when(left.isNotNull() & right.isNotNull(), holds)
-
-    # of no predicates: true; an unknown one counts only where none fails
-    judged = met.withColumn("value", F.when(F.col("tests").isNull(), True).otherwise(~F.exists("tests", fails)))
-    is_true, met_rule = F.coalesce("value", F.lit(False)), F.col("denies").isNotNull()
-    whole = judged.groupBy("request_id").agg(F.first("action").alias("action"), F.bool_or(met_rule & is_true & F.col("denies")).alias("deny"), F.bool_or(met_rule & is_true & ~F.col("denies")).alias("permit"), F.bool_or(met_rule & F.col("value").isNull()).alias("open"))
-    result = F.when(_no_action(), INSUFFICIENT).when(F.col("deny"), DENY).when(F.col("permit"), PERMIT).when(F.col("open"), INSUFFICIENT).otherwise(DENY)
-    return whole.select("request_id", result.alias("decision"))

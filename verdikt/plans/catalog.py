@@ -15,7 +15,8 @@ from verdikt.functions.logic import Operand, all_true, any_true, compare, every,
 from verdikt.functions.text import mean, ratio, token_set, tokens
 from verdikt.model import Attribute, Policy, Predicate, all_of
 from verdikt.operators.contract import parse_contract
-from verdikt.operators.decide import decide, decide_as_data, trace
+from verdikt.operators.as_data import decide_as_data
+from verdikt.operators.decide import decide, trace
 from verdikt.operators.graph import degrees, entity_edges, entity_nodes, neighbourhood
 from verdikt.operators.guardrails import align, verify
 from verdikt.operators.metrics import METRICS, score
