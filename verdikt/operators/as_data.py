@@ -86,6 +86,9 @@ def compiled(rules: DataFrame, predicates: DataFrame, expressions: DataFrame | N
         return heads.join(in_order(known), "rule_id", "left").withColumn("program", F.lit(None).cast(_STEPS))
     made = programs(rules, expressions)
     reached = made.select("rule_id", F.posexplode("used").alias("pos", "p")).join(known.drop("pos"), ["rule_id", "p"], "left")
+    none = F.lit(None).cast("string")
+    nowhere = F.struct(F.col("p").alias("predicate_id"), none.alias("op"), none.alias("left"), none.alias("right"), F.lit(None).cast("array<string>").alias("items"))  # unknown
+    reached = reached.withColumn("test", F.coalesce("test", nowhere))
     return heads.join(made.select("rule_id", "program"), "rule_id").join(in_order(reached), "rule_id", "left")
 
 
