@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdikt.model import Attribute, Expression, Policy, Predicate, Rule, all_of
 from verdikt.operators.as_data import decide_as_data, trace_as_data
+from verdikt.operators.permitted import permitted_pairs
 from verdikt.plans import catalog
 from verdikt.plans.catalog import TRADE, line_requests, read
 from verdikt.sources.policies import tables
@@ -107,3 +109,65 @@ def trace_trees_as_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     traced = trace_as_data(_facts(line_requests(spark, sf_dir, masked=True)), *regional_rules(spark, sf_dir))
     t = F.col("trace")
     return traced.select("request_id", t.decision.alias("decision"), F.array_join(t.decisive_rules, "+").alias("decisive_rules"), F.array_join(t.missing_attributes, "+").alias("missing"), F.size(t.rule_results).alias("n_rules"))
+
+
+def _traders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers as subjects and resources of the trade policy."""
+    side = lambda table, key, **attributes: read(spark, sf_dir, table).select(F.struct(F.col(key).alias("id"), *(c.alias(n) for n, c in attributes.items())).alias("subject" if table == "customer" else "resource"))
+    customers = side("customer", "c_custkey", segment=F.col("c_mktsegment"), balance=F.col("c_acctbal"), nation=F.col("c_nationkey").cast("long"))
+    return customers, side("supplier", "s_suppkey", name=F.col("s_name"), balance=F.col("s_acctbal"), nation=F.col("s_nationkey").cast("long"))
+
+
+def _by_customer(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy(F.col("subject.id").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("resource.id").alias("suppliers"))
+
+
+@query("""WITH p AS (SELECT c_custkey, s_suppkey, unnest(['A', 'N', 'R']) AS action, c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'FURNITURE') AND c_nationkey = s_nationkey AS r1,
+  c_acctbal >= s_acctbal AND c_mktsegment <> 'MACHINERY' AS r2, c_acctbal < 0 AS r3, contains(s_name, '7') AS r4 FROM customer, supplier)
+SELECT action, c_custkey, count(*) AS n, sum(s_suppkey)::BIGINT AS suppliers FROM p
+WHERE CASE action WHEN 'N' THEN r1 OR r2 WHEN 'A' THEN r2 AND NOT r3 ELSE r4 AND NOT r3 END GROUP BY 1, 2""")
+def permitted_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom each customer may trade with, by equality, by order and by filters of one side, without the product."""
+    parts = [_by_customer(permitted_pairs(*_traders(spark, sf_dir), TRADE, a)).select(F.lit(a).alias("action"), "c_custkey", "n", "suppliers") for a in ("A", "N", "R")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_SETS = [
+    *(Attribute("subject", *a) for a in (("brands", "set[string]"), ("priorities", "set[string]"), ("sizes", "set[int]"), ("balance", "float"), ("nation", "int"), ("segment",))),
+    *(Attribute("resource", *a) for a in (("brands", "set[string]"), ("priority",), ("sizes", "set[int]"), ("balance", "float"), ("nation", "int"))),
+]
+_EITHER = Rule(
+    "R3", "Permit", ("sell",),
+    {"P1": Predicate("P1", "EQ", "subject", "nation", "resource", "nation"), "P2": Predicate("P2", "GE", "subject", "balance", right_value=0.0), "P3": Predicate("P3", "IN", "subject", "sizes", "resource", "sizes")},
+    {**{f"E{n}": Expression(f"E{n}", "PRED", predicate_id=f"P{n}") for n in (1, 2, 3)}, "N": Expression("N", "NOT", ("E2",)), "A": Expression("A", "AND", ("N", "E3")), "O": Expression("O", "OR", ("E1", "A"))}, "O",
+)
+SALES = Policy("sales", (
+    all_of("R1", "Permit", ("sell",), [Predicate("P1", "SUPERSET", "subject", "brands", "resource", "brands"), Predicate("P2", "NEQ", "subject", "nation", "resource", "nation")]),
+    all_of("R2", "Permit", ("sell",), [Predicate("P1", "LT", "subject", "balance", "resource", "balance"), Predicate("P2", "CONTAINS", "subject", "priorities", "resource", "priority")]),
+    _EITHER,
+    all_of("R4", "Deny", ("sell",), [Predicate("P1", "EQ", "subject", "segment", right_value="MACHINERY"), Predicate("P2", "LT", "resource", "balance", right_value=0.0)]),
+), {(a.scope, a.name): a for a in _SETS})
+
+
+@query("""WITH bought AS (SELECT o_custkey, list(DISTINCT p_brand) AS brands, list(DISTINCT o_orderpriority) AS priorities, list(DISTINCT p_size) FILTER (WHERE l_quantity >= 50) AS sizes
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1),
+sold AS (SELECT l_suppkey, list(DISTINCT p_brand) FILTER (WHERE l_quantity >= 50 AND l_discount >= 0.08) AS brands, list(DISTINCT p_size) FILTER (WHERE l_quantity >= 50) AS sizes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+s AS (SELECT s_suppkey, s_acctbal, s_nationkey, coalesce(brands, []) AS brands, coalesce(sizes, []) AS sizes, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][s_suppkey % 5 + 1] AS priority FROM supplier LEFT JOIN sold ON s_suppkey = l_suppkey),
+c AS (SELECT c_custkey, c_acctbal, c_nationkey, c_mktsegment, coalesce(brands, []) AS brands, coalesce(sizes, []) AS sizes, coalesce(priorities, []) AS priorities FROM customer LEFT JOIN bought ON c_custkey = o_custkey)
+SELECT c_custkey, count(*) AS n, sum(s_suppkey)::BIGINT AS suppliers FROM c, s
+WHERE NOT (c_mktsegment = 'MACHINERY' AND s_acctbal < 0) AND ((list_has_all(c.brands, s.brands) AND c_nationkey <> s_nationkey) OR (c_acctbal < s_acctbal AND list_contains(priorities, priority))
+  OR c_nationkey = s_nationkey OR (c_acctbal < 0 AND list_has_any(c.sizes, s.sizes))) GROUP BY 1""")
+def permitted_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by inclusion of brands, membership of priorities, common sizes, an OR and a denial."""
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
+    large, none = F.col("l_quantity") >= 50, lambda kind: F.array().cast(f"array<{kind}>")
+    bought = lines.join(orders, "l_orderkey").groupBy("o_custkey").agg(F.collect_set("p_brand").alias("brands"), F.collect_set("o_orderpriority").alias("priorities"), F.collect_set(F.when(large, F.col("p_size").cast("long"))).alias("sizes"))
+    sold = lines.groupBy("l_suppkey").agg(F.collect_set(F.when(large & (F.col("l_discount") >= 0.08), F.col("p_brand"))).alias("brands"), F.collect_set(F.when(large, F.col("p_size").cast("long"))).alias("sizes"))
+    held = lambda c, kind="string": F.coalesce(c, none(kind)).alias(c)
+    customers = read(spark, sf_dir, "customer").join(bought, F.col("c_custkey") == F.col("o_custkey"), "left")
+    subjects = customers.select(F.struct(F.col("c_custkey").alias("id"), held("brands"), held("priorities"), held("sizes", "bigint"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment")).alias("subject"))
+    priority = F.element_at(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    suppliers = read(spark, sf_dir, "supplier").join(sold, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    resources = suppliers.select(F.struct(F.col("s_suppkey").alias("id"), held("brands"), priority.alias("priority"), held("sizes", "bigint"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("long").alias("nation")).alias("resource"))
+    return _by_customer(permitted_pairs(subjects, resources, SALES, "sell"))
