@@ -47,7 +47,7 @@ def test_random_trees(spark):
         predicates += [(f"R{r}", f"P{n}", n, "EQ", "subject", f"x{n}", None, None, "scalar", ["1"]) for n in range(4)]
         expressions += [(f"R{r}", n, op, p, c) for n, (op, p, c) in nodes.items()]
     tables = [spark.createDataFrame(rows, schema) for rows, schema in ((rules, RULES), (predicates, PREDICATES), (expressions, EXPRESSIONS))]
-    asked = [(n, draw.choice(["go", "stop", "other", None, "UNKNOWN"]), {f"subject.x{i}": draw.choice([["1"], ["0"], None]) for i in range(4) if draw.random() < 0.8}) for n in range(150)]
+    asked = [(n, draw.choice(["go", "stop", "other", None, "UNKNOWN"]), {f"subject.x{i}": draw.choice([["1"], ["0"], None, ["1", "0"], []]) for i in range(4) if draw.random() < 0.8}) for n in range(150)]
     requests = spark.createDataFrame(asked, "request_id int, action string, facts map<string,array<string>>")
     want = {}
     for n, action, facts in asked:
