@@ -127,3 +127,39 @@ def test_nn_hot(spark, n):
             assert [v for _, v, _ in sorted(got[q])] == [i for i in range(0, 63, 3) if i != q][:20]
         hits += sum(v >= np.sort(s)[-20] - 1e-9 for _, _, v in got[q])
     assert hits / (20 * len(range(0, n, 20))) >= 0.9
+
+
+@pytest.mark.parametrize("far", [1, 6])
+def test_nn_far(spark, far):
+    """A lone vector, or a small cluster, opposite to all others: every query gets 20 rows, and good ones."""
+    draw = np.random.default_rng(far)
+    x = np.ones((2000, 16)) + draw.normal(0, 0.05, (2000, 16))
+    away = [100 * n for n in range(1, far + 1)]
+    x[away] = -1 + draw.normal(0, 0.05, (far, 16))
+    x = np.float32(x / np.linalg.norm(x, axis=1, keepdims=True))
+    got = defaultdict(list)
+    for r in nn_descent.nearest(table(spark, x), F.col("vec_id") % 20 == 0, 20).collect():
+        got[r.query_id].append(r)
+    wide, hits = x.astype(float), 0
+    for q in range(0, 2000, 20):
+        s = wide @ wide[q]
+        s[q] = -9
+        assert len({r.vec_id for r in got[q]}) == len(got[q]) == 20
+        assert all(abs(s[r.vec_id] - r.score) < 1e-12 for r in got[q])
+        hits += sum(r.score >= np.sort(s)[-20] - 1e-12 for r in got[q])
+        assert q not in away or {r.vec_id for r in got[q]} >= set(away) - {q}
+    assert hits / 2000 >= 0.9
+
+
+def test_scanned(spark):
+    draw = np.random.default_rng(8)
+    x = draw.normal(0, 1, (300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    for k in (5, 400):
+        got = defaultdict(list)
+        for r in nn_descent.scanned(df.filter("id < 30"), df, k, block_rows=64, query_rows=16).collect():
+            got[r.q].append((r.v, r.s))
+        for q in range(30):
+            s = x @ x[q]
+            s[q] = -np.inf
+            assert {v for v, _ in got[q]} == set(np.argsort(-s)[: min(k, 299)].tolist())

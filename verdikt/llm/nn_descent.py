@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdikt.llm.common import bounded_batches, spread_join, written
-from verdikt.llm.vectors import matrix, usable
+from verdikt.llm.vectors import blocks, matrix, unpacked, usable
 
 EDGES = "u long, v long, s double"
 #: Vectors that meet in one place at most; the circles of much-linked vectors are dealt to several, anew in every round.
 PLACE = 64
 #: Members by whose nearness a large bucket is split, and how often at most: what can't be split has equal codes.
 PIVOTS, SPLITS = 8, 20
+#: Nodes of each dimension from which every walk starts, besides the query's own neighbours: drawn by hash from the whole graph, whatever parts it falls into.
+ENTRIES = 32
 
 
 def coded(vectors: DataFrame) -> DataFrame:
@@ -193,10 +195,13 @@ def exact(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame
 
 def walk(graph: DataFrame, queries: DataFrame, vectors: DataFrame, pool: int = 40, width: int = 24, rounds: int = 6) -> DataFrame:
     """q, v, s: for each query (id, v; nodes of the graph) the pool's best nodes by exact product. Starts from the
-    query's own neighbours; each round visits the best width unvisited nodes of the pool, and the walk ends when no
+    query's own neighbours and from ENTRIES; each round visits the best width unvisited nodes of the pool, and the walk ends when no
     query's pool has one left, or after so many rounds."""
     ways = graph.select(F.col("u").alias("node"), F.col("v").alias("next"))
     first = graph.join(queries.select(F.col("id").alias("u")), "u").select(F.col("u").alias("q"), "v")
+    drawn = vectors.select("id", F.size("v").alias("dim")).withColumn("nth", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))).filter(F.col("nth") <= ENTRIES)
+    entries = queries.select(F.col("id").alias("q"), F.size("v").alias("dim")).join(drawn.select("dim", F.col("id").alias("v")), "dim").filter("q <> v").select("q", "v")
+    first = first.unionByName(entries).distinct()
     state = written(best(exact(first, queries, vectors), pool, "q").withColumn("visited", F.lit(False)), "pool")
     for _ in range(rounds):
         front = best(state.filter("NOT visited"), width, "q").select("q", F.col("v").alias("node"))
@@ -210,6 +215,32 @@ def walk(graph: DataFrame, queries: DataFrame, vectors: DataFrame, pool: int = 4
     return state.select("q", "v", "s")
 
 
+def scanned(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 2048, query_rows: int = 512) -> DataFrame:
+    """q, v, s: the k best of all vectors of its dimension for each query, itself left out, by products of blocks."""
+    asked = blocks(queries, "id", "v", query_rows).withColumnsRenamed({"dim": "q_dim", "block_ids": "q_ids", "block": "q_block"})
+    spots = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = blocks(vectors, "id", "v", block_rows).withColumn("spot", F.pmod(F.xxhash64("block_ids"), F.lit(spots)).cast("int"))
+    asked = asked.withColumn("q_spot", F.explode(F.sequence(F.lit(0), F.lit(spots - 1))))
+    more = k + 16  # products of blocks differ from the exact ones in the last bits
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                dim, q_ids, q_block, v_ids, block = (batch.column(i)[row].as_py() for i in range(5))
+                asked_ids, query = unpacked(q_ids, q_block, dim, np.float64)
+                ids, rows = unpacked(v_ids, block, dim, np.float64)
+                s = query @ rows.T
+                s[asked_ids[:, None] == ids[None]] = -np.inf
+                keep = np.argpartition(-s, more - 1, axis=1)[:, :more] if len(ids) > more else np.broadcast_to(np.arange(len(ids)), s.shape)
+                of, chosen = np.repeat(np.arange(len(asked_ids)), keep.shape[1]), keep.ravel()
+                real = s[of, chosen] > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[of[real]]), pa.array(ids[chosen[real]]), pa.array(s[of[real], chosen[real]])], names=["q", "v", "s"])
+
+    met = held.join(asked, (F.col("dim") == F.col("q_dim")) & (F.col("spot") == F.col("q_spot"))).select("dim", "q_ids", "q_block", "block_ids", "block")
+    found = best(met.mapInArrow(search, "q long, v long, s double"), more, "q")
+    return best(exact(found, queries, vectors), k, "q")
+
+
 def nearest(embeddings: DataFrame, asked: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", graph_k: int = 24, pool: int = 48, **options: float) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which asked holds, the k nearest that were found, by exact inner
     product in double precision, ties to the smaller id; all others if there are no more than that.
@@ -217,6 +248,8 @@ def nearest(embeddings: DataFrame, asked: Column, k: int = 20, id_column: str =
     Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part; vectors meet
     those of their own dimension. Rows with an id count once, with their least vector. Equal vectors are one node of the
     graph, which stands for its least ids, so any number of copies is found whole; an empty table gives no rows.
+    A graph may fall into parts (a far small cluster, a lone vector): walks start in all of it, and a query whose walk
+    still ends with too few is compared with all vectors, block by block.
     """
     bounded_batches(embeddings.sparkSession)
     source = embeddings.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
@@ -224,11 +257,21 @@ def nearest(embeddings: DataFrame, asked: Column, k: int = 20, id_column: str =
     once = rows.groupBy("id").agg(F.min("v").alias("v"), F.bool_or("asked").alias("asked"))
     vectors = written(once.select("id", "v", "asked", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")), "vectors")
     same = ["h1", "h2"]
-    nodes = written(vectors.groupBy(*same).agg(F.min("id").alias("node"), F.first("v").alias("v"), F.bool_or("asked").alias("asked")), "nodes")
+    nodes = written(vectors.groupBy(*same).agg(F.min("id").alias("node"), F.first("v").alias("v"), F.bool_or("asked").alias("asked"), F.count("*").alias("copies")), "nodes")
     distinct = nodes.select(F.col("node").alias("id"), "v")
     queries = nodes.filter("asked").select(F.col("node").alias("id"), "v")
     graph = build(distinct, max(graph_k, k), **options)
-    found = walk(graph, queries, distinct, max(pool, k)).unionByName(exact(queries.select(F.col("id").alias("q"), F.col("id").alias("v")), queries, distinct))
+    found = written(walk(graph, queries, distinct, max(pool, k)), "found")
+    # who has found fewer than there are, up to k besides itself, is compared with all
+    copies = nodes.select(F.col("node").alias("v"), F.least("copies", F.lit(k + 1)).alias("copies"), F.size("v").alias("dim"))
+    whole = copies.groupBy("dim").agg(F.least(F.sum("copies"), F.lit(k + 1)).alias("there"))
+    asking = queries.select(F.col("id").alias("q"), F.size("v").alias("dim")).join(whole, "dim")
+    have = found.select("q", "v").unionByName(queries.select(F.col("id").alias("q"), F.col("id").alias("v"))).join(copies.drop("dim"), "v").groupBy("q").agg(F.sum("copies").alias("have"))
+    lacking = written(asking.join(have, "q").filter("have < there").select(F.col("q").alias("id")), "lacking")
+    if not lacking.isEmpty():
+        again = scanned(queries.join(lacking, "id", "left_semi"), distinct, k)
+        found = found.join(lacking, F.col("q") == F.col("id"), "left_anti").unionByName(again)
+    found = found.unionByName(exact(queries.select(F.col("id").alias("q"), F.col("id").alias("v")), queries, distinct))
 
     # each node stands for its k + 1 least ids: a query among them leaves k; that limit comes before rows are shuffled
     least = vectors.select("id", *same).withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("id"))).filter(F.col("nth") <= k + 1)
