@@ -100,7 +100,7 @@ def circles(edges: DataFrame) -> DataFrame:
     own = whole.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("part"))  # also a circle alone
     edges, n = written(whole.filter("u <> v"), "edges"), -1
     closed, compressed, loops = None, [], own
-    while (size := edges.count()) and size != n:
+    while (size := edges.count()) and (n < 0 or size < 0.8 * n):  # what is left then is for the core
         n = size
         edges = _raked(written(_raked(edges), "edges"))
         edges = written(edges, "edges")
