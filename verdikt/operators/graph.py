@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdikt.model import Policy, Predicate, Rule
@@ -105,3 +105,107 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFram
             frontier = step.select("seed", F.col("to").alias("node")).distinct().join(visited, ["seed", "node"], "left_anti")
             visited = visited.unionByName(frontier)
     return found.distinct()
+
+
+def shown_items(predicates: Column, quoted: bool) -> Column:
+    """The literals of a predicate as they print: texts in quotes if quoted, the rest as they are."""
+    plain = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    other = lambda v: F.contains(v, F.lit("'")) & ~F.contains(v, F.lit('"'))
+    quote = lambda v: F.when(other(v), F.concat(F.lit('"'), plain(v), F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain(v), F.lit("'"), F.lit("\\'")), F.lit("'")))
+    return F.when(F.lit(quoted) & (predicates.right_type == "string"), F.transform(predicates.right_values, quote)).otherwise(predicates.right_values)
+
+
+def rule_summaries(rules: DataFrame, predicates: DataFrame) -> DataFrame:
+    """rule_id and summary of every rule of a policy's tables, in one line each, as summary() gives them for one rule."""
+    p = F.struct("right_kind", "right_values", "right_type")
+    literal = (
+        F.when(F.col("right_kind") == "attribute", F.concat_ws(".", "right_scope", "right_attr"))
+        .when(F.col("right_kind") == "set", F.concat(F.lit("{"), F.array_join(shown_items(p, True), ", "), F.lit("}")))
+        .when(F.col("right_kind") == "list", F.concat(F.lit("["), F.array_join(shown_items(p, True), ", "), F.lit("]")))
+        .otherwise(F.coalesce(F.get("right_values", F.lit(0)), F.lit("None")))
+    )
+    said = predicates.select("rule_id", F.struct("pos", F.concat_ws(" ", F.concat_ws(".", "left_scope", "left_attr"), "op", literal).alias("text")).alias("c")).groupBy("rule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c.text), " AND ").alias("when"))
+    line = F.concat("rule_id", F.lit(": effect="), "effect", F.lit("; actions=["), F.array_join("actions", ", "), F.lit("]; when "), F.coalesce("when", F.lit("TRUE")))
+    return rules.join(said, "rule_id", "left").select("rule_id", line.alias("summary"))
+
+
+def graph_tables(made: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, as policy_graph gives them, from a policy's tables: any number of rules, unions of selections alone.
+
+    A node that is defined more than once (an attribute that is declared and used, a value that many conditions name) is the first
+    in the order of declarations, rules and conditions.
+    """
+    rules, predicates, expressions, attributes = (made[t] for t in ("rules", "predicates", "expressions", "attributes"))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    props = lambda **columns: F.create_map(*(x for k, c in columns.items() for x in (F.lit(k), c.cast("string")))) if columns else F.create_map().cast("map<string,string>")
+    c = F.col
+    kind = lambda scope: F.when(scope == "subject", "SubjectAttr").when(scope == "resource", "ResourceAttr").otherwise("EnvAttr")
+    attribute = lambda scope, name: text(kind(scope), ":", name)
+    policy = text("Policy:", c("policy_id"))
+    rule, condition = text("Rule:", c("rule_id")), text("Condition:", c("rule_id"), ":", c("predicate_id"))
+    expr = lambda node: text("Expr:", c("rule_id"), ":", node)
+
+    def node(rows: DataFrame, rank: int, node_id: Column, of: Column, values: Column, *order: Column) -> DataFrame:
+        return rows.select(node_id.alias("node_id"), of.alias("kind"), values.alias("props"), F.array(F.lit(rank).cast("string"), *(F.lpad(o.cast("string"), 12, "0") for o in order)).alias("at"))
+
+    by_rule = predicates.join(rules.select("rule_id", c("pos").alias("rule_pos")), "rule_id")
+    used = by_rule.select("rule_pos", "pos", "rule_id", "predicate_id", F.inline(F.array_compact(F.array(
+        F.struct(F.lit("left").alias("side"), c("left_scope").alias("scope"), c("left_attr").alias("name")),
+        F.when(c("right_kind") == "attribute", F.struct(F.lit("right").alias("side"), c("right_scope").alias("scope"), c("right_attr").alias("name"))),
+    ))))
+    p = F.struct("right_kind", "right_values", "right_type")
+    whole = F.array(F.concat(F.lit("["), F.array_join(shown_items(p, True), ", "), F.lit("]")))
+    literals = by_rule.filter(c("right_kind").isin("scalar", "set", "list")).select("rule_pos", "pos", "rule_id", "predicate_id", "left_attr", F.posexplode(F.when(c("right_kind") == "list", F.arrays_zip(whole.alias("id"), whole.alias("value"))).otherwise(F.arrays_zip(shown_items(p, True).alias("id"), c("right_values").alias("value")))).alias("nth", "v"))
+    value = text("AttrValue:", c("left_attr"), ":", c("v.id"))
+    inner = expressions.filter(F.upper("op") != "PRED")
+    nodes = [
+        node(made["policy"], 0, policy, F.lit("Policy"), props(domain=c("domain"), version=c("version"), combining=c("combining"))),
+        node(attributes, 1, attribute(c("scope"), c("name")), kind(c("scope")), props(name=c("name"), datatype=c("datatype"))),
+        node(rules.select(F.explode("actions").alias("name")).distinct(), 2, text("Action:", c("name")), F.lit("Action"), props(name=c("name"))),
+        node(rules.join(rule_summaries(rules, predicates), "rule_id"), 3, rule, F.lit("Rule"), props(effect=c("effect"), priority=c("priority"), source=c("source"), summary=c("summary")), c("pos")),
+        node(inner, 3, expr(c("node_id")), F.lit("Expr"), props(op=c("op"))),
+        node(predicates, 3, condition, F.lit("Condition"), props(op=c("op"), left=text(c("left_scope"), ".", c("left_attr")))),
+        node(used, 4, attribute(c("scope"), c("name")), kind(c("scope")), props(name=c("name"), datatype=F.lit("string")), c("rule_pos"), c("pos")),
+        node(literals, 4, value, F.lit("AttrValue"), props(name=c("left_attr"), value=c("v.value")), c("rule_pos"), c("pos"), c("nth")),
+    ]
+    everything = nodes[0]
+    for rows in nodes[1:]:
+        everything = everything.unionByName(rows)
+    first = everything.groupBy("node_id").agg(F.min_by(F.struct("kind", "props"), "at").alias("n")).select("node_id", "n.kind", "n.props")
+
+    edge = lambda rows, src, label, dst, side=None: rows.select(src.alias("src"), F.lit(label).alias("label"), dst.alias("dst"), (F.lit(None).cast("string") if side is None else side).alias("side"))
+    ends = expressions.select(c("rule_id").alias("r"), c("node_id").alias("n"), (F.upper("op") == "PRED").alias("leaf"), c("predicate_id").alias("leaf_of"))
+    children = inner.select("rule_id", "node_id", F.explode("children").alias("child")).join(ends, (c("rule_id") == c("r")) & (c("child") == c("n")))
+    roots = rules.join(ends.filter("NOT leaf"), (c("rule_id") == c("r")) & (c("root") == c("n")))
+    edges = [
+        edge(rules.join(F.broadcast(made["policy"])), policy, "HAS_RULE", rule),  # one row
+        edge(rules.select("rule_id", F.explode("actions").alias("action")), rule, "USES_ACTION", text("Action:", c("action"))),
+        edge(roots, rule, "HAS_COND", expr(c("root"))),
+        edge(children, expr(c("node_id")), "CHILD", F.when(c("leaf"), text("Condition:", c("rule_id"), ":", c("leaf_of"))).otherwise(expr(c("child")))),
+        edge(used, condition, "REF_ATTR", attribute(c("scope"), c("name")), c("side")),
+        edge(literals, condition, "REF_VALUE", value),
+    ]
+    all_edges = edges[0]
+    for rows in edges[1:]:
+        all_edges = all_edges.unionByName(rows)
+    return first, all_edges
+
+
+def bounded_neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 120) -> DataFrame:
+    """seed and edges: of neighbourhood()'s edges of each seed the first by src, label and dst, limit at most, as an array.
+
+    A node with many edges never shows more than its first limit ones, since no later one can be among a seed's first: they
+    are chosen before anything is shuffled or joined. To find the nodes around a seed all edges are used, as pairs of ids
+    alone; the seeds' edges are cut again before they are gathered.
+    """
+    plain = edges.select("src", "label", "dst")
+    ends = plain.select(F.col("src").alias("at"), "src", "label", "dst").unionByName(plain.select(F.col("dst").alias("at"), "src", "label", "dst"))
+    first = lambda by: Window.partitionBy(by).orderBy("src", "label", "dst")
+    cut = lambda rows, by: rows.withColumn("__nth", F.dense_rank().over(first(by))).filter(F.col("__nth") <= limit).drop("__nth").distinct()
+    shown = cut(ends, "at")
+    around = seeds.select("seed", F.col("seed").alias("node")).distinct()
+    ways = plain.select(F.col("src").alias("at"), F.col("dst").alias("to")).union(plain.select("dst", "src")).distinct()
+    for _ in range(hops - 1):
+        around = around.unionByName(around.join(ways, around.node == ways.at).select("seed", F.col("to").alias("node"))).distinct()
+    met = cut(around.join(shown, around.node == shown.at).select("seed", "src", "label", "dst"), "seed")
+    return met.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("src", "label", "dst"))).alias("edges"))

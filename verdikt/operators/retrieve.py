@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from verdikt.functions.text import overlap, token_set
 from verdikt.model import Policy
-from verdikt.operators.graph import neighbourhood, policy_graph, summary
+from verdikt.operators.graph import bounded_neighbourhood, neighbourhood, policy_graph, summary
+from verdikt.tables import written
 
 ACTION_BOOST = 0.35
 EDGE_LIMIT = 120  # of one subgraph; a feature of the evidence, in the order of src, label, dst
@@ -21,25 +22,47 @@ def text_corpus(spark: SparkSession, policy: Policy) -> DataFrame:
     return spark.createDataFrame(rows, "evidence_id string, text string, rule_ids array<string>")
 
 
-def top_texts(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query: str = "query", text_id: str = "evidence_id", text: str = "text") -> DataFrame:
-    """query_id, rank, evidence_id and score of the k best texts of each query, ties to the larger id.
+#: A query's first look: the rarest of its tokens that lead to so many texts together (the rarest always).
+FIRST_LOOK = 512
+
+
+def _leads(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """q, d and hits of the texts (of held: d, token, dealt by d) that have tokens of wanted (q, token). Where wanted is
+    small enough to be broadcast, a text's rows meet it where they are, and no pair is shuffled."""
+    return held.join(wanted, "token").groupBy("q", "d").agg(F.count("*").alias("hits"))
+
 
-    Texts meet queries through tokens that they share, by an equi-join on the token, so only pairs that share one are ever formed;
-    counts are summed before they are shuffled. If a query shares a token with fewer than k texts, the largest other ids
-    follow with a score of 0: no more than k for a query, from the k largest ids and those of its matches.
+def top_texts(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query: str = "query", text_id: str = "evidence_id", text: str = "text") -> DataFrame:
+    """query_id, rank, evidence_id and score of the k best texts of each query, ties to the larger id. Ids are distinct.
+
+    Of the texts only the tokens that some query has are kept. A query first looks at the texts that its rarest tokens lead to,
+    and the k-th best of their scores is a bound. Then half as many tokens as the bound, the commonest, are left out: a text
+    that reaches the bound has the other half among the rest, so only those are joined with, and the few texts that
+    have so many of them are scored as a whole. Ties are within the bound, so the rows are those of scoring every pair. A
+    query with fewer than k texts that share anything is filled with the largest other ids, with a score of 0: from the k
+    largest ids and those of its matches.
     """
-    asked = queries.select(F.col(query_id).alias("q"), token_set(F.col(query)).alias("tokens"))
-    held = corpus.select(F.col(text_id).alias("d"), F.explode(token_set(F.col(text))).alias("token"))
+    asked = written(queries.select(F.col(query_id).alias("q"), token_set(F.col(query)).alias("tokens")), "asked")
+    wanted = asked.select("q", F.explode("tokens").alias("token"))
+    held = written(corpus.select(F.col(text_id).alias("d"), F.explode(token_set(F.col(text))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi"), "held").repartition("d")
     sizes = asked.select("q", F.greatest(F.lit(1), F.size("tokens")).alias("n"))
-    shared = asked.select("q", F.explode("tokens").alias("token")).join(held, "token").groupBy("q", "d").agg(F.count("*").alias("shared"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("d"))
-    matched = shared.join(sizes, "q").select("q", "d", (F.col("shared") / F.col("n")).alias("score"))
-    matched = matched.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
+    frequency = held.groupBy("token").agg(F.count("*").alias("df"))
+    by_rarity = Window.partitionBy("q").orderBy("df", "token")  # of one query's tokens
+    known = wanted.join(frequency, "token", "left").select("q", "token", F.coalesce("df", F.lit(0)).alias("df"))
+    ranked = written(known.withColumns({"nth": F.row_number().over(by_rarity), "upto": F.sum("df").over(by_rarity)}), "rarity")
+    best = lambda by: Window.partitionBy("q").orderBy(F.desc(by), F.desc("d"))
+    top = lambda rows, by: rows.withColumn("rank", F.row_number().over(best(by))).filter(F.col("rank") <= k)
+    first = _leads(ranked.filter((F.col("nth") == 1) | (F.col("upto") <= FIRST_LOOK)).select("q", "token"), held)
+    whole = lambda pairs: held.join(pairs, "d").join(wanted.withColumnsRenamed({"q": "__q", "token": "__token"}), (F.col("q") == F.col("__q")) & (F.col("token") == F.col("__token"))).groupBy("q", "d").agg(F.count("*").alias("shared"))
+    bounds = whole(top(first, "hits").select("q", "d")).groupBy("q").agg(F.when(F.count("*") >= k, F.min("shared")).otherwise(1).alias("bound"))
+    reach = written(sizes.join(bounds, "q", "left").select("q", "n", F.coalesce("bound", F.lit(1)).alias("bound"), F.floor(F.coalesce("bound", F.lit(1)) / 2).alias("out")), "bounds")
+    leading = ranked.join(reach, "q").filter(F.col("nth") <= F.col("n") - F.col("out")).select("q", "token")
+    hopeful = _leads(leading, held).join(reach, "q").filter(F.col("hits") >= F.col("bound") - F.col("out")).select("q", "d")
+    matched = top(whole(hopeful).join(sizes, "q").select("q", "d", (F.col("shared") / F.col("n")).alias("score")), "score").drop("rank")
     last = corpus.select(F.col(text_id).alias("d")).orderBy(F.desc("d")).limit(2 * k)  # k of them aren't among k matches
     short = sizes.join(matched.groupBy("q").agg(F.count("*").alias("m")), "q", "left").filter(F.coalesce("m", F.lit(0)) < k).select("q")
-    filled = short.join(F.broadcast(last)).join(matched.select("q", "d"), ["q", "d"], "left_anti").select("q", "d", F.lit(0.0).alias("score"))
-    ranked = matched.unionByName(filled).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query_id), "rank", F.col("d").alias(text_id), "score")
+    filled = short.join(F.broadcast(last)).join(matched.select("q", "d"), ["q", "d"], "left_anti").select("q", "d", F.lit(0.0).alias("score"))  # 2 k rows
+    return top(matched.unionByName(filled), "score").select(F.col("q").alias(query_id), "rank", F.col("d").alias(text_id), "score")
 
 
 def rule_score(query_tokens: Column, summary_tokens: Column, actions: list[str]) -> Column:
@@ -67,8 +90,10 @@ def top_subgraphs(spark: SparkSession, queries: DataFrame, policy: Policy, k: in
     """top_rules with node_ids and edges of each rule's two-hop neighbourhood (at most 120 edges, in order)."""
     _, edges = policy_graph(spark, policy)
     seeds = spark.createDataFrame([(f"Rule:{r.rule_id}", r.rule_id) for r in policy.rules], "seed string, rule_id string")
-    around = neighbourhood(edges, seeds).groupBy("seed").agg(F.array_sort(F.collect_set(F.struct("src", "label", "dst"))).alias("edges"))
-    shape = seeds.join(around, "seed", "left").select("rule_id", F.array_sort(F.array_distinct(F.concat(F.array("seed"), F.transform("edges", lambda e: e.src), F.transform("edges", lambda e: e.dst)))).alias("node_ids"), F.slice("edges", 1, EDGE_LIMIT).alias("edges"))
+    found = neighbourhood(edges, seeds)
+    ends = found.select("seed", F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy("seed").agg(F.collect_list("node").alias("nodes"))  # all of them are in the result
+    around = seeds.join(bounded_neighbourhood(edges, seeds, 2, EDGE_LIMIT), "seed", "left").join(ends, "seed", "left")
+    shape = around.select("rule_id", F.array_sort(F.array_distinct(F.concat(F.array("seed"), F.coalesce("nodes", F.array().cast("array<string>"))))).alias("node_ids"), "edges")
     return top_rules(queries, policy, k, query_id, query).join(F.broadcast(shape), "rule_id").select(query_id, "evidence_id", F.array("rule_id").alias("rule_ids"), "node_ids", "edges", "score")
 
 
@@ -77,27 +102,57 @@ def evidence_by_rule(evidence: DataFrame, query_id: str = "query_id") -> DataFra
     return evidence.select(query_id, "evidence_id", F.explode("rule_ids").alias("rule_id")).groupBy(query_id, "rule_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
 
 
+def named_entities(queries: DataFrame, entities: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """query_id, pos, name and attributes of the first entity (least pos) whose name is a token of each query's text; no
+    row without one. entities: pos, name, attributes (a map). Names are looked up by an equi-join on tokens, so there may be
+    any number of both; names that are no single token are never found, and case doesn't matter."""
+    said = queries.select(F.col(query_id), F.explode(token_set(F.col(query))).alias("token"))
+    first = said.join(entities.select("pos", "name", F.lower("name").alias("token")), "token").groupBy(query_id).agg(F.min(F.struct("pos", "name")).alias("e"))
+    found = first.select(query_id, F.col("e.pos").alias("__pos"), F.col("e.name").alias("__name"))
+    return found.join(entities, (F.col("pos") == F.col("__pos")) & (F.col("name") == F.col("__name"))).select(query_id, "pos", "name", "attributes")
+
+
+def said_pairs(query: Column) -> Column:
+    """The key=value words of a text: an array of k (lower-cased) and v, in their order."""
+    words = F.filter(F.split(F.replace(F.coalesce(query, F.lit("")), F.lit(","), F.lit(" ")), r"\s+"), lambda w: F.contains(w, F.lit("=")))
+    return F.transform(words, lambda w: F.struct(F.lower(F.trim(F.substring_index(w, "=", 1))).alias("k"), F.trim(F.substr(w, F.instr(w, "=") + 1)).alias("v")))
+
+
+def _sketched(found: DataFrame, columns: list[str], action: Column) -> DataFrame:
+    """found (columns, __pairs, and for each scope __id and __attributes) as sketches: what pairs say goes before what is known."""
+
+    def attributes(scope: str) -> Column:
+        own = F.transform(F.filter("__pairs", lambda p: p.k.startswith(f"{scope}.")), lambda p: F.struct(F.substr(p.k, F.lit(len(scope) + 2)).alias("k"), p.v.alias("v")))
+        keys = F.array_distinct(F.transform(own, lambda p: p.k))
+        last = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(own, lambda p: p.k == k), -1).v)))
+        known = F.coalesce(F.col(f"__{scope}_attributes"), F.create_map().cast("map<string,string>"))
+        return F.map_concat(F.map_filter(known, lambda k, _: ~F.array_contains(keys, k)), last)
+
+    said = F.try_element_at(F.filter("__pairs", lambda p: p.k == "action"), F.lit(-1)).getField("v")
+    ids = [F.col(f"__{scope}_id").alias(f"{scope}_id") for scope in ("subject", "resource")]
+    return found.select(*columns, F.coalesce(said, action).alias("action"), *ids, *(attributes(scope).alias(scope) for scope in ("subject", "resource")))
+
+
+def sketch_requests(queries: DataFrame, users: DataFrame, resources: DataFrame, actions: list[str], query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """request_sketch for entities kept as tables (pos, name, attributes), of any number; query ids are distinct."""
+    found = queries.withColumn("__pairs", said_pairs(F.col(query)))
+    for scope, entities in (("subject", users), ("resource", resources)):
+        named = named_entities(queries, entities, query_id, query).select(F.col(query_id).alias("__q"), F.col("name").alias(f"__{scope}_id"), F.col("attributes").alias(f"__{scope}_attributes"))
+        found = found.join(named, F.col(query_id) == F.col("__q"), "left").drop("__q")
+    words = token_set(F.col(query))
+    first = F.coalesce(*(F.when(F.array_contains(words, a.lower()), a) for a in actions), F.lit(None).cast("string"))
+    return _sketched(found, queries.columns, first)
+
+
 def request_sketch(queries: DataFrame, policy: Policy, query: str = "query") -> DataFrame:
     """queries with action, subject_id, resource_id, and subject and resource (maps of text), as free text names them.
 
     The first action, user and resource of the policy whose name is a token of the text; then ``key=value`` words, where
     ``subject.k=v`` and ``resource.k=v`` set attributes and ``action=v`` the action. Keys are lower-cased.
     """
-    words = F.filter(F.split(F.replace(F.coalesce(F.col(query), F.lit("")), F.lit(","), F.lit(" ")), r"\s+"), lambda w: F.contains(w, F.lit("=")))
-    pairs = F.transform(words, lambda w: F.struct(F.lower(F.trim(F.substring_index(w, "=", 1))).alias("k"), F.trim(F.regexp_replace(w, "^[^=]*=", "")).alias("v")))
-    found = queries.withColumn("__t", token_set(F.col(query))).withColumn("__p", pairs)
-    first = lambda names: F.coalesce(*(F.when(F.array_contains("__t", n.lower()), n) for n in names), F.lit(None).cast("string"))
     text = lambda v: None if v is None else " ".join(sorted(map(str, v))) if isinstance(v, (set, list)) else str(v)
-
-    def attributes(scope: str, entities: dict[str, dict], chosen: Column) -> Column:
-        base = F.create_map().cast("map<string,string>")
-        for name, values in entities.items():
-            base = F.when(chosen == name, F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, text(v))))).otherwise(base)
-        own = F.filter("__p", lambda p: p.k.startswith(f"{scope}."))
-        keys = F.transform(own, lambda p: F.substring(p.k, len(scope) + 2, 1000))
-        last = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.element_at(F.filter(own, lambda p: p.k == F.concat(F.lit(f"{scope}."), k)), -1).v)))
-        return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(keys, k)), last)
-
-    user, resource = first(policy.users), first(policy.resources)
-    said = F.try_element_at(F.filter("__p", lambda p: p.k == "action"), F.lit(-1)).getField("v")
-    return found.select(*queries.columns, F.coalesce(said, first(policy.actions)).alias("action"), user.alias("subject_id"), resource.alias("resource_id"), attributes("subject", policy.users, user).alias("subject"), attributes("resource", policy.resources, resource).alias("resource"))
+    spark = queries.sparkSession
+    tables_ = [spark.createDataFrame([(n, name, {k: text(v) for k, v in values.items()}) for n, (name, values) in enumerate(own.items())], "pos int, name string, attributes map<string,string>") for own in (policy.users, policy.resources)]
+    texts = queries.select(F.coalesce(query, F.lit("")).alias("__text")).distinct()  # equal texts have one sketch
+    made = sketch_requests(texts, *tables_, list(policy.actions), "__text", "__text")
+    return queries.join(made, F.coalesce(query, F.lit("")) == F.col("__text")).select(*queries.columns, "action", "subject_id", "resource_id", "subject", "resource")

@@ -17,7 +17,7 @@ from verdikt.model import Attribute, Policy, Predicate, all_of
 from verdikt.operators.contract import parse_contract
 from verdikt.operators.as_data import decide_as_data
 from verdikt.operators.decide import decide, trace
-from verdikt.operators.graph import degrees, entity_edges, entity_nodes, neighbourhood
+from verdikt.operators.graph import degrees, entity_edges, entity_nodes, neighbourhood, rule_summaries
 from verdikt.operators.guardrails import align, verify
 from verdikt.operators.metrics import METRICS, score
 from verdikt.operators.retrieve import top_texts
@@ -292,9 +292,12 @@ def kg_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_brand AS rule_id, p_brand || ': effect=Permit; actions=[read]; when ' || string_agg('resource.type EQ ' || p_type, ' AND ' ORDER BY p_type) AS summary
 FROM (SELECT DISTINCT p_brand, p_type FROM part) GROUP BY p_brand""")
 def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("types"))
-    conditions = F.array_join(F.transform("types", lambda t: F.concat(F.lit("resource.type EQ "), t)), " AND ")
-    return parts.select(F.col("p_brand").alias("rule_id"), F.concat("p_brand", F.lit(": effect=Permit; actions=[read]; when "), conditions).alias("summary"))
+    """A rule for each brand, with a condition for each of its types."""
+    brands = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("rule_id")).agg(F.array_sort(F.collect_set("p_type")).alias("types"))
+    rules = brands.select("rule_id", F.lit("Permit").alias("effect"), F.array(F.lit("read")).alias("actions"))
+    none = F.lit(None).cast("string")
+    predicates = brands.select("rule_id", F.posexplode("types").alias("pos", "type")).select("rule_id", "pos", F.lit("EQ").alias("op"), F.lit("resource").alias("left_scope"), F.lit("type").alias("left_attr"), none.alias("right_scope"), none.alias("right_attr"), F.lit("scalar").alias("right_kind"), F.array("type").alias("right_values"), F.lit("string").alias("right_type"))
+    return rule_summaries(rules, predicates)
 
 
 @query("""WITH t AS (SELECT unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS token FROM documents) SELECT token, count(*) AS n FROM t GROUP BY 1""")
@@ -479,11 +482,13 @@ def sketch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best and mean overlap of every query with all texts, from shared tokens; the stated queries are the benchmark."""
     asked = read(spark, sf_dir, "benchmark").select("item_id", token_set(F.col("text")).alias("t"))
-    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    frequency = documents.select("doc_id", F.explode(token_set(F.col("text"))).alias("token"))
     size = F.greatest(F.lit(1), F.size("t"))
-    shared = asked.select("item_id", size.alias("n"), F.explode("t").alias("token")).join(frequency, "token").groupBy("item_id", "n", "doc_id").agg(F.count("*").alias("shared"))
-    total = documents.count()
-    return asked.select("item_id").join(shared.groupBy("item_id").agg(F.max(F.col("shared") / F.col("n")).alias("best"), (F.sum(F.col("shared") / F.col("n")) / F.lit(total)).alias("mean")), "item_id", "left").select("item_id", F.round(F.coalesce("best", F.lit(0.0)), 9).alias("best"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"))
-
-
+    wanted = asked.select("item_id", size.alias("n"), F.explode("t").alias("token"))
+    held = read(spark, sf_dir, "documents").select("doc_id", F.explode(token_set(F.col("text"))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    documents = read(spark, sf_dir, "documents").agg(F.count("*").alias("all"))
+    # the mean needs no pairs: every token adds its frequency
+    frequency = held.groupBy("token").agg(F.count("*").alias("df"))
+    means = wanted.join(frequency, "token").groupBy("item_id", "n").agg(F.sum("df").alias("hits")).join(F.broadcast(documents)).select("item_id", (F.col("hits") / F.col("n") / F.col("all")).alias("mean"))  # one row
+    best = top_texts(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), 1, "item_id", "text", "doc_id", "text").select("item_id", F.col("score").alias("best"))
+    rounded = lambda c, digits: F.round(F.coalesce(c, F.lit(0.0)), digits).alias(c)
+    return asked.select("item_id").join(means, "item_id", "left").join(best, "item_id", "left").select("item_id", rounded("best", 9), rounded("mean", 6))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdikt.model import Attribute, Expression, Policy, Predicate, Rule, all_of
 from verdikt.operators.as_data import decide_as_data, trace_as_data
 from verdikt.operators.cycles import circular_expressions
+from verdikt.operators.graph import bounded_neighbourhood, graph_tables
 from verdikt.operators.permitted import permitted_pairs
 from verdikt.plans import catalog
 from verdikt.plans.catalog import TRADE, line_requests, read
+from verdikt.operators.retrieve import sketch_requests
 from verdikt.sources.policies import tables
+from verdikt.sources.policy_lines import read_policy_lines, typed_entities
+from verdikt.tables import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -190,3 +196,140 @@ def circular_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(third & F.col("next").isNull(), node(F.col("first"))), F.when(~third & (F.col("o_orderkey") % 50 == 0), node(F.col("before"))),
     ))
     return circular_expressions(o.select(F.concat(F.lit("N"), "n").alias("rule_id"), node(F.col("o_orderkey")).alias("node_id"), to.alias("children")))
+
+
+def part_rules(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A policy's tables with a rule for each part: of its brand, for those of its size or more, of no colour of its name, at home."""
+    parts = read(spark, sf_dir, "part").select(F.concat(F.lit("R"), F.col("p_partkey")).alias("rule_id"), F.col("p_partkey").cast("int").alias("pos"), "p_name", "p_brand", "p_type", "p_size")
+
+    def test(n: int, op: str, left: str, kind: str, values: Column, right: str | None = None, type_: str | None = None) -> Column:
+        scopes = [*left.split("."), *(right.split(".") if right else (None, None))]
+        named = [F.lit(v).cast("string").alias(k) for k, v in zip(("left_scope", "left_attr", "right_scope", "right_attr"), scopes, strict=True)]
+        return F.struct(F.lit(f"P{n}").alias("predicate_id"), F.lit(n - 1).alias("pos"), F.lit(op).alias("op"), *named, F.lit(kind).alias("right_kind"), values.alias("right_values"), F.lit(type_).cast("string").alias("right_type"))
+
+    tests = F.array(
+        test(1, "EQ", "resource.brand", "scalar", F.array("p_brand"), type_="string"), test(2, "GE", "subject.size", "scalar", F.array(F.col("p_size").cast("string")), type_="int"),
+        test(3, "IN", "subject.words", "set", F.array_sort(F.array_distinct(F.split("p_name", " "))), type_="string"), test(4, "EQ", "subject.nation", "attribute", F.lit(None).cast("array<string>"), "resource.nation"),
+    )
+    nodes = _nodes(*((f"E{n}", "PRED", f"P{n}", []) for n in range(1, 5)), ("OTHER", "NOT", None, ["E3"]), ("TOP", "AND", None, ["E1", "E2", "OTHER", "E4"]))
+    effect = F.when(F.col("p_size") % 2 == 0, "Permit").otherwise("Deny")
+    return {
+        "policy": spark.createDataFrame([("parts", "trade", "1", "part", "deny-overrides")], "policy_id string, domain string, version string, dataset string, combining string"),
+        "attributes": spark.createDataFrame([("subject", "size", "int", False), ("resource", "brand", "string", False)], "scope string, name string, datatype string, multivalue boolean"),
+        "rules": parts.select("rule_id", "pos", effect.alias("effect"), F.array(F.lower("p_type")).alias("actions"), F.lit("TOP").alias("root"), F.lit(0).alias("priority"), F.col("p_name").alias("source")),
+        "predicates": parts.select("rule_id", F.inline(tests)),
+        "expressions": parts.select("rule_id", F.inline(nodes)),
+    }
+
+
+_PART_GRAPH = """WITH words AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part),
+n(kind, node_id) AS (
+  SELECT 'Policy', 'Policy:parts' UNION ALL SELECT 'SubjectAttr', 'SubjectAttr:' || unnest(['size', 'words', 'nation']) UNION ALL SELECT 'ResourceAttr', 'ResourceAttr:' || unnest(['brand', 'nation'])
+  UNION ALL SELECT DISTINCT 'Action', 'Action:' || lower(p_type) FROM part UNION ALL SELECT 'Rule', 'Rule:R' || p_partkey FROM part UNION ALL SELECT 'Expr', 'Expr:R' || p_partkey || ':' || unnest(['TOP', 'OTHER']) FROM part
+  UNION ALL SELECT 'Condition', 'Condition:R' || p_partkey || ':P' || unnest([1, 2, 3, 4]) FROM part UNION ALL SELECT DISTINCT 'AttrValue', 'AttrValue:brand:''' || p_brand || '''' FROM part
+  UNION ALL SELECT DISTINCT 'AttrValue', 'AttrValue:size:' || p_size FROM part UNION ALL SELECT DISTINCT 'AttrValue', 'AttrValue:words:''' || w || '''' FROM words
+), e(label, src, dst) AS (
+  SELECT 'HAS_RULE', 'Policy:parts', 'Rule:R' || p_partkey FROM part UNION ALL SELECT 'USES_ACTION', 'Rule:R' || p_partkey, 'Action:' || lower(p_type) FROM part UNION ALL SELECT 'HAS_COND', 'Rule:R' || p_partkey, 'Expr:R' || p_partkey || ':TOP' FROM part
+  UNION ALL SELECT 'CHILD', 'Expr:R' || p_partkey || ':TOP', 'Condition:R' || p_partkey || ':P' || unnest([1, 2, 4]) FROM part UNION ALL SELECT 'CHILD', 'Expr:R' || p_partkey || ':TOP', 'Expr:R' || p_partkey || ':OTHER' FROM part
+  UNION ALL SELECT 'CHILD', 'Expr:R' || p_partkey || ':OTHER', 'Condition:R' || p_partkey || ':P3' FROM part
+  UNION ALL SELECT 'REF_ATTR', 'Condition:R' || p_partkey || ':P' || r.p, r.dst FROM part, (VALUES (1, 'ResourceAttr:brand'), (2, 'SubjectAttr:size'), (3, 'SubjectAttr:words'), (4, 'SubjectAttr:nation'), (4, 'ResourceAttr:nation')) r(p, dst)
+  UNION ALL SELECT 'REF_VALUE', 'Condition:R' || p_partkey || ':P1', 'AttrValue:brand:''' || p_brand || '''' FROM part UNION ALL SELECT 'REF_VALUE', 'Condition:R' || p_partkey || ':P2', 'AttrValue:size:' || p_size FROM part
+  UNION ALL SELECT 'REF_VALUE', 'Condition:R' || p_partkey || ':P3', 'AttrValue:words:''' || w || '''' FROM words
+)"""
+
+
+@query(f"{_PART_GRAPH} SELECT node_id, kind FROM n")
+def part_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the graph of a policy with a rule for each part."""
+    return graph_tables(part_rules(spark, sf_dir))[0].select("node_id", "kind")
+
+
+@query(f"{_PART_GRAPH} SELECT src, label, dst FROM e")
+def part_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_tables(part_rules(spark, sf_dir))[1].select("src", "label", "dst")
+
+
+@query("""SELECT 'Rule:R' || p_partkey AS node_id, CASE WHEN p_size % 2 = 0 THEN 'Permit' ELSE 'Deny' END AS effect,
+  'R' || p_partkey || ': effect=' || CASE WHEN p_size % 2 = 0 THEN 'Permit' ELSE 'Deny' END || '; actions=[' || lower(p_type) || ']; when resource.brand EQ ' || p_brand || ' AND subject.size GE ' || p_size || ' AND subject.words IN {'
+  || array_to_string(list_transform(list_sort(list_distinct(string_split(p_name, ' '))), lambda w: '''' || w || ''''), ', ') || '} AND subject.nation EQ resource.nation' AS summary FROM part""")
+def part_graph_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries that the graph's rule nodes carry."""
+    nodes = graph_tables(part_rules(spark, sf_dir))[0].filter("kind = 'Rule'")
+    return nodes.select("node_id", F.col("props")["effect"].alias("effect"), F.col("props")["summary"].alias("summary"))
+
+
+@query(f"""WITH e AS ({catalog._EDGES_SQL}), s AS (SELECT 'nation:' || n_nationkey AS seed, 'region:' || n_regionkey AS up FROM nation),
+a AS (SELECT DISTINCT seed, src, label, dst FROM s JOIN e ON dst = seed OR src = seed OR dst = up),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY src, label, dst) AS n FROM a)
+SELECT seed, count(*) AS n_edges, md5(string_agg(src || '>' || dst, ',' ORDER BY src, label, dst)) AS edges FROM r WHERE n <= 120 GROUP BY 1""")
+def nation_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 120 edges within two hops of each nation, whatever the number of its customers."""
+    nodes, edges = catalog._world(spark, sf_dir)
+    around = bounded_neighbourhood(edges, nodes.filter("kind = 'nation'").select(F.col("node_id").alias("seed")))
+    return around.select("seed", F.size("edges").alias("n_edges"), F.md5(F.array_join(F.transform("edges", lambda e: F.concat(e.src, F.lit(">"), e.dst)), ",").cast("binary")).alias("edges"))
+
+
+@query("""WITH n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM supplier) AS s),
+o AS (SELECT o_orderkey, o_orderpriority, least(o_custkey, (o_custkey + 7) % c) AS ck, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % s END AS sk FROM orders, n)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'return' WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'ship' END AS action, 'customer_' || ck AS subject_id, 'supplier_' || sk AS resource_id,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'any' ELSE c_mktsegment END AS segment, CAST(c_nationkey AS VARCHAR) AS nation, CAST(s_nationkey AS VARCHAR) AS from_nation
+FROM o JOIN customer ON c_custkey = ck LEFT JOIN supplier ON s_suppkey = sk""")
+def order_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests read from texts that name two customers, of whom the first in the table counts, mostly a supplier, and
+    sometimes say action and attribute themselves."""
+    customer, supplier = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
+    people = customer.select(F.col("c_custkey").alias("pos"), F.concat(F.lit("customer_"), "c_custkey").alias("name"), F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string")).alias("attributes"))
+    firms = supplier.select(F.col("s_suppkey").alias("pos"), F.concat(F.lit("supplier_"), "s_suppkey").alias("name"), F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("attributes"))
+    sizes = customer.agg(F.count("*").alias("c")).join(F.broadcast(supplier.agg(F.count("*").alias("s"))))  # a row each
+    key = F.col("o_orderkey")
+    said = F.concat(
+        F.when((key % 3 > 0) & (key % 5 > 0), "May we ship for ").otherwise("This is for "), F.lit("CUSTOMER_"), ((F.col("o_custkey") + 7) % F.col("c")).cast("string"), F.lit(" or Customer_"), F.col("o_custkey").cast("string"),
+        F.when(key % 4 > 0, F.concat(F.lit(", from supplier_"), (key % F.col("s")).cast("string"), F.lit("?"))).otherwise("?"), F.when(key % 3 == 0, " action=return, subject.Segment=any").otherwise(""),
+    )
+    texts = read(spark, sf_dir, "orders").join(F.broadcast(sizes)).select("o_orderkey", said.alias("text"))
+    found = sketch_requests(texts, people, firms, ["return", "ship"], "o_orderkey", "text")
+    return found.select("o_orderkey", "action", "subject_id", "resource_id", F.col("subject")["segment"].alias("segment"), F.col("subject")["nation"].alias("nation"), F.col("resource")["nation"].alias("from_nation"))
+
+
+def trade_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a policy file in lines: customers with their orders' priorities, suppliers, and a rule for each part."""
+    had = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("p"))
+    customers = read(spark, sf_dir, "customer").join(had, F.col("c_custkey") == F.col("o_custkey"), "left")
+    said = F.concat(F.lit(", had={"), F.array_join(F.transform("p", lambda p: F.replace(p, F.lit(" "), F.lit("_"))), " "), F.lit("}"))
+    people = customers.select(F.concat(F.lit("userAttrib(c"), "c_custkey", F.lit(", segment="), "c_mktsegment", F.lit(",balance = "), "c_acctbal", F.lit(", nation="), "c_nationkey", F.coalesce(said, F.lit("")), F.when(F.col("c_custkey") % 2 == 0, ")   # even").otherwise(")")).alias("value"))
+    firms = read(spark, sf_dir, "supplier").select(F.concat(F.lit("  resourceAttrib(s"), "s_suppkey", F.lit(", balance="), "s_acctbal", F.lit(", near={"), F.col("s_nationkey"), F.lit(","), F.col("s_nationkey") + 1, F.lit("}, debtor="), F.when(F.col("s_acctbal") < 0, "True").otherwise("false"), F.lit(")")).alias("value"))
+    rules = read(spark, sf_dir, "part").select(F.concat(F.lit("rule(segment [ {"), F.upper("p_type"), F.lit(" OTHER}; key="), "p_partkey", F.lit(", price = "), F.format_string("%.2f", "p_retailprice"), F.lit("; {ship "), F.lower("p_type"), F.lit("}; had ] need, skills > needs)")).alias("value"))
+    path = f"{shared_folder(spark)}/verdikt/policy-{uuid.uuid4().hex}"
+    people.unionByName(firms).unionByName(rules).unionByName(spark.createDataFrame([("# a policy",), ("",), ("this says nothing",)], "value string")).write.text(path)
+    return path
+
+
+@query("""WITH had AS (SELECT o_custkey, list_sort(list(DISTINCT replace(o_orderpriority, ' ', '_'))) AS p FROM orders GROUP BY 1)
+SELECT 'c' || c_custkey AS id, 'subject' AS scope, c_mktsegment AS segment, c_acctbal AS balance, CAST(c_nationkey AS BIGINT) AS nation, coalesce(array_to_string(p, '+'), '-') AS had, CAST(NULL AS BOOLEAN) AS debtor FROM customer LEFT JOIN had ON c_custkey = o_custkey
+UNION ALL SELECT 's' || s_suppkey, 'resource', NULL, s_acctbal, CAST(s_nationkey AS BIGINT), '-', s_acctbal < 0 FROM supplier""")
+def entities_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers, written as attribute lines, read back with their types."""
+    made = read_policy_lines(spark, trade_lines(spark, sf_dir))
+    people, firms = (typed_entities(made["entities"], made["attributes"], scope) for scope in ("subject", "resource"))
+    subjects = people.select("id", F.lit("subject").alias("scope"), "segment", "balance", "nation", F.coalesce(F.array_join("had", "+"), F.lit("-")).alias("had"), F.lit(None).cast("boolean").alias("debtor"))
+    return subjects.unionByName(firms.select("id", F.lit("resource").alias("scope"), F.lit(None).cast("string").alias("segment"), "balance", F.array_min("near").alias("nation"), F.lit("-").alias("had"), "debtor"))
+
+
+@query("""SELECT scope, name, datatype, multivalue FROM (VALUES ('subject', 'segment', 'string', false), ('subject', 'balance', 'float', false), ('subject', 'nation', 'int', false), ('subject', 'had', 'set[string]', true), ('subject', 'uid', 'string', false),
+  ('resource', 'balance', 'float', false), ('resource', 'near', 'set[int]', true), ('resource', 'debtor', 'bool', false), ('resource', 'rid', 'string', false)) v(scope, name, datatype, multivalue)
+WHERE CASE scope WHEN 'subject' THEN (SELECT count(*) FROM customer) ELSE (SELECT count(*) FROM supplier) END > 0""")
+def types_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attributes that those lines declare, with the types that hold all of their values."""
+    return read_policy_lines(spark, trade_lines(spark, sf_dir))["attributes"]
+
+
+@query("""SELECT p_partkey AS key, 'IN(set:string:' || array_to_string(list_sort([upper(p_type), 'OTHER']), ' ') || ')+EQ(scalar:int:' || p_partkey || ')+EQ(scalar:float:' || printf('%.2f', p_retailprice) || ')+CONTAINS(attribute:resource.need)+SUPERSET(attribute:resource.needs)' AS tests,
+  'ship+' || lower(p_type) AS actions, row_number() OVER () > 0 AS numbered FROM part""")
+def rules_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of those lines: conditions in their order, with the literals' types; numbers are those of 1 to n."""
+    made = read_policy_lines(spark, trade_lines(spark, sf_dir))
+    shown = F.concat("op", F.lit("("), F.concat_ws(":", "right_kind", F.when(F.col("right_kind") == "attribute", F.concat_ws(".", "right_scope", "right_attr")).otherwise(F.concat_ws(":", "right_type", F.array_join("right_values", " ")))), F.lit(")"))
+    key = F.max(F.when(F.col("left_attr") == "key", F.get("right_values", F.lit(0)).cast("long")))
+    tests = made["predicates"].groupBy("rule_id").agg(key.alias("key"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("s")))), lambda x: x.s), "+").alias("tests"))
+    n = made["rules"].agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.max("pos").alias("last"))
+    return made["rules"].join(tests, "rule_id").join(F.broadcast(n)).select("key", "tests", F.array_join("actions", "+").alias("actions"), ((F.col("n") == F.col("d")) & (F.col("last") == F.col("n") - 1)).alias("numbered"))  # one row

@@ -154,7 +154,7 @@ def tables(spark: SparkSession, policy: Policy) -> dict[str, DataFrame]:
         "attributes": ([(a.scope, a.name, a.datatype, a.multivalue) for a in policy.attributes.values()], "scope string, name string, datatype string, multivalue boolean"),
         "actions": ([(a,) for a in policy.actions], "name string"),
         "rules": ([(r.rule_id, n, r.effect, list(r.actions), r.root, r.priority, r.source) for n, r in enumerate(policy.rules)], "rule_id string, pos int, effect string, actions array<string>, root string, priority int, source string"),
-        "predicates": ([(r.rule_id, p.predicate_id, n, p.op, p.left_scope, p.left_attr, p.right_scope, p.right_attr, kind(p), literal(p.right_value)) for r in policy.rules for n, p in enumerate(r.predicates.values())], "rule_id string, predicate_id string, pos int, op string, left_scope string, left_attr string, right_scope string, right_attr string, right_kind string, right_values array<string>"),
+        "predicates": ([(r.rule_id, p.predicate_id, n, p.op, p.left_scope, p.left_attr, p.right_scope, p.right_attr, kind(p), literal(p.right_value), None if p.by_attribute or p.right_value is None else datatype_of([p.right_value]).removeprefix("set[").removesuffix("]")) for r in policy.rules for n, p in enumerate(r.predicates.values())], "rule_id string, predicate_id string, pos int, op string, left_scope string, left_attr string, right_scope string, right_attr string, right_kind string, right_values array<string>, right_type string"),
         "expressions": ([(r.rule_id, e.node_id, e.op, e.predicate_id, list(e.children)) for r in policy.rules for e in r.expressions.values()], "rule_id string, node_id string, op string, predicate_id string, children array<string>"),
     }
     return {name: spark.createDataFrame(data, schema) for name, (data, schema) in made.items()}
