@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.observatory import ACTIONS, THINGS, USERS, permitting, text
 from verdikt.model import Attribute, Expression, Policy, Predicate, Rule, all_of
-from verdikt.operators.clients import heuristic, loaded, scripted
+from verdikt.operators.clients import Decoding, heuristic, loaded, scripted
 from verdikt.operators.contract import parse_contract
 from verdikt.operators.as_data import decide_as_data, trace_as_data
 from verdikt.operators.decide import decide, gathered_facts, trace
@@ -15,7 +15,7 @@ from verdikt.operators.retrieve import evidence_by_rule, request_sketch, text_co
 from verdikt.operators.validate import dangling_children, missing_roots, problems, single_valued_containers, type_conflicts, unfit_literals, unknown_actions, unknown_references
 from verdikt.operators.variants import draft
 from verdikt.operators.workload import adversarial, counterfactual, qa_tasks, request_grid, seeded_positions, split_positions
-from verdikt.plans.experiment import Setup, run_experiments, test_tasks as sampled_tasks
+from verdikt.plans.experiment import Setup, backend, run_experiments, smoke, test_tasks as sampled_tasks
 from verdikt.sources.literals import datatype_of
 from verdikt.sources.policies import parse_policy, tables
 from verdikt.sources.results import check_results
@@ -216,7 +216,9 @@ def test_clients(spark, policy):
     prompts = spark.createDataFrame([(0, "same"), (1, "other"), (2, "x")], "call long, p string")
     assert [r[0].split("\n")[1] for r in prompts.select(heuristic(F.col("p"))).collect()] == ["decision = Permit", "decision = Deny", "decision = Deny"]
     assert [r.answer for r in scripted(prompts, ["a", "b"], fallback="c").orderBy("call").collect()] == ["a", "b", "c"]
-    assert [r[0] for r in prompts.select(loaded(lambda: lambda ps: [p.upper() for p in ps])(F.col("p"))).collect()] == ["SAME", "OTHER", "X"]
+    assert [r[0] for r in prompts.select(loaded(lambda: lambda ps, system, **how: [f"{system} {p.upper()} {sorted(how.values())}" for p in ps])(F.col("p"), "Sir", Decoding(0.0, 0.5, 7))).collect()] == [f"Sir {p} [0.0, 0.5, 7]" for p in ("SAME", "OTHER", "X")]
+    assert smoke(spark, heuristic, Decoding()).startswith("Decision")
+    assert backend("heuristic") is heuristic and callable(backend("tests.test_evidence:nothing", "m"))
     with pytest.raises(ValueError, match="Unknown variant"):
         draft(spark, prompts, policy, "other", heuristic)
 
@@ -245,7 +247,7 @@ def test_experiment(spark, tmp_path, policy):
     assert check_results(spark, out, names, size) == []
     assert check_results(spark, out, ("vanilla",), size + 1) == [f"predictions_vanilla.jsonl has {size} rows"]
     assert check_results(spark, str(tmp_path / "none"), ()) != []
-    assert "| guardrails | 100.00 | 0.00 |" in (tmp_path / "out" / "tables.md").read_text()
+    assert "| guardrails | 100.00 | 0.00 |" in "\n".join(r.value for r in spark.read.text(f"{out}/tables.md").collect())
 
 
 def test_stream(spark, policy, tmp_path):

@@ -241,7 +241,7 @@ def guardrail_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
     decision = F.when(F.col("toxic") == 1, "Deny").otherwise("Permit")
     traced = F.struct(decision.alias("decision"), F.array(F.lit("R1")).alias("decisive_rules"), F.create_map(F.lit("R1"), F.create_map(F.lit("P1"), F.lit("TRUE"))).alias("decisive_predicates"), F.array().cast("array<string>").alias("missing_attributes"), F.array().cast("array<string>").alias("notes"))
     rows = parse_contract(labels.withColumn("answer", said)).withColumns({"trace": traced, "evidence_ids": F.array(F.lit("SG1"))})
-    answer = lambda prompt: F.concat(F.lit("decision = "), F.regexp_extract(prompt, "decision must be (\\w+)", 1), F.lit("\n1 Now supports = SG1 R1 P1\n"))
+    answer = lambda prompt: F.concat(F.lit("decision = "), F.regexp_extract(prompt, "The decision is (\\w+)", 1), F.lit("\n1 Now supports = SG1 R1 P1\n"))
     r = F.col("response")
     return verify(rows, answer).select("doc_id", r.decision.alias("decision"), r.was_overridden.alias("was_overridden"), r.revised.alias("revised"), F.size(r.claims).alias("n_claims"))
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,18 +44,30 @@ def tables_markdown(metrics: Mapping[str, Mapping[str, Row]]) -> str:
     return "\n".join(parts)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A short text as a folder of one part, in any store that Spark writes to."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """The lines of a file or folder; none if it isn't there."""
+    try:
+        return spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def check_results(spark: SparkSession, folder: str, variants: Sequence[str], least_rows: int = 1) -> list[str]:
-    """What is missing in an experiment's folder: files, sections of the tables, or rows of predictions."""
-    there = Path(folder)
-    if not there.exists():
-        return [f"no folder {folder}"]
-    found = [f"no {name}" for name in ("tables.md", *(f"predictions_{v}.jsonl" for v in variants)) if not (there / name).exists()]
-    if found:
+    """What is missing in an experiment's folder, in any store: files, sections of the tables, or rows of predictions."""
+    parts = {name: _lines(spark, f"{folder}/{name}") for name in ("tables.md", *(f"predictions_{v}.jsonl" for v in variants))}
+    if found := [f"no {name}" for name, lines in parts.items() if lines is None]:
         return found
-    text = (there / "tables.md").read_text(encoding="utf-8")
-    found += [f"tables.md has no section {title}" for title, _, _ in TABLES if f"## {title}" not in text]
-    for v in variants:
-        n = spark.read.text(str(there / f"predictions_{v}.jsonl")).filter("trim(value) <> ''").count()
+    titles = {r.value for r in parts.pop("tables.md").filter(F.col("value").startswith("## ")).collect()}
+    found = [f"tables.md has no section {title}" for title, _, _ in TABLES if f"## {title}" not in titles]
+    for name, lines in parts.items():
+        n = lines.filter("trim(value) <> ''").count()
         if n < least_rows:
-            found.append(f"predictions_{v}.jsonl has {n} rows")
+            found.append(f"{name} has {n} rows")
     return found
