@@ -262,3 +262,31 @@ def test_odd_documents(documents):
     n = documents.count()
     assert ppm.score_documents(documents, F.col("doc_id") == 3).count() == n
     assert pii.find(documents).count() == n
+
+
+def test_pii_long_text(spark):
+    """A log of addresses: time grows with its length, and nothing is lost."""
+    import time
+
+    took = []
+    for n in (10_000, 80_000):
+        text = "10.0.0.1 - +49 30 1234567 -\n" * n
+        base = pii.base_spans(text)
+        began = time.perf_counter()
+        marks = pii.covered(text, (s for k in pii.KINDS for s in base[k]))
+        free = sum(not pii.touches(marks, span) for _, span in pii.candidates(text))
+        took.append(time.perf_counter() - began)
+        assert (len(base["ip"]), len(base["phone"]), free) == (n, n, 0)
+    assert took[1] < 40 * took[0] + 1
+    model = {k: (pii.Trees(np.zeros((2, len(pii.FEATURES))), np.array([0.0, 1.0])), -99.0) for k in pii.KINDS}
+    long = "10.0.0.1 - ann at site dot org 4071 1234 555 0199 -\n" * 3000
+    added = pii.added_spans([long], [pii.base_spans(long)], model)[0]
+    spans = sorted(s for _, s in added)
+    assert len(added) >= 6000 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_marks():
+    marks = pii.covered("x" * 20, [(2, 5), (10, 11), (4, 7)])
+    for a in range(20):
+        for b in range(a + 1, 21):
+            assert pii.touches(marks, (a, b)) == any(a < d and c < b for c, d in ((2, 5), (10, 11), (4, 7)))

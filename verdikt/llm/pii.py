@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,18 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 Span = tuple[int, int]
 
 
+def covered(text: str, spans: Iterable[Span]) -> bytearray:
+    """A byte for each character, 1 within spans: a span is tried against any number of others in the time of its length."""
+    marks = bytearray(len(text))
+    for a, b in spans:
+        marks[a:b] = b"\1" * (b - a)
+    return marks
+
+
+def touches(marks: bytearray, span: Span) -> bool:
+    return marks.find(1, *span) >= 0
+
+
 def luhn(digits: str) -> bool:
     total = sum(map(int, digits[-1::-2]))
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
@@ -171,7 +183,7 @@ def examples(text: str, row: int) -> Iterator[tuple[str, list[float], int]]:
     """Candidates from one text: kind, features, and 1, 0 or -1. Each base span gives a rewritten one in its place and a
     decoy; other candidates of the text aren't labelled, and count as negatives but for those that settled() leaves out."""
     spans = base_spans(text)
-    taken = [s for k in KINDS for s in spans[k]]
+    taken = covered(text, (s for k in KINDS for s in spans[k]))
     for kind in KINDS:
         for n, (a, b) in enumerate(spans[kind]):
             lot = row + n
@@ -180,7 +192,7 @@ def examples(text: str, row: int) -> Iterator[tuple[str, list[float], int]]:
                     placed = text[max(0, a - 60) : a] + value + text[b : b + 60]
                     yield kind, describe(placed, kind, (min(a, 60), min(a, 60) + len(value))), label
     for kind, (a, b) in candidates(text):
-        if not any(a < d and c < b for c, d in taken):
+        if not touches(taken, (a, b)):
             yield kind, describe(text, kind, (a, b)), -1
 
 
@@ -282,7 +294,8 @@ def learn(documents: DataFrame, text_column: str = "text", sample_rows: int = 40
 
 def added_spans(texts: list[str], base: list[dict[str, list[Span]]], model: dict[str, tuple[Trees, float]]) -> list[list[tuple[str, Span]]]:
     """For each text the candidates over their threshold that touch no base span, the surest first where they overlap."""
-    proposed = [(i, kind, span) for i, text in enumerate(texts) for kind, span in candidates(text) if kind in model and not any(span[0] < d and c < span[1] for k in KINDS for c, d in base[i][k])]
+    marks = [covered(text, (s for k in KINDS for s in own[k])) for text, own in zip(texts, base, strict=True)]
+    proposed = [(i, kind, span) for i, text in enumerate(texts) for kind, span in candidates(text) if kind in model and not touches(marks[i], span)]
     added: list[list[tuple[str, Span]]] = [[] for _ in texts]
     sure = []
     for kind in model:
@@ -292,7 +305,8 @@ def added_spans(texts: list[str], base: list[dict[str, list[Span]]], model: dict
             margins = trees.margin(np.array([describe(texts[i], kind, span) for i, _, span in own], float))
             sure += [(-m, i, kind, span) for m, (i, _, span) in zip(margins, own, strict=True) if m >= least]
     for _, i, kind, span in sorted(sure):
-        if not any(span[0] < d and c < span[1] for _, (c, d) in added[i]):
+        if not touches(marks[i], span):
+            marks[i][span[0] : span[1]] = b"\1" * (span[1] - span[0])
             added[i].append((kind, span))
     return added
 
@@ -305,7 +319,8 @@ def joined(spans: list[tuple[str, Span]]) -> str:
 def find(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = 4000, redact: bool = True) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (fixed patterns), base_sha256, spans (all), n_added and redacted (the text
     with each span replaced by its kind in brackets, if redact) of every row. Null texts are empty (redacted stays null), equal
-    rows get equal results, an empty table gives none."""
+    rows get equal results, an empty table gives none, other columns aren't read. A very long text takes time and memory in
+    proportion to its length."""
     bounded_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(learn(documents, text_column, sample_rows))  # some hundred nodes
 
