@@ -1,7 +1,4 @@
-"""Registered queries over one small policy: what its readers, constraints, graph, evidence and tasks give.
-
-The policy is part of this module, so the SQL lists the rows that follow from its text, written by hand.
-"""
+"""What readers, constraints, graph, evidence and tasks give for one small policy, with the rows that follow from its text, written by hand."""
 
 from __future__ import annotations
 
@@ -11,11 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdikt.functions.logic import all_true, any_true, negated, tri
 from verdikt.model import Attribute, Expression, Policy, Predicate, Rule, all_of
-from verdikt.operators.contract import parse_contract
 from verdikt.operators.decide import trace
 from verdikt.operators.graph import policy_graph, summary
-from verdikt.operators.guardrails import verify
 from verdikt.operators.retrieve import evidence_by_rule, request_sketch, text_corpus, top_rules, top_subgraphs
 from verdikt.operators.validate import dangling_children, missing_roots, single_valued_containers, type_conflicts, unfit_literals, unknown_actions
 from verdikt.operators.workload import counterfactual, grid_tasks, request_grid
@@ -49,7 +45,7 @@ def query(columns: str, *rows: str) -> Callable:
 
     def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[function.__name__] = function
-        ORACLES[function.__name__] = f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) v({columns})"
+        ORACLES[function.__name__] = f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) v({', '.join(f'"{c.strip()}"' for c in columns.split(','))})"
         return function
 
     return register
@@ -219,32 +215,9 @@ def policy_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
-_JSON_ANSWERS = """SELECT doc_id, CASE WHEN quality = 1 THEN 'Permit' ELSE 'Deny' END AS decision, 'Medium' AS confidence, 'SG' || (doc_id % 3) AS citations, 'R' || (doc_id % 2) AS rule_id, 'P1+P2' AS predicate_ids, 'SG1' AS supports FROM labels"""
-
-
-def contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers in JSON for each label."""
-    said = F.to_json(F.struct(F.when(F.col("quality") == 1, "PERMIT").otherwise(" deny ").alias("decision"), F.array(F.concat(F.lit("SG"), F.col("doc_id") % 3)).alias("citations"), F.create_map(F.concat(F.lit("R"), F.col("doc_id") % 2), F.array(F.lit("P1"), F.lit("P2"))).alias("decisive_predicates"), F.array(F.struct(F.lit("so").alias("text"), F.array(F.lit("SG1")).alias("supports"))).alias("claims")))
-    d = F.col("draft")
-    parsed = parse_contract(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", said.alias("answer")))
-    return parsed.select("doc_id", d.decision.alias("decision"), d.confidence.alias("confidence"), F.array_join(d.citations, "+").alias("citations"), F.get(F.map_keys(d.decisive_predicates), F.lit(0)).alias("rule_id"), F.array_join(F.get(F.map_values(d.decisive_predicates), F.lit(0)), "+").alias("predicate_ids"), F.array_join(F.get(d.claims, F.lit(0)).supports, "+").alias("supports"))
-
-
-_REVISED = """SELECT doc_id, CASE WHEN toxic = 1 THEN 'Deny' ELSE 'Permit' END AS decision, quality = toxic AS was_overridden, NOT (quality = 1 AND toxic = 0) AS revised, 1 AS n_claims FROM labels"""
-
-
-def guardrail_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafts permit what is good and claim what a toxic one's trace doesn't hold; a model revises what contradicts."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
-    rule = F.when(F.col("quality") == 1, "R1").otherwise("R9")
-    said = F.concat(F.lit("decision = "), F.when(F.col("quality") == 1, "Permit").otherwise("Deny"), F.lit("\n1 So supports = SG1 "), rule, F.lit("\n"))
-    decision = F.when(F.col("toxic") == 1, "Deny").otherwise("Permit")
-    traced = F.struct(decision.alias("decision"), F.array(F.lit("R1")).alias("decisive_rules"), F.create_map(F.lit("R1"), F.create_map(F.lit("P1"), F.lit("TRUE"))).alias("decisive_predicates"), F.array().cast("array<string>").alias("missing_attributes"), F.array().cast("array<string>").alias("notes"))
-    rows = parse_contract(labels.withColumn("answer", said)).withColumns({"trace": traced, "evidence_ids": F.array(F.lit("SG1"))})
-    answer = lambda prompt: F.concat(F.lit("decision = "), F.regexp_extract(prompt, "The decision is (\\w+)", 1), F.lit("\n1 Now supports = SG1 R1 P1\n"))
-    r = F.col("response")
-    return verify(rows, answer).select("doc_id", r.decision.alias("decision"), r.was_overridden.alias("was_overridden"), r.revised.alias("revised"), F.size(r.claims).alias("n_claims"))
-
-
-QUERIES |= {"contract_json": contract_json, "guardrail_revised": guardrail_revised}
-ORACLES |= {"contract_json": _JSON_ANSWERS, "guardrail_revised": _REVISED}
+@query("a, b, both, either, negated, all_of_none, any_of_none, not_of_none", "'T', 'T', 'TRUE', 'TRUE', 'FALSE', 'TRUE', 'FALSE', 'UNKNOWN'", "'T', 'U', 'UNKNOWN', 'TRUE', 'FALSE', 'TRUE', 'FALSE', 'UNKNOWN'", "'T', 'F', 'FALSE', 'TRUE', 'FALSE', 'TRUE', 'FALSE', 'UNKNOWN'", "'U', 'T', 'UNKNOWN', 'TRUE', 'UNKNOWN', 'TRUE', 'FALSE', 'UNKNOWN'", "'U', 'U', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'TRUE', 'FALSE', 'UNKNOWN'", "'U', 'F', 'FALSE', 'UNKNOWN', 'UNKNOWN', 'TRUE', 'FALSE', 'UNKNOWN'", "'F', 'T', 'FALSE', 'TRUE', 'TRUE', 'TRUE', 'FALSE', 'UNKNOWN'", "'F', 'U', 'FALSE', 'UNKNOWN', 'TRUE', 'TRUE', 'FALSE', 'UNKNOWN'", "'F', 'F', 'FALSE', 'FALSE', 'TRUE', 'TRUE', 'FALSE', 'UNKNOWN'")
+def kleene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = [("T", True), ("F", False), ("U", None)]
+    rows = spark.createDataFrame([(a, x, b, y) for a, x in values for b, y in values], "a string, x boolean, b string, y boolean")
+    x, y = F.col("x"), F.col("y")
+    return rows.select("a", "b", tri(all_true([x, y])).alias("both"), tri(any_true([x, y])).alias("either"), tri(negated([x])).alias("negated"), tri(all_true([])).alias("all_of_none"), tri(any_true([])).alias("any_of_none"), tri(negated([])).alias("not_of_none"))

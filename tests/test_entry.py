@@ -15,5 +15,5 @@ def test_without_operators(tmp_path):
         if (ROOT / name).exists():
             shutil.copy(ROOT / name, tmp_path / name)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout
-    assert "abac_decide" in said and "policy_rules" in said
+    assert "abac_decide" in said and "permitted_trades" in said
     assert "pipeline" not in said.split() and "op1_" not in said

@@ -124,3 +124,60 @@ def test_top_texts(spark, seed):
             want = sorted(((len(own & tokens(x)) / max(1, len(own)), d) for d, x in texts), reverse=True)[:k]
             assert got[q] == [(d, s) for s, d in want], (q, k)
     assert spark.range(1).select(F.size(token_set(F.lit("A a b")))).first()[0] == 2
+
+
+def test_counterfactuals_by_classes(spark):
+    """Values in classes against trying every one: literals, equality with another attribute, order and membership between attributes, sets."""
+    from verdikt.operators.decide import decide
+    from verdikt.operators.workload import counterfactual
+
+    kinds = (("n", "int"), ("m", "int"), ("s", "string"), ("many", "set[string]"))
+    declared = {(scope, n): Attribute(scope, n, kind) for scope in ("subject", "resource") for n, kind in kinds}
+    literal = lambda op, a, v, scope="subject", name="P1": Predicate(name, op, scope, a, right_value=v)
+    between = lambda op, a, b, name="P2": Predicate(name, op, "subject", a, "resource", b)
+    rules = {
+        "classes": [all_of("R1", "Permit", ("go",), [literal("GE", "n", 4), literal("NEQ", "s", "b", name="P2")]), all_of("R2", "Deny", ("go",), [literal("GT", "n", 7)])],
+        "equal": [all_of("R1", "Permit", ("go",), [literal("GE", "n", 2), between("EQ", "n", "m")]), all_of("R2", "Permit", ("go",), [between("NEQ", "s", "s", "P1"), literal("EQ", "m", 3, "resource", "P2")])],
+        "order": [all_of("R1", "Permit", ("go",), [between("LT", "n", "n", "P1")]), all_of("R2", "Deny", ("go",), [between("CONTAINS", "many", "s", "P1")])],
+    }
+    draw = random.Random(6)
+    row = lambda: (draw.randint(0, 9), draw.randint(0, 9), draw.choice("abc"), sorted(draw.sample("abcd", draw.randint(0, 2))))
+    people, things = [row() for _ in range(14)], [row() for _ in range(9)]
+    schema = "struct<n:bigint,m:bigint,s:string,many:array<string>>"
+    asked = [(i, u, t, "go", "t", "qa", "q") for i, (u, t) in enumerate((u, t) for u in people for t in things)]
+    requests = spark.createDataFrame(asked, f"pos int, subject {schema}, resource {schema}, action string, task_id string, task_type string, query string")
+    names = [n for n, _ in kinds]
+    domains = {(scope, n): spark.createDataFrame([(r[at],) for r in own] + [(None,)], f"candidate {dict(zip(names, ('bigint', 'bigint', 'string', 'array<string>'), strict=True))[n]}") for scope, own in (("subject", people), ("resource", things)) for at, n in enumerate(names)}
+    shown = lambda v: " ".join(v) if isinstance(v, list) else str(v)
+    for made in rules.values():
+        policy = Policy("p", tuple(made), declared)
+        changes = []
+        for i, u, t, *_ in asked:
+            for rank, scope, own, everyone in ((0, "subject", u, people), (1, "resource", t, things)):
+                for at, name in enumerate(names):
+                    for v in {str(e[at]): e[at] for e in everyone if e[at] != own[at]}.values():
+                        new = tuple(v if j == at else own[j] for j in range(4))
+                        changes.append((i, new if rank == 0 else u, new if rank else t, "go", rank, name, shown(v), scope))
+        tried = decide(spark.createDataFrame(changes, f"pos int, subject {schema}, resource {schema}, action string, rank int, attr string, value string, scope string"), policy).collect()
+        now = {r.pos: r.decision for r in decide(requests, policy).collect()}
+        want = {}
+        for r in tried:
+            target = "Deny" if now[r.pos] == "Permit" else "Permit"
+            if r.decision == target:
+                want[r.pos] = min(want.get(r.pos, (9,)), (r["rank"], r.attr, r.value, r.scope, target))
+        got = {r.pos: (0 if r.cf_scope == "subject" else 1, r.cf_attr, r.cf_value, r.cf_scope, r.cf_target) for r in counterfactual(spark, policy, requests, F.lit(1), "pos", domains).collect() if r.cf_attr}
+        assert got == want and want
+
+
+@pytest.mark.parametrize(("n", "k"), [(0, 3), (1, 1), (2, 5), (5, 5), (37, 20), (1000, 1000), (4097, 100)])
+def test_drawn(spark, n, k):
+    from verdikt.operators.workload import drawn
+
+    rows = drawn(spark, n, k, 5).collect()
+    assert sorted(r.nth for r in rows) == list(range(min(n, k)))
+    assert len({r.pos for r in rows}) == len(rows) and all(0 <= r.pos < n for r in rows)
+    again = drawn(spark, n, k, 5).repartition(7).orderBy("nth").collect()
+    assert [(r.nth, r.pos) for r in again] == sorted((r.nth, r.pos) for r in rows)
+    if n > 30:
+        assert [r.pos for r in again] != sorted(r.pos for r in rows)
+        assert [r.pos for r in drawn(spark, n, k, 6).orderBy("nth").collect()] != [r.pos for r in again]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdikt.model import DENY, PERMIT, Policy
-from verdikt.operators.decide import decision
+from verdikt.model import DENY, PERMIT, Policy, Predicate
+from verdikt.operators.decide import Compiler, decision
 from verdikt.sources.policies import entities
 
 #: What adversarial tasks begin with, in their order.
@@ -53,13 +54,20 @@ def seeded_positions(n: int, k: int | None, seed: int) -> list[int]:
     return random.Random(seed).sample(range(n), k) if k is not None and n > k else list(range(n))
 
 
+#: Samples up to this size are drawn as the seeded generator draws them, larger ones by a permutation.
+DRIVER_SAMPLE = 100_000
+
+
 def qa_tasks(spark: SparkSession, policy: Policy, seed: int = 7, max_samples: int | None = None) -> DataFrame:
-    """nth (the order), and grid_tasks' columns: all tasks of a policy or a seeded sample of them."""
+    """nth (the order), and grid_tasks' columns: all tasks of a policy or a seeded sample of them. Samples of more than
+    DRIVER_SAMPLE tasks are drawn by drawn(), so no list of them is made on the driver."""
     n = len(policy.users) * len(policy.resources) * len(policy.actions) * 2
     tasks = grid_tasks(request_grid(spark, policy), F.col("subject.uid"), F.col("resource.rid"))
     if max_samples is None or n <= max_samples:
         return tasks.withColumn("nth", F.col("pos"))
-    return tasks.join(F.broadcast(numbered(spark, seeded_positions(n, max_samples, seed))), "pos")
+    if max_samples > DRIVER_SAMPLE:
+        return tasks.join(drawn(spark, n, max_samples, seed), "pos")
+    return tasks.join(F.broadcast(numbered(spark, seeded_positions(n, max_samples, seed))), "pos")  # DRIVER_SAMPLE rows at most
 
 
 def split_positions(labels: Sequence[tuple[int, str]], dev_ratio: float, seed: int) -> tuple[list[int], list[int]]:
@@ -103,29 +111,123 @@ def adversarial(tasks: DataFrame, nth: Column) -> DataFrame:
     return tasks.withColumns({"task_id": F.concat(F.lit("ADV"), nth.cast("string")), "task_type": F.lit("adversarial"), "query": F.concat(prefix, F.col("query"))})
 
 
-def counterfactual(spark: SparkSession, policy: Policy, tasks: DataFrame, nth: Column, key: str = "pos") -> DataFrame:
+#: Places to which tasks and values are dealt where a change has to be tried with every value.
+DEALT = 64
+#: Tests of literals up to which an attribute's classes of values (3 ** 6 at most) are broadcast.
+FEW_TESTS = 6
+
+
+def _reading(policy: Policy, scope: str, name: str) -> list[Predicate]:
+    return list({(r.rule_id, p.predicate_id): p for r in policy.rules for p in r.predicates.values() if (p.left_scope, p.left_attr) == (scope, name) or (p.by_attribute and (p.right_scope, p.right_attr) == (scope, name))}.values())
+
+
+def _others(policy: Policy, scope: str, name: str, tests: list[Predicate]) -> list[tuple[str, str]] | None:
+    """The attributes that an attribute is compared with by equality; none if it is compared with others in another way."""
+    found = []
+    for p in tests:
+        if not p.by_attribute:
+            continue
+        sides = [(p.left_scope, p.left_attr), (p.right_scope, p.right_attr)]
+        other = sides[1] if sides[0] == (scope, name) else sides[0]
+        kinds = [policy.attribute(*side) for side in sides]
+        if p.op.upper() not in ("EQ", "NEQ") or sides[0] == sides[1] or None in kinds or kinds[0].datatype != kinds[1].datatype or kinds[0].multivalue:
+            return None
+        found.append(other)
+    return list(dict.fromkeys(found))
+
+
+def _tried(tasks: DataFrame, policy: Policy, scope: str, name: str, values: DataFrame) -> DataFrame:
+    """tasks with candidate: values among which is, for each task, the first by text of all those that change its decision alike.
+
+    Values for which all tests of the attribute have the same outcome are one class, of which one is tried; its first few
+    values by text stand for it, as one may be the task's own or equal to what it is compared with, which is a class of its own.
+    """
+    tests = _reading(policy, scope, name)
+    others = _others(policy, scope, name, tests)
+    literals = [p for p in tests if not p.by_attribute]
+    if others is None:
+        held = tasks.withColumn("__deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(DEALT)))
+        every = values.select("candidate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))).alias("__place"))
+        return held.join(every, F.col("__deal") == F.col("__place")).drop("__deal", "__place")
+    alone = values.select("candidate", F.struct(F.col("candidate").alias(name)).alias(scope)).withColumn("action", F.lit(None).cast("string"))
+    c = Compiler(policy, alone)
+    outcome = F.array(*(F.coalesce(c.predicate(p)[0].cast("int"), F.lit(2)) for p in literals)).cast("array<int>")
+    first = Window.partitionBy("__class").orderBy(_as_text(values, F.col("candidate")))
+    named = alone.select("candidate", outcome.alias("__class")).withColumn("__nth", F.row_number().over(first)).filter(F.col("__nth") <= 2 + len(others)).select("candidate")
+    if len(literals) <= FEW_TESTS:
+        met = tasks.join(F.broadcast(named))  # (2 + others) * 3 ** 6 rows at most
+    else:
+        every = named.select("candidate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))).alias("__place"))
+        met = tasks.withColumn("__deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(DEALT))).join(every, F.col("__deal") == F.col("__place")).drop("__deal", "__place")
+    for other_scope, other in others:
+        if other_scope in tasks.columns and other in tasks.schema[other_scope].dataType.names:
+            met = met.unionByName(tasks.join(values, F.col(f"{other_scope}.{other}").cast(values.schema["candidate"].dataType) == F.col("candidate")))
+    return met
+
+
+def _as_text(values: DataFrame, candidate: Column) -> Column:
+    return F.array_join(candidate, " ") if values.schema["candidate"].dataType.typeName() == "array" else candidate.cast("string")
+
+
+def counterfactual(spark: SparkSession, policy: Policy, tasks: DataFrame, nth: Column, key: str = "pos", domains: Mapping[tuple[str, str], DataFrame] | None = None) -> DataFrame:
     """tasks as counterfactual ones, with target, scope, attr, value and changes of the first change of one attribute
     that gives the opposite decision (Deny for Permit, else Permit); null if there is none.
 
-    An attribute's candidates are the values that any entity has for it; only attributes that the request's entity has
-    are changed. Subjects come before resources, attributes by name, and of several values the first as text.
+    An attribute's candidates are the values that any entity of the policy has for it, or domains' (scope and name to a
+    table with a column candidate); only attributes that the request's entity has are changed. Subjects come before
+    resources, attributes by name, and of several values the first as text. Only attributes that some rule reads are
+    looked at, and of their values only such as the rules can tell apart.
     """
+    if domains is None:
+        domains = {(scope, a): entities(spark, policy, scope).select(F.col(a).alias("candidate")) for scope, own in (("subject", policy.users), ("resource", policy.resources)) for a in sorted({a for e in own.values() for a in e})}
     base = tasks.withColumn("__base", decision(policy, tasks))
     target = F.when(F.col("__base") == PERMIT, DENY).otherwise(PERMIT)
-    flips = None
-    for rank, (scope, rows) in enumerate((("subject", policy.users), ("resource", policy.resources))):
+    flips = spark.createDataFrame([], f"__key {tasks.schema[key].dataType.simpleString()}, change struct<rank:int,attr:string,value:string,scope:string>")
+    for rank, scope in enumerate(("subject", "resource")):
         fields = [f.name for f in tasks.schema[scope].dataType]
-        for name in sorted({a for e in rows.values() for a in e}):
-            values = entities(spark, policy, scope).select(F.col(name).alias("candidate")).filter("candidate IS NOT NULL").distinct()
-            met = base.filter(F.col(f"{scope}.{name}").isNotNull()).join(F.broadcast(values), ~F.col(f"{scope}.{name}").eqNullSafe(F.col("candidate")))
+        for name in sorted(a for s, a in domains if s == scope and a in fields and _reading(policy, s, a)):
+            values = domains[scope, name].select("candidate").filter("candidate IS NOT NULL").distinct()
+            met = _tried(base.filter(F.col(f"{scope}.{name}").isNotNull()), policy, scope, name, values).filter(~F.col(f"{scope}.{name}").eqNullSafe(F.col("candidate")))
             changed = met.withColumn(scope, F.struct(*((F.col("candidate") if f == name else F.col(f"{scope}.{f}")).alias(f) for f in fields)))
             flipped = changed.withColumn("__new", decision(policy, changed)).filter(F.col("__new") == target)
-            text = F.array_join("candidate", " ") if values.schema["candidate"].dataType.typeName() == "array" else F.col("candidate").cast("string")
-            found = flipped.select(F.col(key).alias("__key"), F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("attr"), text.alias("value"), F.lit(scope).alias("scope")).alias("change"))
-            flips = found if flips is None else flips.unionByName(found)
+            change = F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("attr"), _as_text(values, F.col("candidate")).alias("value"), F.lit(scope).alias("scope"))
+            flips = flips.unionByName(flipped.select(F.col(key).alias("__key"), change.alias("change")))
     first = flips.groupBy("__key").agg(F.min("change").alias("change"))
     joined = base.join(first, F.col(key) == F.col("__key"), "left")
     return joined.select(
         *(c for c in tasks.columns if c not in ("task_id", "task_type", "query")), F.concat(F.lit("CF"), nth.cast("string")).alias("task_id"), F.lit("counterfactual").alias("task_type"), F.concat(F.lit(FLIP), F.col("query")).alias("query"),
         F.when(F.col("change").isNotNull(), target).alias("cf_target"), F.col("change.scope").alias("cf_scope"), F.col("change.attr").alias("cf_attr"), F.col("change.value").alias("cf_value"), F.when(F.col("change").isNotNull(), 1).alias("cf_changes"),
     )
+
+
+def _round(half: Column, modulus: Column, seed: int, nth: int) -> Column:
+    digest = F.md5(F.concat(F.lit(f"{seed}:{nth}:"), half.cast("string")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), modulus)
+
+
+def shuffled(position: Column, n: int, seed: int, rounds: int = 4) -> Column:
+    """A position from 0 to n - 1 moved by a seeded permutation of them: a Feistel network over pairs of digits, walked on
+    while it leaves the range. No list is kept, so n may be anything; positions stay apart, whatever rows hold them.
+
+    The pairs' range exceeds n by less than its root, so a walk of 64 steps ends but for one time in n ** 32.
+    """
+    wide = max(1, math.isqrt(max(0, n - 1)) + 1)
+    high = -(-n // wide) or 1  # wide * high >= n
+
+    def permuted(x: Column) -> Column:
+        a, b = ((x - x % wide) / wide).cast("long"), x % wide  # a below high, b below wide
+        for nth in range(rounds):
+            if nth % 2:
+                b = (b + _round(a, F.lit(wide), seed, nth)) % wide
+            else:
+                a = (a + _round(b, F.lit(high), seed, nth)) % high
+        return a * wide + b
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(64)), permuted(position.cast("long")), lambda x, _: F.when(x < n, x).otherwise(permuted(x)))
+    return walk if n else F.lit(None).cast("long")
+
+
+def drawn(spark: SparkSession, n: int, k: int, seed: int) -> DataFrame:
+    """nth and pos of min(k, n) of n positions without replacement, in their seeded order: the first ones of shuffled(), a
+    table of its own that any number of tasks can be joined with."""
+    return spark.range(min(k, n)).select(F.col("id").alias("nth"), shuffled(F.col("id"), n, seed).alias("pos"))

@@ -15,6 +15,7 @@ from verdikt.operators.permitted import permitted_pairs
 from verdikt.plans import catalog
 from verdikt.plans.catalog import TRADE, line_requests, read
 from verdikt.operators.retrieve import sketch_requests
+from verdikt.operators.workload import counterfactual, drawn
 from verdikt.sources.policies import tables
 from verdikt.sources.policy_lines import read_policy_lines, typed_entities
 from verdikt.tables import shared_folder
@@ -333,3 +334,55 @@ def rules_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = made["predicates"].groupBy("rule_id").agg(key.alias("key"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("s")))), lambda x: x.s), "+").alias("tests"))
     n = made["rules"].agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.max("pos").alias("last"))
     return made["rules"].join(tests, "rule_id").join(F.broadcast(n)).select("key", "tests", F.array_join("actions", "+").alias("actions"), ((F.col("n") == F.col("d")) & (F.col("last") == F.col("n") - 1)).alias("numbered"))  # one row
+
+
+FLIPS = Policy("flips", (
+    all_of("R1", "Permit", ("N", "R"), [Predicate("P1", "IN", "subject", "segment", right_value={"BUILDING", "FURNITURE"}), Predicate("P2", "EQ", "subject", "nation", "resource", "nation")]),
+    all_of("R2", "Permit", ("A", "N"), [Predicate("P1", "GE", "subject", "balance", right_value=5000.0), Predicate("P2", "NEQ", "subject", "segment", right_value="MACHINERY")]),
+    all_of("R3", "Deny", ("A", "N", "R"), [Predicate("P1", "LT", "subject", "balance", right_value=0.0), Predicate("P2", "LT", "resource", "balance", right_value=1000.0)]),
+), TRADE.attributes)
+
+_FLIP_PERMITS = """(NOT ({b} < 0 AND {sb} < 1000) AND ((action IN ('N', 'R') AND {s} IN ('BUILDING', 'FURNITURE') AND {n} = {sn}) OR (action IN ('A', 'N') AND {b} >= 5000 AND {s} <> 'MACHINERY')))"""
+_NOW = {"b": "balance", "sb": "s_acctbal", "s": "segment", "n": "nation", "sn": "s_nationkey"}
+_CHANGES = ((0, "subject", "balance", "b", "SELECT DISTINCT c_acctbal AS v FROM customer", "balance"), (0, "subject", "nation", "n", "SELECT DISTINCT c_nationkey AS v FROM customer", "nation"), (0, "subject", "segment", "s", "SELECT DISTINCT c_mktsegment AS v FROM customer", "segment"), (1, "resource", "balance", "sb", "SELECT DISTINCT s_acctbal AS v FROM supplier", "s_acctbal"), (1, "resource", "nation", "sn", "SELECT DISTINCT s_nationkey AS v FROM supplier", "s_nationkey"))
+
+
+@query(f"""WITH {catalog._REQUESTS.strip()}, r AS (SELECT DISTINCT action, c_custkey, segment, balance, nation, s_suppkey, s_acctbal, s_nationkey FROM requests),
+d AS (SELECT *, {_FLIP_PERMITS.format(**_NOW)} AS permit FROM r),
+f AS ({" UNION ALL ".join(f"SELECT action, c_custkey, s_suppkey, {rank} AS rank, '{attr}' AS attr, min(CAST(v AS VARCHAR)) AS value, '{scope}' AS scope FROM d, ({domain}) x WHERE v <> {column} AND {_FLIP_PERMITS.format(**{**_NOW, short: 'v'})} <> permit GROUP BY 1, 2, 3" for rank, scope, attr, short, domain, column in _CHANGES)}),
+w AS (SELECT *, row_number() OVER (PARTITION BY action, c_custkey, s_suppkey ORDER BY rank, attr) AS n FROM f)
+SELECT c_custkey || '/' || s_suppkey || '/' || action AS request_id, CASE WHEN w.attr IS NULL THEN NULL WHEN permit THEN 'Deny' ELSE 'Permit' END AS target, scope, attr, value
+FROM d LEFT JOIN (SELECT * FROM w WHERE n = 1) w USING (action, c_custkey, s_suppkey)""")
+def counterfactual_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first change of one attribute that flips the decision on what a customer asks of a supplier, each once; candidates are the values of
+    all customers and suppliers."""
+    named = F.concat_ws("/", "subject.id", "resource.id", "action").alias("request_id")
+    requests = line_requests(spark, sf_dir).select(named, "subject", "resource", "action").dropDuplicates(["request_id"]).withColumns({"task_id": F.lit(""), "task_type": F.lit("qa"), "query": F.lit("")})
+    customers, suppliers = _traders(spark, sf_dir)
+    domains = {(scope, a): rows.select(F.col(f"{scope}.{a}").alias("candidate")) for scope, rows, own in (("subject", customers, ("segment", "balance", "nation")), ("resource", suppliers, ("name", "balance", "nation"))) for a in own}
+    found = counterfactual(spark, FLIPS, requests, F.lit(1), "request_id", domains)
+    return found.select("request_id", F.col("cf_target").alias("target"), F.col("cf_scope").alias("scope"), F.col("cf_attr").alias("attr"), F.col("cf_value").alias("value"))
+
+
+_HALF = "CAST('0x' || substr(md5('11:{nth}:' || CAST({x} AS VARCHAR)), 1, 12) AS BIGINT)"
+
+
+def _permuted_sql(x: str) -> str:
+    """One pass of shuffled() in SQL, over n, wide and high of the table s."""
+    a0 = f"(({x}) // wide)"
+    b0 = f"(({x}) % wide)"
+    a1 = f"(({a0} + {_HALF.format(nth=0, x=b0)} % high) % high)"
+    b1 = f"(({b0} + {_HALF.format(nth=1, x=a1)} % wide) % wide)"
+    a2 = f"(({a1} + {_HALF.format(nth=2, x=b1)} % high) % high)"
+    b2 = f"(({b1} + {_HALF.format(nth=3, x=a2)} % wide) % wide)"
+    return f"{a2} * wide + {b2}"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT count(*) AS n FROM orders), w AS (SELECT n, n // 3 AS k, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS wide FROM c), s AS (SELECT *, (n + wide - 1) // wide AS high FROM w),
+walk(nth, x) AS (SELECT nth, {_permuted_sql('nth')} FROM s, (SELECT unnest(range(0, (SELECT k FROM s))) AS nth) UNION ALL SELECT nth, {_permuted_sql('x')} FROM walk, s WHERE x >= n)
+SELECT nth, o_orderkey, o_custkey FROM walk, s, orders WHERE x < n AND o_orderkey = x""")
+def sampled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all orders, drawn without replacement in a seeded order; orders' keys are their positions."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    n = orders.count()
+    return drawn(spark, n, n // 3, 11).join(orders, F.col("pos") == F.col("o_orderkey")).select("nth", "o_orderkey", "o_custkey")
