@@ -22,45 +22,31 @@ def text_corpus(spark: SparkSession, policy: Policy) -> DataFrame:
     return spark.createDataFrame(rows, "evidence_id string, text string, rule_ids array<string>")
 
 
-#: A query's first look: the rarest of its tokens that lead to so many texts together (the rarest always).
-FIRST_LOOK = 512
+def shared_tokens(queries: DataFrame, corpus: DataFrame, query_id: str, query: str, text_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """q and n (its distinct tokens, 1 at least) of all queries; and q, d and shared of the texts that share tokens with them.
 
-
-def _leads(wanted: DataFrame, held: DataFrame) -> DataFrame:
-    """q, d and hits of the texts (of held: d, token, dealt by d) that have tokens of wanted (q, token). Where wanted is
-    small enough to be broadcast, a text's rows meet it where they are, and no pair is shuffled."""
-    return held.join(wanted, "token").groupBy("q", "d").agg(F.count("*").alias("hits"))
+    Of the texts only tokens that some query has are kept, and these are dealt by text: where the queries' tokens are small
+    enough for Spark to broadcast them, a text meets all queries in one place and its counts are whole there. No pair is
+    shuffled then, though common words lead from nearly every query to nearly every text. Text ids are distinct.
+    """
+    asked = queries.select(F.col(query_id).alias("q"), token_set(F.col(query)).alias("tokens"))
+    wanted = written(asked.select("q", F.explode("tokens").alias("token")), "wanted")  # a table, so its size is known
+    held = corpus.select(F.col(text_id).alias("d"), F.explode(token_set(F.col(text))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").repartition("d")
+    return asked.select("q", F.greatest(F.lit(1), F.size("tokens")).alias("n")), held.join(wanted, "token").groupBy("q", "d").agg(F.count("*").alias("shared"))
 
 
 def top_texts(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query: str = "query", text_id: str = "evidence_id", text: str = "text") -> DataFrame:
-    """query_id, rank, evidence_id and score of the k best texts of each query, ties to the larger id. Ids are distinct.
-
-    Of the texts only the tokens that some query has are kept. A query first looks at the texts that its rarest tokens lead to,
-    and the k-th best of their scores is a bound. Then half as many tokens as the bound, the commonest, are left out: a text
-    that reaches the bound has the other half among the rest, so only those are joined with, and the few texts that
-    have so many of them are scored as a whole. Ties are within the bound, so the rows are those of scoring every pair. A
-    query with fewer than k texts that share anything is filled with the largest other ids, with a score of 0: from the k
-    largest ids and those of its matches.
+    """query_id, rank, evidence_id and score of the k best texts of each query, ties to the larger id.
+
+    Of a query's counts each task passes on its k best only (within a query the score grows with the count). If a query
+    shares a token with fewer than k texts, the largest other ids follow with a score of 0: no more than k for a query, from the
+    k largest ids and those of its matches.
     """
-    asked = written(queries.select(F.col(query_id).alias("q"), token_set(F.col(query)).alias("tokens")), "asked")
-    wanted = asked.select("q", F.explode("tokens").alias("token"))
-    held = written(corpus.select(F.col(text_id).alias("d"), F.explode(token_set(F.col(text))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi"), "held").repartition("d")
-    sizes = asked.select("q", F.greatest(F.lit(1), F.size("tokens")).alias("n"))
-    frequency = held.groupBy("token").agg(F.count("*").alias("df"))
-    by_rarity = Window.partitionBy("q").orderBy("df", "token")  # of one query's tokens
-    known = wanted.join(frequency, "token", "left").select("q", "token", F.coalesce("df", F.lit(0)).alias("df"))
-    ranked = written(known.withColumns({"nth": F.row_number().over(by_rarity), "upto": F.sum("df").over(by_rarity)}), "rarity")
-    best = lambda by: Window.partitionBy("q").orderBy(F.desc(by), F.desc("d"))
-    top = lambda rows, by: rows.withColumn("rank", F.row_number().over(best(by))).filter(F.col("rank") <= k)
-    first = _leads(ranked.filter((F.col("nth") == 1) | (F.col("upto") <= FIRST_LOOK)).select("q", "token"), held)
-    whole = lambda pairs: held.join(pairs, "d").join(wanted.withColumnsRenamed({"q": "__q", "token": "__token"}), (F.col("q") == F.col("__q")) & (F.col("token") == F.col("__token"))).groupBy("q", "d").agg(F.count("*").alias("shared"))
-    bounds = whole(top(first, "hits").select("q", "d")).groupBy("q").agg(F.when(F.count("*") >= k, F.min("shared")).otherwise(1).alias("bound"))
-    reach = written(sizes.join(bounds, "q", "left").select("q", "n", F.coalesce("bound", F.lit(1)).alias("bound"), F.floor(F.coalesce("bound", F.lit(1)) / 2).alias("out")), "bounds")
-    leading = ranked.join(reach, "q").filter(F.col("nth") <= F.col("n") - F.col("out")).select("q", "token")
-    hopeful = _leads(leading, held).join(reach, "q").filter(F.col("hits") >= F.col("bound") - F.col("out")).select("q", "d")
-    matched = top(whole(hopeful).join(sizes, "q").select("q", "d", (F.col("shared") / F.col("n")).alias("score")), "score").drop("rank")
-    last = corpus.select(F.col(text_id).alias("d")).orderBy(F.desc("d")).limit(2 * k)  # k of them aren't among k matches
+    sizes, shared = shared_tokens(queries, corpus, query_id, query, text_id, text)
+    top = lambda rows, by: rows.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(by), F.desc("d")))).filter(F.col("rank") <= k)
+    matched = written(top(shared, "shared").join(sizes, "q").select("q", "d", (F.col("shared") / F.col("n")).alias("score")), "matched")  # k rows a query
     short = sizes.join(matched.groupBy("q").agg(F.count("*").alias("m")), "q", "left").filter(F.coalesce("m", F.lit(0)) < k).select("q")
+    last = corpus.select(F.col(text_id).alias("d")).orderBy(F.desc("d")).limit(2 * k)  # k of them aren't among k matches
     filled = short.join(F.broadcast(last)).join(matched.select("q", "d"), ["q", "d"], "left_anti").select("q", "d", F.lit(0.0).alias("score"))  # 2 k rows
     return top(matched.unionByName(filled), "score").select(F.col("q").alias(query_id), "rank", F.col("d").alias(text_id), "score")
 

@@ -20,7 +20,7 @@ from verdikt.operators.decide import decide, trace
 from verdikt.operators.graph import degrees, entity_edges, entity_nodes, neighbourhood, rule_summaries
 from verdikt.operators.guardrails import align, verify
 from verdikt.operators.metrics import METRICS, score
-from verdikt.operators.retrieve import top_texts
+from verdikt.operators.retrieve import shared_tokens, top_texts
 from verdikt.operators.validate import duplicate_ids, unknown_references
 from verdikt.operators.workload import adversarial, grid_tasks, stratified_split
 from verdikt.sources.policies import tables
@@ -471,17 +471,12 @@ def sketch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SCORED_SQL + ", m AS (SELECT item_id, max(score) AS best, avg(score) AS mean FROM s GROUP BY 1) SELECT item_id, round(best, 9) AS best, round(mean, 6) AS mean FROM m")
 def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best and mean overlap of every query with all texts, from shared tokens; the stated queries are the benchmark."""
-    asked = read(spark, sf_dir, "benchmark").select("item_id", token_set(F.col("text")).alias("t"))
-    size = F.greatest(F.lit(1), F.size("t"))
-    wanted = asked.select("item_id", size.alias("n"), F.explode("t").alias("token"))
-    held = read(spark, sf_dir, "documents").select("doc_id", F.explode(token_set(F.col("text"))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
-    documents = read(spark, sf_dir, "documents").agg(F.count("*").alias("all"))
-    # the mean needs no pairs: every token adds its frequency
-    frequency = held.groupBy("token").agg(F.count("*").alias("df"))
-    means = wanted.join(frequency, "token").groupBy("item_id", "n").agg(F.sum("df").alias("hits")).join(F.broadcast(documents)).select("item_id", (F.col("hits") / F.col("n") / F.col("all")).alias("mean"))  # one row
-    best = top_texts(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), 1, "item_id", "text", "doc_id", "text").select("item_id", F.col("score").alias("best"))
-    rounded = lambda c, digits: F.round(F.coalesce(c, F.lit(0.0)), digits).alias(c)
-    return asked.select("item_id").join(means, "item_id", "left").join(best, "item_id", "left").select("item_id", rounded("best", 9), rounded("mean", 6))
+    documents = read(spark, sf_dir, "documents")
+    sizes, shared = shared_tokens(read(spark, sf_dir, "benchmark"), documents, "item_id", "text", "doc_id", "text")
+    found = shared.groupBy("q").agg(F.max("shared").alias("most"), F.sum("shared").alias("all_"))
+    whole = sizes.join(found, "q", "left").join(F.broadcast(documents.agg(F.count("*").alias("texts"))))  # one row
+    part = lambda c: F.coalesce(c / F.col("n"), F.lit(0.0))
+    return whole.select(F.col("q").alias("item_id"), F.round(part(F.col("most")), 9).alias("best"), F.round(part(F.col("all_")) / F.col("texts"), 6).alias("mean"))
 
 
 _JSON_ANSWERS = """SELECT doc_id, CASE WHEN quality = 1 THEN 'Permit' ELSE 'Deny' END AS decision, 'Medium' AS confidence, 'SG' || (doc_id % 3) AS citations, 'R' || (doc_id % 2) AS rule_id, 'P1+P2' AS predicate_ids, 'SG1' AS supports FROM labels"""
