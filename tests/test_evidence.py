@@ -109,6 +109,20 @@ def test_set_predicates(spark, op, left, right, expected):
     assert result(spark, rule, "x:array<string>", left).rule_results["R1"] == expected
 
 
+@pytest.mark.parametrize(("left", "right", "fails"), [(2, "x", True), (None, 3, True), (2, 3.5, False), (2, 1, False)])
+def test_strict_order(spark, left, right, fails):
+    rule = all_of("R1", "Permit", ("go",), [Predicate("P1", "LT", "subject", "x", right_value=right)])
+    for judged in (decide, trace):
+        rows = judged(asked(spark, "x:int", left), custom(rule, x="int"), strict=True)
+        if fails:
+            with pytest.raises(Exception, match="no order"):
+                rows.collect()
+        else:
+            assert rows.count() == 1 and rows.collect()
+        unknown = judged(asked(spark, "x:int", left, unknown=["subject.x"]), custom(rule, x="int"), strict=True)
+        assert len(unknown.collect()) == 1
+
+
 def test_trees_and_effects(spark):
     a, b = Predicate("P1", "EQ", "subject", "x", right_value=1), Predicate("P2", "EQ", "subject", "y", right_value=1)
     leaf = {"E1": Expression("E1", "PRED", predicate_id="P1"), "E2": Expression("E2", "PRED", predicate_id="P2")}

@@ -97,19 +97,20 @@ def _within(a: Operand, b: Operand) -> Column:
     return _common(a, b) == F.size(F.array_distinct(a.as_set))
 
 
-def _less(a: Operand, b: Operand, or_equal: bool) -> Column:
-    """Numbers and strings by order, sets by inclusion; what can't be ordered is unknown."""
+def _less(a: Operand, b: Operand, or_equal: bool, strict: bool = False) -> Column:
+    """Numbers and strings by order, sets by inclusion; what can't be ordered is unknown, or an error if strict."""
     if a.many != b.many or a.kind != b.kind or not comparable(a, b):
-        return F.lit(None).cast("boolean")
+        return (F.raise_error(F.lit(f"{a.kind} of {a.base} and {b.kind} of {b.base} have no order")) if strict else F.lit(None)).cast("boolean")
     if a.kind == "set":
         return _within(a, b) if or_equal else _within(a, b) & (F.size(a.as_set) < F.size(b.as_set))
     left, right = (a.full, b.full) if a.many else (a.value, b.value)
-    return left <= right if or_equal else left < right
+    ordered = left <= right if or_equal else left < right
+    return F.when(left.isNull() | right.isNull(), F.raise_error(F.lit("nothing has no order")).cast("boolean")).otherwise(ordered) if strict else ordered
 
 
-def compare(op: str, a: Operand, b: Operand) -> Column:
+def compare(op: str, a: Operand, b: Operand, strict: bool = False) -> Column:
     """The predicate's value; unknown if an operand is, or the operator is none. Membership takes containers as sets,
-    a scalar as a set of one (also of a null)."""
+    a scalar as a set of one (also of a null). strict: known values that can't be ordered are an error."""
     tests = {
         "EQ": lambda: _equal(a, b),
         "NEQ": lambda: ~_equal(a, b),
@@ -117,10 +118,10 @@ def compare(op: str, a: Operand, b: Operand) -> Column:
         "NIN": lambda: _common(a, b) == 0,
         "CONTAINS": lambda: _within(b, a),
         "SUPERSET": lambda: _within(b, a),
-        "LT": lambda: _less(a, b, False),
-        "LE": lambda: _less(a, b, True),
-        "GT": lambda: _less(b, a, False),
-        "GE": lambda: _less(b, a, True),
+        "LT": lambda: _less(a, b, False, strict),
+        "LE": lambda: _less(a, b, True, strict),
+        "GT": lambda: _less(b, a, False, strict),
+        "GE": lambda: _less(b, a, True, strict),
         "MATCH": lambda: F.contains(a.text, b.text),
     }
     if op.upper() not in tests:

@@ -22,10 +22,10 @@ DEFAULT_DENY = "Default deny: no applicable permit/deny rule evaluated to TRUE"
 
 
 class Compiler:
-    """Columns for a policy's rules over requests of some schema."""
+    """Columns for a policy's rules over requests of some schema. strict: what can't be ordered is an error, not unknown."""
 
-    def __init__(self, policy: Policy, requests: DataFrame) -> None:
-        self.policy, self.schema = policy, requests.schema
+    def __init__(self, policy: Policy, requests: DataFrame, strict: bool = False) -> None:
+        self.policy, self.schema, self.strict = policy, requests.schema, strict
         self.unknown = F.coalesce(F.col("unknown"), F.array().cast("array<string>")) if "unknown" in self.schema.names else None
 
     def _field(self, scope: str, name: str) -> Column | None:
@@ -62,7 +62,7 @@ class Compiler:
         lacks = F.when(~left.known, F.array(F.lit(f"{p.left_scope}.{p.left_attr}")))
         if p.by_attribute:
             lacks = lacks.when(~right.known, F.array(F.lit(f"{p.right_scope}.{p.right_attr}")))
-        return compare(p.op, left, right), lacks.otherwise(none)
+        return compare(p.op, left, right, self.strict), lacks.otherwise(none)
 
     def value(self, rule: Rule, node: str | None = None) -> Column:
         """The rule's expression tree as one nullable boolean."""
@@ -89,21 +89,21 @@ def _no_action() -> Column:
     return F.col("action").isNull() | (F.col("action") == UNKNOWN_TOKEN)
 
 
-def decision(policy: Policy, requests: DataFrame) -> Column:
+def decision(policy: Policy, requests: DataFrame, strict: bool = False) -> Column:
     """The decision alone, for tables too large for traces: a cascade over booleans."""
-    c = Compiler(policy, requests)
+    c = Compiler(policy, requests, strict)
     true = [(r.denies, F.coalesce(c.applies(r) & c.value(r), F.lit(False))) for r in policy.rules]
     open_ = [c.applies(r) & c.value(r).isNull() for r in policy.rules]
     denied, permitted = ([v for denies, v in true if denies == d] for d in (True, False))
     return F.when(_no_action(), INSUFFICIENT).when(any_true(denied), DENY).when(any_true(permitted), PERMIT).when(any_true(open_), INSUFFICIENT).otherwise(DENY)
 
 
-def decide(requests: DataFrame, policy: Policy) -> DataFrame:
-    """requests with a column decision."""
-    return requests.withColumn("decision", decision(policy, requests))
+def decide(requests: DataFrame, policy: Policy, strict: bool = False) -> DataFrame:
+    """requests with a column decision. strict: a comparison of order between known values that have none is an error."""
+    return requests.withColumn("decision", decision(policy, requests, strict))
 
 
-def trace(requests: DataFrame, policy: Policy) -> DataFrame:
+def trace(requests: DataFrame, policy: Policy, strict: bool = False) -> DataFrame:
     """requests with a column trace: decision, decisive_rules, decisive_predicates (rule to predicate to value),
     rule_results, missing_attributes, combining and notes. Denials override; a rule that is unknown matters only if none is true,
     and of such rules the one that lacks least is named, ties by id.
@@ -111,7 +111,7 @@ def trace(requests: DataFrame, policy: Policy) -> DataFrame:
     Each rule is a pair of plain boolean columns; names, maps and what is missing are made only for the rules that a
     request's case needs.
     """
-    c = Compiler(policy, requests)
+    c = Compiler(policy, requests, strict)
     rules = [(r, F.col(f"__applies{n}"), F.col(f"__value{n}")) for n, r in enumerate(policy.rules)]
     judged = {f"__applies{n}": F.coalesce(c.applies(r), F.lit(False)) for n, r in enumerate(policy.rules)} | {f"__value{n}": c.value(r) for n, r in enumerate(policy.rules)}
     true = [(r.denies, applies & F.coalesce(value, F.lit(False))) for r, applies, value in rules]

@@ -105,13 +105,18 @@ def type_conflicts(predicates: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def unfit_literals(predicates: DataFrame, attributes: DataFrame) -> DataFrame:
-    """rule_id and predicate_id of literals that don't parse as their attribute's base type."""
+    """rule_id and predicate_id of literals that aren't of their attribute's base type (an int is a float, too): by right_type,
+    the literals' own type, where predicates have it, else by whether their texts read as that type."""
     base = F.regexp_replace("datatype", r"^set\[(.*)\]$", "$1")
     fits = lambda v: (
         F.when(F.col("base") == "int", v.rlike(r"^-?[0-9]+$")).when(F.col("base") == "float", v.rlike(r"^-?[0-9]+(\.[0-9]+)?$")).when(F.col("base") == "bool", F.lower(v).isin("true", "false")).otherwise(F.lit(True))
     )
     typed = predicates.filter("right_kind IN ('scalar', 'set', 'list')").join(attributes.select("scope", "name", base.alias("base")), (F.col("left_scope") == F.col("scope")) & (F.col("left_attr") == F.col("name")))
-    return typed.filter(~F.forall("right_values", fits)).select("rule_id", "predicate_id")
+    good = F.forall("right_values", fits)
+    if "right_type" in predicates.columns:
+        own = (F.col("right_type") == F.col("base")) | ((F.col("right_type") == "int") & (F.col("base") == "float"))
+        good = F.when(F.col("right_type").isNull(), good).otherwise(own)
+    return typed.filter(~good).select("rule_id", "predicate_id")
 
 
 def single_valued_containers(predicates: DataFrame, attributes: DataFrame) -> DataFrame:

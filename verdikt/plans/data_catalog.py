@@ -7,14 +7,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verdikt.functions.logic import all_true, any_true, negated, tri
 from verdikt.model import Attribute, Expression, Policy, Predicate, Rule, all_of
 from verdikt.operators.as_data import decide_as_data, trace_as_data
+from verdikt.operators.contract import parse_contract
 from verdikt.operators.cycles import circular_expressions
+from verdikt.operators.decide import trace
 from verdikt.operators.graph import bounded_neighbourhood, graph_tables
+from verdikt.operators.guardrails import verify
 from verdikt.operators.permitted import permitted_pairs
 from verdikt.plans import catalog
 from verdikt.plans.catalog import TRADE, line_requests, read
 from verdikt.operators.retrieve import sketch_requests
+from verdikt.operators.validate import dangling_children, missing_roots, single_valued_containers, type_conflicts, unfit_literals, unknown_actions
 from verdikt.operators.workload import counterfactual, drawn
 from verdikt.sources.policies import tables
 from verdikt.sources.policy_lines import read_policy_lines, typed_entities
@@ -386,3 +391,56 @@ def sampled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     n = orders.count()
     return drawn(spark, n, n // 3, 11).join(orders, F.col("pos") == F.col("o_orderkey")).select("nth", "o_orderkey", "o_custkey")
+
+
+@query("""SELECT 'action' AS constraint_, 'R' || p_partkey AS rule_id, lower(p_type) AS detail FROM part WHERE p_type = 'PROMO' UNION ALL SELECT 'root', 'R' || p_partkey, 'LOST' FROM part WHERE p_size % 7 = 0
+UNION ALL SELECT 'child', 'R' || p_partkey, 'E9' FROM part WHERE p_size % 11 = 0 UNION ALL SELECT 'types', 'R' || p_partkey, 'P2' FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT 'literal', 'R' || p_partkey, 'P1' FROM part WHERE p_size % 5 = 0 UNION ALL SELECT 'container', 'R' || p_partkey, 'P3' FROM part WHERE p_size % 13 = 0""")
+def part_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a rule for each part: promotions aren't declared as actions, some roots and children are lost, some
+    literals are numbers in quotes, some brands are compared with sizes, some single values are taken as sets."""
+    parts = read(spark, sf_dir, "part").withColumn("rule_id", F.concat(F.lit("R"), "p_partkey"))
+    size = F.col("p_size")
+    rules = parts.select("rule_id", F.array(F.lower("p_type")).alias("actions"), F.when(size % 7 == 0, "LOST").otherwise("TOP").alias("root"))
+    children = F.when(size % 11 == 0, F.array(F.lit("E1"), F.lit("E9"))).otherwise(F.array(F.lit("E1")))
+    leaf, top = (F.struct(F.lit(n).alias("node_id"), F.lit(op).alias("op"), c.alias("children")) for n, op, c in (("E1", "PRED", F.array().cast("array<string>")), ("TOP", "AND", children)))
+    none = F.lit(None).cast("string")
+    test = lambda n, op, attr, right, kind, values, own: F.struct(F.lit(f"P{n}").alias("predicate_id"), F.lit(op).alias("op"), F.lit("subject").alias("left_scope"), attr.alias("left_attr"), F.when(right.isNotNull(), "resource").alias("right_scope"), right.alias("right_attr"), F.lit(kind).alias("right_kind"), values.alias("right_values"), own.alias("right_type"))
+    tests = F.array(
+        test(1, "EQ", F.lit("size"), none, "scalar", F.array(size.cast("string")), F.when(size % 5 == 0, "string").otherwise("int")),
+        test(2, "EQ", F.lit("brand"), F.when(size % 3 == 0, "size").otherwise("brand"), "attribute", F.lit(None).cast("array<string>"), none),
+        test(3, "CONTAINS", F.when(size % 13 == 0, "brand").otherwise("words"), none, "scalar", F.array("p_brand"), F.lit("string")),
+    )
+    predicates = parts.select("rule_id", F.inline(tests))
+    declared = [("subject", "size", "int", False), ("subject", "brand", "string", False), ("subject", "words", "set[string]", True), ("resource", "size", "int", False), ("resource", "brand", "string", False)]
+    attributes = spark.createDataFrame(declared, "scope string, name string, datatype string, multivalue boolean")
+    actions = parts.filter("p_type <> 'PROMO'").select(F.lower("p_type").alias("name")).distinct()
+    expressions = parts.select("rule_id", F.inline(F.array(leaf, top)))
+    found = (("action", unknown_actions(rules, actions), "action"), ("root", missing_roots(rules, expressions), "root"), ("child", dangling_children(expressions), "child"), ("types", type_conflicts(predicates, attributes), "predicate_id"), ("literal", unfit_literals(predicates, attributes), "predicate_id"), ("container", single_valued_containers(predicates, attributes), "predicate_id"))
+    whole = None
+    for name, rows, detail in found:
+        own = rows.select(F.lit(name).alias("constraint_"), "rule_id", F.col(detail).alias("detail"))
+        whole = own if whole is None else whole.unionByName(own)
+    return whole
+
+
+_SAID = "CASE WHEN {0} IS NULL THEN 'UNKNOWN' WHEN {0} THEN 'TRUE' ELSE 'FALSE' END"
+
+
+@query(f"""WITH v AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice > 200000 END AS x, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderpriority < '3' END AS y FROM orders)
+SELECT o_orderkey, {_SAID.format('(x AND y)')} AS every_one, {_SAID.format('(x OR y)')} AS any_one, {_SAID.format('(NOT x)')} AS other FROM v""")
+def kleene_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AND, OR and NOT in three values over what is known of orders."""
+    x, y = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") > 200000), F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderpriority") < "3")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"), y.alias("y"))
+    return rows.select("o_orderkey", tri(all_true([F.col("x"), F.col("y")])).alias("every_one"), tri(any_true([F.col("x"), F.col("y")])).alias("any_one"), tri(negated([F.col("x")])).alias("other"))
+
+
+@query(f"""WITH {catalog._REQUESTS}, ruled AS (SELECT *, {catalog._RULES.format(s='ms', b='mb')} FROM masked), said AS (SELECT *, {catalog._DECISION} AS decision FROM ruled),
+heard AS (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN 'Permit' ELSE 'Deny' END AS draft FROM said)
+SELECT request_id, decision, draft <> decision AS was_overridden FROM heard""")
+def guarded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of a client that looks at a supplier's number alone, held against the traces of the requests."""
+    rows = line_requests(spark, sf_dir, masked=True).withColumn("answer", F.concat(F.lit("decision = "), F.when(F.col("resource.id") % 2 == 0, "Permit").otherwise("Deny"), F.lit("\n1 As told supports = SG1\n")))
+    judged = verify(trace(parse_contract(rows), TRADE).withColumn("evidence_ids", F.array(F.lit("SG1"))))
+    return judged.select("request_id", F.col("response.decision").alias("decision"), F.col("response.was_overridden").alias("was_overridden"))
