@@ -62,21 +62,23 @@ def _carried(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def _parts(edges: DataFrame) -> DataFrame:
     """node and part (a node of its strongly connected part) for the nodes of the core that lie on a circle with others.
 
-    Nodes that share the least node which leads to them are one colour; those of a colour that lead to that node are its part.
+    Nodes that share the least node which leads to them are one colour; those of a colour that lead to that node are its
+    part. Least is by hash, so that parts in a row fall into several colours. Labels go one edge a round: the rounds grow
+    with the ways within what raking and compressing leave.
     """
     found = None
     while not edges.isEmpty():
-        nodes = written(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.col("node")), "nodes")
+        nodes = written(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("of"))), "nodes")
         colour = _carried(nodes, edges)
         of = lambda side: colour.select(F.col("node").alias(f"{side}_"), F.col("label").alias(f"{side}c"))  # noqa: E731, B023
         within = written(edges.join(of("u"), F.col("u") == F.col("u_")).join(of("v"), F.col("v") == F.col("v_")).filter("uc = vc").select("u", "v", F.col("uc").alias("c")), "coloured")
-        reached = written(colour.filter("node = label").select("node", F.col("node").alias("c")), "reached")
+        reached = written(colour.filter("node = label.of").select("node", F.col("label").alias("c")), "reached")
         front = reached
         while not front.isEmpty():
             back = within.join(front, (F.col("v") == F.col("node")) & (within.c == front.c), "left_semi").select(F.col("u").alias("node"), "c").distinct()
             front = written(back.join(reached, ["node", "c"], "left_anti"), "front")
             reached = written(reached.unionByName(front), "reached")
-        own = reached.join(reached.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1"), "c").select("node", F.col("c").alias("part"))
+        own = reached.join(reached.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1"), "c").select("node", F.col("c.of").alias("part"))
         found = own if found is None else found.unionByName(own)
         gone = reached.select("node")
         left = edges.join(gone, edges.u == gone.node, "left_anti").join(gone, edges.v == gone.node, "left_anti")

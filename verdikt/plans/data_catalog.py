@@ -186,21 +186,17 @@ def permitted_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_customer(permitted_pairs(subjects, resources, SALES, "sell"))
 
 
-@query("""WITH o AS (SELECT c_nationkey AS n, o_orderkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS rn FROM orders JOIN customer ON o_custkey = c_custkey),
-i AS (SELECT *, sum(CASE WHEN n % 3 = 0 OR (k % 50 = 0 AND rn > 1) THEN 0 ELSE 1 END) OVER (PARTITION BY n ORDER BY rn) AS island FROM o)
-SELECT 'N' || n AS rule_id, 'O' || lpad(CAST(min(k) AS VARCHAR), 12, '0') AS circle, count(*) AS nodes FROM i GROUP BY n, island HAVING n % 3 = 0 OR count(*) > 1""")
+@query("""WITH o AS (SELECT c_nationkey AS n, o_orderkey AS k, row_number() OVER w AS rn, count(*) OVER (PARTITION BY c_nationkey) AS m FROM orders JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY c_nationkey ORDER BY o_orderkey))
+SELECT 'N' || n AS rule_id, 'O' || lpad(CAST(min(k) AS VARCHAR), 12, '0') AS circle, count(*) AS nodes FROM o WHERE n % 3 = 0 OR (n % 3 = 1 AND rn > m // 2) GROUP BY n""")
 def circular_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as expressions of their customers' nation: each has the next one and a customer as children, some the one after it, too. The chains
-    of every third nation close; in others every fiftieth order leads back to the one before."""
+    """Orders as expressions of their customers' nation: each has the next one and a customer as children. The chains of every third
+    nation close, and those of the next lead from their ends back to their middles: long circles, and long ways to them."""
     nations = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n"))
-    in_order = Window.partitionBy("n").orderBy("o_orderkey")
-    o = read(spark, sf_dir, "orders").join(nations, "o_custkey").select("n", "o_orderkey", "o_custkey", F.lead("o_orderkey").over(in_order).alias("next"), F.lead("o_orderkey", 2).over(in_order).alias("then"), F.lag("o_orderkey").over(in_order).alias("before"), F.min("o_orderkey").over(Window.partitionBy("n")).alias("first"))
+    own = Window.partitionBy("n")
+    o = read(spark, sf_dir, "orders").join(nations, "o_custkey").select("n", "o_orderkey", "o_custkey", F.lead("o_orderkey").over(own.orderBy("o_orderkey")).alias("next"), F.row_number().over(own.orderBy("o_orderkey")).alias("rn"), F.count("*").over(own).alias("m"))
+    o = o.withColumn("back", F.min(F.when((F.col("n") % 3 == 0) | ((F.col("n") % 3 == 1) & (F.col("rn") > F.floor(F.col("m") / 2))), F.col("o_orderkey"))).over(own))
     node = lambda key: F.concat(F.lit("O"), F.lpad(key.cast("string"), 12, "0"))
-    third = F.col("n") % 3 == 0
-    to = F.array_compact(F.array(
-        node(F.col("next")), F.concat(F.lit("C"), F.col("o_custkey")), F.when(F.col("o_orderkey") % 5 == 0, node(F.col("then"))),
-        F.when(third & F.col("next").isNull(), node(F.col("first"))), F.when(~third & (F.col("o_orderkey") % 50 == 0), node(F.col("before"))),
-    ))
+    to = F.array_compact(F.array(node(F.col("next")), F.concat(F.lit("C"), F.col("o_custkey")), F.when(F.col("next").isNull(), node(F.col("back")))))
     return circular_expressions(o.select(F.concat(F.lit("N"), "n").alias("rule_id"), node(F.col("o_orderkey")).alias("node_id"), to.alias("children")))
 
 
