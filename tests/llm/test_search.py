@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdikt.llm import nn_descent
+from verdikt.llm.vectors import blocks, unpacked
 from verdikt.llm.va_file import approximation, search_block, top_k, upper_bounds
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id long"
@@ -163,3 +164,16 @@ def test_scanned(spark):
             s = x @ x[q]
             s[q] = -np.inf
             assert {v for v, _ in got[q]} == set(np.argsort(-s)[: min(k, 299)].tolist())
+
+
+def test_blocks_are_not_broadcast(spark):
+    """Copies of the queries' blocks, one for each spot, never go through the driver, and integers are packed narrowly without loss."""
+    x = np.random.default_rng(3).normal(0, 1, (300, 8)) * 10.0 ** np.arange(8)
+    df = table(spark, x)
+    found = top_k(df, df.filter("vec_id % 50 = 0"), 5, block_rows=64, query_rows=4)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    for scale, width in ((1, 1), (100, 2), (1e5, 4), (1e12, 8)):
+        whole = np.array([[-1, 0, 1], [2, -3, 100]]) * int(scale)
+        row = blocks(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(whole)], "id long, v array<long>").coalesce(1), "id", "v", 8, "long").first()
+        assert len(row.block) == 6 * width and (unpacked(row.block_ids, row.block, 3, np.int64)[1] == whole).all()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdikt.llm.common import bounded_batches, spread_join, written
-from verdikt.llm.vectors import blocks, matrix, unpacked, usable
+from verdikt.llm.vectors import blocks, matrix, met_blocks, unpacked, usable
 
 EDGES = "u long, v long, s double"
 #: Vectors that meet in one place at most; the circles of much-linked vectors are dealt to several, anew in every round.
@@ -217,10 +217,6 @@ def walk(graph: DataFrame, queries: DataFrame, vectors: DataFrame, pool: int = 4
 
 def scanned(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 2048, query_rows: int = 512) -> DataFrame:
     """q, v, s: the k best of all vectors of its dimension for each query, itself left out, by products of blocks."""
-    asked = blocks(queries, "id", "v", query_rows).withColumnsRenamed({"dim": "q_dim", "block_ids": "q_ids", "block": "q_block"})
-    spots = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = blocks(vectors, "id", "v", block_rows).withColumn("spot", F.pmod(F.xxhash64("block_ids"), F.lit(spots)).cast("int"))
-    asked = asked.withColumn("q_spot", F.explode(F.sequence(F.lit(0), F.lit(spots - 1))))
     more = k + 16  # products of blocks differ from the exact ones in the last bits
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +232,7 @@ def scanned(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 20
                 real = s[of, chosen] > -np.inf
                 yield pa.RecordBatch.from_arrays([pa.array(asked_ids[of[real]]), pa.array(ids[chosen[real]]), pa.array(s[of[real], chosen[real]])], names=["q", "v", "s"])
 
-    met = held.join(asked, (F.col("dim") == F.col("q_dim")) & (F.col("spot") == F.col("q_spot"))).select("dim", "q_ids", "q_block", "block_ids", "block")
+    met = met_blocks(blocks(vectors, "id", "v", block_rows), blocks(queries, "id", "v", query_rows))
     found = best(met.mapInArrow(search, "q long, v long, s double"), more, "q")
     return best(exact(found, queries, vectors), k, "q")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdikt.llm.common import bounded_batches
-from verdikt.llm.vectors import blocks, unpacked, usable
+from verdikt.llm.vectors import blocks, met_blocks, unpacked, usable
 
 
 def approximation(vectors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, id_column: str
     bounded_batches(embeddings.sparkSession)
     whole = lambda df: df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{vector_column}`").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))).select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
     once = whole(queries).groupBy("id").agg(F.min("v").alias("v"))
-    asked = blocks(once, "id", "v", query_rows, "long").withColumnsRenamed({"dim": "q_dim", "block_ids": "q_ids", "block": "q_block"})
+    asked = blocks(once, "id", "v", query_rows, "long")
     held = blocks(whole(embeddings), "id", "v", block_rows, "long")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,12 +86,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, id_column: str
                 if sum(len(f[1]) for f in found):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found])), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "vec_id", "score"])
 
-    # all of a stated query set against all rows, block by block: a row of the join is a pair of blocks, and each
-    # spot, a part of the candidates, gets every block of queries
-    spots = 4 * int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = held.withColumn("spot", F.pmod(F.xxhash64("block_ids"), F.lit(spots)).cast("int"))
-    asked = asked.withColumn("q_spot", F.explode(F.sequence(F.lit(0), F.lit(spots - 1))))
-    met = held.join(asked, (F.col("dim") == F.col("q_dim")) & (F.col("spot") == F.col("q_spot"))).select("dim", "q_ids", "q_block", "block_ids", "block")
+    # all of a stated query set against all rows: a row of the join is a pair of blocks
+    met = met_blocks(held, asked)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

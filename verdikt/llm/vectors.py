@@ -26,7 +26,7 @@ def matrix(column: pa.Array, dtype: type) -> np.ndarray:
 
 
 def blocks(vectors: DataFrame, id_column: str, vector_column: str, rows: int, kind: str = "double") -> DataFrame:
-    """dim, block_ids and block (bytes of a row-major matrix) for runs of at most rows vectors of one dimension."""
+    """dim, block_ids and block (bytes of a row-major matrix, integers as narrow as they can be) for runs of at most rows vectors of one dimension."""
     dtype = {"double": np.float64, "long": np.int64, "int": np.int32}[kind]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +35,10 @@ def blocks(vectors: DataFrame, id_column: str, vector_column: str, rows: int, ki
         def made(dim: int) -> Iterator[pa.RecordBatch]:
             ids, vectors = (np.concatenate(x) for x in held.pop(dim))
             for at in range(0, len(ids), rows):
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[at : at + rows].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(vectors[at : at + rows]).tobytes()], pa.binary())], names=["dim", "block_ids", "block"])
+                block = vectors[at : at + rows]
+                if kind == "long":  # in the narrowest type that holds them all
+                    block = block.astype(np.min_scalar_type(min(block.min(), -1 - block.max())))
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[at : at + rows].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(block).tobytes()], pa.binary())], names=["dim", "block_ids", "block"])
 
         for batch in batches:
             sizes = np.diff(batch.column(1).offsets.to_numpy())
@@ -53,4 +56,20 @@ def blocks(vectors: DataFrame, id_column: str, vector_column: str, rows: int, ki
 
 
 def unpacked(ids: bytes, block: bytes, dim: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(block, dtype).reshape(-1, dim)
+    numbers = np.frombuffer(ids, np.int64)
+    if dtype is np.int64:  # as narrow as they were packed
+        return numbers, np.frombuffer(block, f"i{len(block) // (len(numbers) * dim)}").reshape(-1, dim).astype(np.int64)
+    return numbers, np.frombuffer(block, dtype).reshape(-1, dim)
+
+
+def met_blocks(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """dim, q_ids, q_block, block_ids and block: every block of asked with every block of held of its dimension.
+
+    Blocks of held are dealt to as many spots as a shuffle has partitions, and each spot gets all of asked. Those copies are
+    made on the way and no estimate of Spark's counts them, so the join is one of shuffled rows: a broadcast would bring
+    all copies to the driver.
+    """
+    spots = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.withColumn("spot", F.pmod(F.xxhash64("block_ids"), F.lit(spots)).cast("int"))
+    copied = asked.withColumnsRenamed({"dim": "q_dim", "block_ids": "q_ids", "block": "q_block"}).withColumn("q_spot", F.explode(F.sequence(F.lit(0), F.lit(spots - 1))))
+    return dealt.hint("merge").join(copied.hint("merge"), (F.col("dim") == F.col("q_dim")) & (F.col("spot") == F.col("q_spot"))).select("dim", "q_ids", "q_block", "block_ids", "block")
