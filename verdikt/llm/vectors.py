@@ -67,9 +67,9 @@ def met_blocks(held: DataFrame, asked: DataFrame) -> DataFrame:
 
     Blocks of held are dealt to as many spots as a shuffle has partitions, and each spot gets all of asked. Those copies are
     made on the way and no estimate of Spark's counts them, so the join is one of shuffled rows: a broadcast would bring
-    all copies to the driver.
+    all copies to the driver. Bytes say nothing of a pair's work, so spots aren't put together.
     """
     spots = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = held.withColumn("spot", F.pmod(F.xxhash64("block_ids"), F.lit(spots)).cast("int"))
     copied = asked.withColumnsRenamed({"dim": "q_dim", "block_ids": "q_ids", "block": "q_block"}).withColumn("q_spot", F.explode(F.sequence(F.lit(0), F.lit(spots - 1))))
-    return dealt.hint("merge").join(copied.hint("merge"), (F.col("dim") == F.col("q_dim")) & (F.col("spot") == F.col("q_spot"))).select("dim", "q_ids", "q_block", "block_ids", "block")
+    return dealt.repartition(spots, "dim", "spot").hint("merge").join(copied.repartition(spots, "q_dim", "q_spot").hint("merge"), (F.col("dim") == F.col("q_dim")) & (F.col("spot") == F.col("q_spot"))).select("dim", "q_ids", "q_block", "block_ids", "block")
