@@ -31,7 +31,8 @@ def shared_tokens(queries: DataFrame, corpus: DataFrame, query_id: str, query: s
     """
     asked = queries.select(F.col(query_id).alias("q"), token_set(F.col(query)).alias("tokens"))
     wanted = written(asked.select("q", F.explode("tokens").alias("token")), "wanted")  # a table, so its size is known
-    held = corpus.select(F.col(text_id).alias("d"), F.explode(token_set(F.col(text))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").repartition("d")
+    places = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number: else places are put together by their bytes, while each text of a place has a count for each query
+    held = corpus.select(F.col(text_id).alias("d"), F.explode(token_set(F.col(text))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").repartition(places, "d")
     return asked.select("q", F.greatest(F.lit(1), F.size("tokens")).alias("n")), held.join(wanted, "token").groupBy("q", "d").agg(F.count("*").alias("shared"))
 
 
