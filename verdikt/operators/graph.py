@@ -135,7 +135,10 @@ def graph_tables(made: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     A node that is defined more than once (an attribute that is declared and used, a value that many conditions name) is the first
     in the order of declarations, rules and conditions.
     """
-    rules, predicates, expressions, attributes = (made[t] for t in ("rules", "predicates", "expressions", "attributes"))
+    # a few files of rules become dozens of rows each: they are dealt first, to a number of places that isn't cut down by their bytes
+    places = int(made["rules"].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rules, predicates, expressions = (made[t].repartition(places, "rule_id") for t in ("rules", "predicates", "expressions"))
+    attributes = made["attributes"]
     text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
     props = lambda **columns: F.create_map(*(x for k, c in columns.items() for x in (F.lit(k), c.cast("string")))) if columns else F.create_map().cast("map<string,string>")
     c = F.col
@@ -175,8 +178,9 @@ def graph_tables(made: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 
     edge = lambda rows, src, label, dst, side=None: rows.select(src.alias("src"), F.lit(label).alias("label"), dst.alias("dst"), (F.lit(None).cast("string") if side is None else side).alias("side"))
     ends = expressions.select(c("rule_id").alias("r"), c("node_id").alias("n"), (F.upper("op") == "PRED").alias("leaf"), c("predicate_id").alias("leaf_of"))
-    children = inner.select("rule_id", "node_id", F.explode("children").alias("child")).join(ends, (c("rule_id") == c("r")) & (c("child") == c("n")))
-    roots = rules.join(ends.filter("NOT leaf"), (c("rule_id") == c("r")) & (c("root") == c("n")))
+    leads = inner.select("rule_id", "node_id", F.explode("children").alias("child")).repartition(places, "rule_id", "child")
+    children = leads.join(ends.repartition(places, "r", "n"), (c("rule_id") == c("r")) & (c("child") == c("n")))
+    roots = rules.repartition(places, "rule_id", "root").join(ends.filter("NOT leaf").repartition(places, "r", "n"), (c("rule_id") == c("r")) & (c("root") == c("n")))
     edges = [
         edge(rules.join(F.broadcast(made["policy"])), policy, "HAS_RULE", rule),  # one row
         edge(rules.select("rule_id", F.explode("actions").alias("action")), rule, "USES_ACTION", text("Action:", c("action"))),
