@@ -152,6 +152,23 @@ def test_nn_far(spark, far):
     assert hits / 2000 >= 0.9
 
 
+def test_nn_no_structure(spark):
+    """Directions all over a space of many dimensions, where neighbours of neighbours are seldom near."""
+    n = 6000
+    x = np.random.default_rng(6).normal(0, 1, (n, 96))
+    x = np.float32(x / np.linalg.norm(x, axis=1, keepdims=True))
+    got = defaultdict(list)
+    for r in nn_descent.nearest(table(spark, x), F.col("vec_id") % 20 == 0, 20).collect():
+        got[r.query_id].append(r)
+    wide, hits = x.astype(float), 0
+    for q in range(0, n, 20):
+        s = wide @ wide[q]
+        s[q] = -9
+        assert [r.vec_id for r in sorted(got[q], key=lambda r: r["rank"])] == sorted((r.vec_id for r in got[q]), key=lambda i: (-next(r.score for r in got[q] if r.vec_id == i), i))
+        hits += sum(r.score >= np.sort(s)[-20] - 1e-12 for r in got[q])
+    assert hits / n >= 0.97
+
+
 def test_scanned(spark):
     draw = np.random.default_rng(8)
     x = draw.normal(0, 1, (300, 8))
@@ -164,6 +181,10 @@ def test_scanned(spark):
             s = x @ x[q]
             s[q] = -np.inf
             assert {v for v, _ in got[q]} == set(np.argsort(-s)[: min(k, 299)].tolist())
+    bars = [(q, float(np.sort(np.delete(x @ x[q], q))[-9])) if q else (q, None) for q in range(30)]
+    asked = df.join(spark.createDataFrame(bars, "id long, bar double"), "id")
+    found = nn_descent.scanned(asked, df, 20, block_rows=64).groupBy("q").count().collect()
+    assert {r.q: r["count"] for r in found} == {q: 9 if q else 20 for q in range(30)}
 
 
 def test_blocks_are_not_broadcast(spark):

@@ -26,6 +26,8 @@ PLACE = 64
 PIVOTS, SPLITS = 8, 20
 #: Nodes of each dimension from which every walk starts, besides the query's own neighbours: drawn by hash from the whole graph, whatever parts it falls into.
 ENTRIES = 32
+#: The walks' results are measured by so many queries, drawn by hash; if they hold a smaller share of the truly nearest than this, all are checked.
+MEASURED, GOOD_SHARE = 128, 0.97
 
 
 def coded(vectors: DataFrame) -> DataFrame:
@@ -216,8 +218,11 @@ def walk(graph: DataFrame, queries: DataFrame, vectors: DataFrame, pool: int = 4
 
 
 def scanned(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 2048, query_rows: int = 512) -> DataFrame:
-    """q, v, s: the k best of all vectors of its dimension for each query, itself left out, by products of blocks."""
+    """q, v, s: the k best of all vectors of its dimension for each query (id, v and perhaps bar), itself left out, by products of
+    blocks. With a bar, the k-th best that a query has found, only what is as near leaves a block."""
     more = k + 16  # products of blocks differ from the exact ones in the last bits
+    lowest = F.lit(-float(np.finfo(np.float64).max))
+    bar = F.coalesce(F.col("bar"), lowest) if "bar" in queries.columns else lowest
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,18 +230,35 @@ def scanned(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 20
                 dim, q_ids, q_block, v_ids, block = (batch.column(i)[row].as_py() for i in range(5))
                 asked_ids, query = unpacked(q_ids, q_block, dim, np.float64)
                 ids, rows = unpacked(v_ids, block, dim, np.float64)
+                query, least, rows = query[:, :-1], query[:, -1], rows[:, :-1]
                 s = query @ rows.T
-                s[asked_ids[:, None] == ids[None]] = -np.inf
-                keep = np.argpartition(-s, more - 1, axis=1)[:, :more] if len(ids) > more else np.broadcast_to(np.arange(len(ids)), s.shape)
-                of, chosen = np.repeat(np.arange(len(asked_ids)), keep.shape[1]), keep.ravel()
-                real = s[of, chosen] > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[of[real]]), pa.array(ids[chosen[real]]), pa.array(s[of[real], chosen[real]])], names=["q", "v", "s"])
-
-    met = met_blocks(blocks(vectors, "id", "v", block_rows), blocks(queries, "id", "v", query_rows))
+                slack = 1e-12 * np.linalg.norm(query, axis=1) * np.linalg.norm(rows, axis=1).max()
+                s[(s < (least - slack)[:, None]) | (asked_ids[:, None] == ids[None])] = -np.inf
+                of, chosen = np.nonzero(s > -np.inf)
+                if len(of) and np.bincount(of).max() > more:
+                    keep = np.argpartition(-s, more - 1, axis=1)[:, :more]
+                    of, chosen = np.repeat(np.arange(len(asked_ids)), more), keep.ravel()
+                    real = s[of, chosen] > -np.inf
+                    of, chosen = of[real], chosen[real]
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[of]), pa.array(ids[chosen]), pa.array(s[of, chosen])], names=["q", "v", "s"])
+
+    # a component more, in which queries hold their bars and vectors nothing
+    held, asked = vectors.select("id", F.concat("v", F.array(F.lit(0.0))).alias("v")), queries.select("id", F.concat("v", F.array(bar)).alias("v"))
+    met = met_blocks(blocks(held, "id", "v", block_rows), blocks(asked, "id", "v", query_rows))
     found = best(met.mapInArrow(search, "q long, v long, s double"), more, "q")
     return best(exact(found, queries, vectors), k, "q")
 
 
+def found_share(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, measured: int = MEASURED) -> float:
+    """The share of the truly nearest k that found (q, v, s) holds, by brute force for some queries, so linear in vectors."""
+    some = written(queries.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(measured), "measured")
+    true = scanned(some, vectors, k).groupBy("q").agg(F.min("s").alias("least"), F.count("*").alias("n"))
+    near = F.col("s") >= F.col("least") - 1e-12 * F.abs("least")
+    share = found.join(F.broadcast(true.drop("n").withColumnRenamed("q", "id")), F.col("q") == F.col("id")).groupBy("q").agg(F.count_if(near).alias("hits"))  # measured rows at most
+    got = true.join(share, "q", "left").agg(F.sum(F.least("hits", "n")).alias("hits"), F.sum("n").alias("n")).first()
+    return (got["hits"] or 0) / got["n"] if got["n"] else 1.0
+
+
 def nearest(embeddings: DataFrame, asked: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", graph_k: int = 24, pool: int = 48, **options: float) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which asked holds, the k nearest that were found, by exact inner
     product in double precision, ties to the smaller id; all others if there are no more than that.
@@ -245,7 +267,10 @@ def nearest(embeddings: DataFrame, asked: Column, k: int = 20, id_column: str =
     those of their own dimension. Rows with an id count once, with their least vector. Equal vectors are one node of the
     graph, which stands for its least ids, so any number of copies is found whole; an empty table gives no rows.
     A graph may fall into parts (a far small cluster, a lone vector): walks start in all of it, and a query whose walk
-    still ends with too few is compared with all vectors, block by block.
+    still ends with too few is compared with all vectors, block by block. Where neighbours of neighbours are no neighbours (many
+    directions, none of them rare), walks miss more the more vectors there are: what they found is measured against brute
+    force for a bounded sample of queries, and below GOOD_SHARE all queries are checked, with the k-th best that
+    each has found as the bar. That check's time is the product of queries and vectors, its rows are few.
     """
     bounded_batches(embeddings.sparkSession)
     source = embeddings.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
@@ -264,7 +289,11 @@ def nearest(embeddings: DataFrame, asked: Column, k: int = 20, id_column: str =
     asking = queries.select(F.col("id").alias("q"), F.size("v").alias("dim")).join(whole, "dim")
     have = found.select("q", "v").unionByName(queries.select(F.col("id").alias("q"), F.col("id").alias("v"))).join(copies.drop("dim"), "v").groupBy("q").agg(F.sum("copies").alias("have"))
     lacking = written(asking.join(have, "q").filter("have < there").select(F.col("q").alias("id")), "lacking")
-    if not lacking.isEmpty():
+    if found_share(found, queries, distinct, k) < GOOD_SHARE:
+        bars = best(found, k, "q").groupBy(F.col("q").alias("id")).agg(F.when(F.count("*") >= k, F.min("s")).alias("bar"))
+        again = scanned(queries.join(bars, "id", "left"), distinct, k)
+        found = best(found.unionByName(again).groupBy("q", "v").agg(F.max("s").alias("s")), max(pool, k), "q")
+    elif not lacking.isEmpty():
         again = scanned(queries.join(lacking, "id", "left_semi"), distinct, k)
         found = found.join(lacking, F.col("q") == F.col("id"), "left_anti").unionByName(again)
     found = found.unionByName(exact(queries.select(F.col("id").alias("q"), F.col("id").alias("v")), queries, distinct))
