@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,16 @@ def test_totals_form_no_pairs(spark):
         ids = [i for i, n in enumerate(there) if n != there[key]]
         assert got[key] == (len(ids), sum(ids) + len(ids) * 2**45)
     assert 3 not in got and 1 not in got  # unknown, and below two
+
+
+def test_members_are_numbered_by_block():
+    """Pairs of blocks compare dictionaries, in which nulls and both zeros are one member each, in whatever chunks the rows come."""
+    draw = random.Random(5)
+    rows = [[[draw.choice([None, -0.0, 0.0, 1.5, 2.0, float("nan")]) for _ in range(draw.randint(0, 3))] for _ in range(n)] for n in (9, 7)]
+    one = lambda r: [list({repr(0.0 if x == 0 else x): x for x in s}.values()) for s in r]
+    a, b = (totals._numbered(pa.table({"x": pa.chunked_array([pa.array(r[:4], pa.list_(pa.float64())), pa.array(r[4:], pa.list_(pa.float64()))])})) for r in map(one, rows))
+    assert all(pa.types.is_dictionary(t.schema.field("x").type.value_type) for t in (a, b))
+    common, size_a, size_b = totals._shared(*(totals._array(t, "x") for t in (a, b)))
+    key = lambda s: {repr(0.0 if x == 0 else x) for x in s}
+    assert common.tolist() == [[len(key(p) & key(q)) for q in one(rows[1])] for p in one(rows[0])]
+    assert size_a[:, 0].tolist() == [len(p) for p in one(rows[0])]

@@ -58,8 +58,21 @@ def _columns(c: Compiler, predicates: list[Predicate]) -> dict[str, list[Column]
     return sides
 
 
+def _numbered(table: pa.Table) -> pa.Table:
+    """The table, sets' members as numbers in a dictionary of the block's, so that pairs of blocks compare dictionaries."""
+    for at, field in enumerate(table.schema):
+        if pa.types.is_list(field.type):
+            column = _array(table, field.name)
+            flat = column.flatten()
+            if pa.types.is_floating(flat.type):
+                flat = pc.add(flat, 0.0)  # -0.0 is 0.0
+            starts = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())].astype(np.int32)
+            table = table.set_column(at, field.name, pa.ListArray.from_arrays(pa.array(starts), flat.dictionary_encode(null_encoding="encode")))
+    return table
+
+
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """block: Arrow streams of at most size rows each."""
+    """block: Arrow streams of at most size rows each, sets as _numbered() has them."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -72,6 +85,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
                 if len(part) < size and not last:
                     held.extend(part.to_batches())
                     break
+                part = _numbered(part)
                 out = pa.BufferOutputStream()
                 with pa.ipc.new_stream(out, part.schema) as stream:
                     stream.write_table(part)
@@ -104,22 +118,27 @@ def _codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes[: len(a)], codes[len(a) :]
 
 
+def _marks(sets: pa.Array, place: np.ndarray, members: int) -> np.ndarray:
+    """For each set (a row) which members it has; place gives each number's, or -1."""
+    row = np.repeat(np.arange(len(sets)), np.diff(sets.offsets.to_numpy()))
+    at = place[sets.flatten().indices.to_numpy(zero_copy_only=False)] if len(row) else row
+    mark = np.zeros((len(sets), members), np.float32)
+    mark[row[at >= 0], at[at >= 0]] = 1
+    return mark
+
+
 def _shared(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How many members each set of a shares with each of b, and how many they have."""
-    x, y = _codes(a.flatten(), b.flatten())
-    rows = [np.repeat(np.arange(len(s)), np.diff(s.offsets.to_numpy())) for s in (a, b)]
+    x, y = (s.flatten().dictionary for s in (a, b))
+    nth = pc.index_in(y, value_set=x)
+    both = np.flatnonzero(nth.is_valid().to_numpy(zero_copy_only=False))
     common = np.zeros((len(a), len(b)), np.float32)
-    members = np.intersect1d(x, y)
-    for at in range(0, len(members), MEMBERS):
-        part = members[at : at + MEMBERS]
-        marks = []
-        for s, codes, row in ((a, x, rows[0]), (b, y, rows[1])):
-            nth = np.minimum(np.searchsorted(part, codes), len(part) - 1)
-            here = part[nth] == codes
-            mark = np.zeros((len(s), len(part)), np.float32)
-            mark[row[here], nth[here]] = 1
-            marks.append(mark)
-        common += marks[0] @ marks[1].T
+    for at in range(0, len(both), MEMBERS):
+        in_b = both[at : at + MEMBERS]
+        places = [np.full(len(d), -1, np.int64) for d in (x, y)]
+        for place, own in zip(places, (nth.take(pa.array(in_b)).to_numpy(zero_copy_only=False), in_b), strict=True):
+            place[own] = np.arange(len(in_b))
+        common += _marks(a, places[0], len(in_b)) @ _marks(b, places[1], len(in_b)).T
     return common, np.diff(a.offsets.to_numpy())[:, None], np.diff(b.offsets.to_numpy())[None]
 
 
