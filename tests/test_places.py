@@ -15,6 +15,13 @@ def test_rules_are_dealt(spark):
         assert plan(df).count("REPARTITION_BY_NUM") >= 3 and "rule_id" in plan(df)
 
 
+def test_rules_are_not_broadcast(spark):
+    """Tables of a row or more for each rule are joined where they were dealt, though a small file makes them."""
+    for df in graph_tables(part_rules(spark, "/root/testdata/sf0.001")):
+        df.write.format("noop").mode("overwrite").save()
+        assert "BroadcastHashJoin" not in plan(df) and "SortMergeJoin" in plan(df)
+
+
 def test_texts_are_dealt(spark):
     texts = spark.createDataFrame([(n, f"a b{n % 3} c") for n in range(20)], "id long, text string")
     _, shared = shared_tokens(texts.limit(3), texts, "id", "text", "id", "text")

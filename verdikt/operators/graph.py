@@ -126,7 +126,7 @@ def rule_summaries(rules: DataFrame, predicates: DataFrame) -> DataFrame:
     )
     said = predicates.select("rule_id", F.struct("pos", F.concat_ws(" ", F.concat_ws(".", "left_scope", "left_attr"), "op", literal).alias("text")).alias("c")).groupBy("rule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c.text), " AND ").alias("when"))
     line = F.concat("rule_id", F.lit(": effect="), "effect", F.lit("; actions=["), F.array_join("actions", ", "), F.lit("]; when "), F.coalesce("when", F.lit("TRUE")))
-    return rules.join(said, "rule_id", "left").select("rule_id", line.alias("summary"))
+    return rules.hint("merge").join(said.hint("merge"), "rule_id", "left").select("rule_id", line.alias("summary"))
 
 
 def graph_tables(made: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +151,8 @@ def graph_tables(made: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     def node(rows: DataFrame, rank: int, node_id: Column, of: Column, values: Column, *order: Column) -> DataFrame:
         return rows.select(node_id.alias("node_id"), of.alias("kind"), values.alias("props"), F.array(F.lit(rank).cast("string"), *(F.lpad(o.cast("string"), 12, "0") for o in order)).alias("at"))
 
-    by_rule = predicates.join(rules.select("rule_id", c("pos").alias("rule_pos")), "rule_id")
+    # what a rule becomes isn't counted by estimates that see the bytes of its file: joins are of shuffled rows, no side is broadcast
+    by_rule = predicates.hint("merge").join(rules.select("rule_id", c("pos").alias("rule_pos")).hint("merge"), "rule_id")
     used = by_rule.select("rule_pos", "pos", "rule_id", "predicate_id", F.inline(F.array_compact(F.array(
         F.struct(F.lit("left").alias("side"), c("left_scope").alias("scope"), c("left_attr").alias("name")),
         F.when(c("right_kind") == "attribute", F.struct(F.lit("right").alias("side"), c("right_scope").alias("scope"), c("right_attr").alias("name"))),
@@ -165,7 +166,7 @@ def graph_tables(made: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
         node(made["policy"], 0, policy, F.lit("Policy"), props(domain=c("domain"), version=c("version"), combining=c("combining"))),
         node(attributes, 1, attribute(c("scope"), c("name")), kind(c("scope")), props(name=c("name"), datatype=c("datatype"))),
         node(rules.select(F.explode("actions").alias("name")).distinct(), 2, text("Action:", c("name")), F.lit("Action"), props(name=c("name"))),
-        node(rules.join(rule_summaries(rules, predicates), "rule_id"), 3, rule, F.lit("Rule"), props(effect=c("effect"), priority=c("priority"), source=c("source"), summary=c("summary")), c("pos")),
+        node(rules.hint("merge").join(rule_summaries(rules, predicates).hint("merge"), "rule_id"), 3, rule, F.lit("Rule"), props(effect=c("effect"), priority=c("priority"), source=c("source"), summary=c("summary")), c("pos")),
         node(inner, 3, expr(c("node_id")), F.lit("Expr"), props(op=c("op"))),
         node(predicates, 3, condition, F.lit("Condition"), props(op=c("op"), left=text(c("left_scope"), ".", c("left_attr")))),
         node(used, 4, attribute(c("scope"), c("name")), kind(c("scope")), props(name=c("name"), datatype=F.lit("string")), c("rule_pos"), c("pos")),
@@ -179,8 +180,8 @@ def graph_tables(made: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     edge = lambda rows, src, label, dst, side=None: rows.select(src.alias("src"), F.lit(label).alias("label"), dst.alias("dst"), (F.lit(None).cast("string") if side is None else side).alias("side"))
     ends = expressions.select(c("rule_id").alias("r"), c("node_id").alias("n"), (F.upper("op") == "PRED").alias("leaf"), c("predicate_id").alias("leaf_of"))
     leads = inner.select("rule_id", "node_id", F.explode("children").alias("child")).repartition(places, "rule_id", "child")
-    children = leads.join(ends.repartition(places, "r", "n"), (c("rule_id") == c("r")) & (c("child") == c("n")))
-    roots = rules.repartition(places, "rule_id", "root").join(ends.filter("NOT leaf").repartition(places, "r", "n"), (c("rule_id") == c("r")) & (c("root") == c("n")))
+    children = leads.hint("merge").join(ends.repartition(places, "r", "n").hint("merge"), (c("rule_id") == c("r")) & (c("child") == c("n")))
+    roots = rules.repartition(places, "rule_id", "root").hint("merge").join(ends.filter("NOT leaf").repartition(places, "r", "n").hint("merge"), (c("rule_id") == c("r")) & (c("root") == c("n")))
     edges = [
         edge(rules.join(F.broadcast(made["policy"])), policy, "HAS_RULE", rule),  # one row
         edge(rules.select("rule_id", F.explode("actions").alias("action")), rule, "USES_ACTION", text("Action:", c("action"))),
