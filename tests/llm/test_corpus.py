@@ -94,6 +94,23 @@ def test_hot_classes(spark):
     assert got == {i: top(i) for i in range(len(texts))}
 
 
+def test_one_meeting(spark, monkeypatch):
+    """Texts of a hot class that are a little under the line to a small one are aligned without a second meeting."""
+    from verdikt.llm import order_minhash
+
+    meetings, meet = [], order_minhash._apart
+    monkeypatch.setattr(order_minhash, "_apart", lambda *given: meetings.append(0) or meet(*given))
+    changed = lambda own, **new: [new.get(f"w{i}", w) for i, w in enumerate(own)]
+    base = words(300, 260)
+    near = changed(base, w50="near3", w100="near2", w150="near3", w200="near4")
+    texts = [changed(base, w20=f"hot{i}") for i in range(20)] + [changed(near, w240=f"small{i}") for i in range(3)]
+    assert 0.78 < jaccard(texts[0], texts[20]) < 0.8
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: 0 if i < 20 else 20 for i in range(23)}
+    assert len(meetings) == 1
+
+
 def test_alignment():
     draw = np.random.default_rng(8)
     for _ in range(60):

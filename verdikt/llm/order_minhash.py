@@ -25,6 +25,9 @@ ORDERS = 3
 LED = 500
 #: Bytes of signatures, about, in one block of a bucket's members.
 BLOCK_BYTES = 1 << 20
+#: Of a class's pairs with a text, so many are given by a meeting, the likeliest first, and so many are
+#: aligned at first, then eight times as many of those that are still apart, and so on.
+MET, ALIGNED = 256, 4
 #: A text has fewer shingles than bytes, and a string fewer bytes than 2**31.
 _POSITION = np.uint64((1 << 32) - 1)
 
@@ -97,8 +100,7 @@ def signature(labels: np.ndarray) -> bytes:
 
 
 def _sketched(documents: DataFrame, id_column: str, text_column: str, size: int, hashes: int) -> DataFrame:
-    """id, k1, k2, t (128 bits of the text; of the whole row if the text has no words), n, sketches and signature of all
-    rows."""
+    """id, k1, k2, t (128 bits of the text; of the whole row if the text has no words), n and sketches of all rows."""
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     rows = documents.select(F.col(f"`{id_column}`").alias("id"), *row_key(f"`{id_column}`", f"`{text_column}`"), F.unhex(F.md5(text.cast("binary"))).alias("t"), text.alias("text"))
 
@@ -109,16 +111,30 @@ def _sketched(documents: DataFrame, id_column: str, text_column: str, size: int,
                 found, bounds = shingles(*word_hashes(data, at[a : b + 1]), size)
                 labels = labelled(found, bounds)
                 made = sketches(labels, bounds, hashes).view(np.int64)
-                marks = [signature(labels[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 column = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * hashes, pa.int32()), pa.array(made.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(4)), pa.array(np.diff(bounds).astype(np.int64)), column, pa.array(marks, pa.binary())], names=["id", "k1", "k2", "t", "n", "sketches", "signature"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(4)), pa.array(np.diff(bounds).astype(np.int64)), column], names=["id", "k1", "k2", "t", "n", "sketches"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    made = rows.mapInArrow(sketch, f"id {kind}, k1 long, k2 long, t binary, n long, sketches array<long>, signature binary")
+    made = rows.mapInArrow(sketch, f"id {kind}, k1 long, k2 long, t binary, n long, sketches array<long>")
     alone = F.unhex(F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
     return made.withColumn("t", F.when(F.col("n") > 0, F.col("t")).otherwise(alone))
 
 
+def _signed(texts: DataFrame, size: int) -> DataFrame:
+    """t, text and signature of texts (t, text)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column(1))
+            for a, b in chunks(at):
+                found, bounds = shingles(*word_hashes(data, at[a : b + 1]), size)
+                labels = labelled(found, bounds)
+                marks = [signature(labels[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(2)), pa.array(marks, pa.binary())], names=["t", "text", "signature"])
+
+    return texts.mapInArrow(sign, "t binary, text string, signature binary")
+
+
 #: Shingles that occur more often in a text keep their places as one number, others as a list.
 _OFTEN = 2048
 
@@ -219,9 +235,9 @@ def folded(signature: np.ndarray) -> np.ndarray:
     return signature[:, :half] ^ signature[:, half:]
 
 
-def close_members(n: np.ndarray, root: np.ndarray, minor: np.ndarray, signatures: list[bytes], a: np.ndarray, b: np.ndarray, least: float, most: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+def close_members(n: np.ndarray, root: np.ndarray, minor: np.ndarray, signatures: list[bytes], a: np.ndarray, b: np.ndarray, least: float, most: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
     """For each of b, of other classes than its own those of a whose signatures allow a link: their places, its place,
-    and whether more of that class were left out. Of each class the most likeliest are given. Members stand in order of
+    how many of that class are likelier, and whether more of it were left out. Of each class the most likeliest are given. Members stand in order of
     their ids, and two that are both minor meet once."""
     a = a[np.argsort(n[a], kind="stable")]
     sizes = np.array([len(signatures[i]) for i in a])
@@ -251,7 +267,7 @@ def close_members(n: np.ndarray, root: np.ndarray, minor: np.ndarray, signatures
             count = np.diff(np.r_[first, found.shape[1]])
             nth = np.arange(found.shape[1]) - np.repeat(first, count)
             keep = nth < most
-            yield found[2, keep], i, np.repeat(count > most, count)[keep]
+            yield found[2, keep], i, nth[keep], np.repeat(count > most, count)[keep]
 
 
 #: Who is there to be met, who meets them, and who does both.
@@ -290,8 +306,8 @@ def _arenas(members: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, signatures: DataFrame, least: float, most: int) -> DataFrame:
-    """t, leader and more: pairs of a bucket's members of different classes that their signatures allow to be linked, of
-    each class the most likeliest for a member; more tells whether that left out any.
+    """t, leader, nth and more: pairs of a bucket's members of different classes that their signatures allow to be linked,
+    of each class the most likeliest for a member, counted by nth from 0; more tells whether that left out any.
 
     members: t, n, root and buckets (an array). Members of an arena meet in blocks of signatures of about BLOCK_BYTES: a
     block pair is a row, pairs of members aren't.
@@ -318,15 +334,16 @@ def _apart(members: DataFrame, signatures: DataFrame, least: float, most: int) -
                 names = {r: i for i, r in enumerate(set(root))}
                 found = list(close_members(n, np.array([names[r] for r in root]), minor, signature, np.flatnonzero(side == THERE), np.flatnonzero(side == ASKING), least, most))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([t[i] for near, _, _ in found for i in near], pa.binary()), pa.array([t[i] for near, i, _ in found for _ in near], pa.binary()), pa.array(np.concatenate([more for _, _, more in found]))], names=["t", "leader", "more"])
+                    yield pa.RecordBatch.from_arrays([pa.array([t[i] for near, _, _, _ in found for i in near], pa.binary()), pa.array([t[i] for near, i, _, _ in found for _ in near], pa.binary()), *(pa.array(np.concatenate([row[k] for row in found])) for k in (2, 3))], names=["t", "leader", "nth", "more"])
 
-    return met.mapInArrow(meet, "t binary, leader binary, more boolean").groupBy("t", "leader").agg(F.bool_or("more").alias("more"))
+    return met.mapInArrow(meet, "t binary, leader binary, nth long, more boolean").groupBy("t", "leader").agg(F.min("nth").alias("nth"), F.bool_or("more").alias("more"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for the nodes of links (a, b), by rounds of taking the least
     label around and of jumping to the label's own label, until nothing changes. Labels are kept as tables."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    links = written(links.select("a", "b"), "links")
+    edges = links.union(links.select("b", "a"))
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
     while True:
         around = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
@@ -343,36 +360,48 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     candidates and exact copies. For the rest see near_duplicates."""
     bounded_batches(documents.sparkSession)
     rows = written(_sketched(documents, id_column, text_column, shingle_words, hashes), "sketches")
-    texts = rows.filter("n > 0").groupBy("t").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    spread = texts.select("t", "n", F.posexplode("sketches").alias("j", "value"))
-    bands = written(spread.select("value", "t", "n", F.xxhash64("t", F.pmod("j", F.lit(ORDERS))).alias("rank")), "bands")
+    # of each distinct text its first row is the one whose text is fetched
+    texts = written(rows.filter("n > 0").groupBy("t").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.min(F.struct("id", "k1", "k2")).alias("owner")), "texts")
+    bands = texts.select("t", "n", F.posexplode("sketches").alias("j", "value")).select("value", "t", "n", F.xxhash64("t", F.pmod("j", F.lit(ORDERS))).alias("rank"))
     leaders = bands.groupBy("value").agg(F.min(F.struct("rank", "t", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1").select("value", "lead")
     met = written(spread_join(bands, leaders, ["value"], "t").filter(F.col("t") != F.col("lead.t")).select("value", "t", "n", F.col("lead.t").alias("leader"), F.col("lead.n").alias("leader_n")), "met")
-    wanted = written(met.select("t").union(met.select("leader")).distinct(), "wanted")
+    placed = written(met.select("value", "t", "n").union(met.select("value", "leader", "leader_n")).groupBy("t", "n").agg(F.collect_set("value").alias("buckets")), "buckets")
 
-    # the texts of all buckets, fetched once: of each distinct text its first row's
-    owners = rows.filter("n > 0").groupBy("t").agg(F.min(F.struct("id", "k1", "k2")).alias("owner")).join(wanted, "t").select("t", F.col("owner.k1").alias("k1"), F.col("owner.k2").alias("k2"))
+    # the texts of all buckets, fetched once
+    owners = texts.join(placed.select("t"), "t").select("t", F.col("owner.k1").alias("k1"), F.col("owner.k2").alias("k2"))
     keyed = documents.select(*row_key(f"`{id_column}`", f"`{text_column}`"), F.col(f"`{text_column}`").alias("text"))
-    held = written(keyed.join(owners, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("t", "text"), "candidates")
+    held = written(_signed(keyed.join(owners, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("t", "text"), shingle_words), "candidates")
 
     fits = F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n")
     shown = written(_verified(met.filter(fits).select("t", "leader").distinct(), held, shingle_words, similarity), "verified")
     roots = components(shown.filter("linked").select(F.col("t").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("node", "t")
-    in_buckets = met.select("value", "t", "n").union(met.select("value", "leader", "leader_n").distinct()).groupBy("t", "n").agg(F.collect_list("value").alias("buckets"))
-    members = written(in_buckets.join(roots, "t", "left").select("t", "n", "buckets", F.coalesce("root", "t").alias("root")), "members")
+    members = written(placed.join(roots, "t", "left").select("t", "n", "buckets", F.coalesce("root", "t").alias("root")), "members")
 
-    # what leaders left in different classes of a bucket; once two classes are one, their other pairs needn't meet
-    signatures = rows.filter("n > 0").join(wanted, "t", "left_semi").groupBy("t").agg(F.first("signature").alias("signature"))
-    most = 4
-    while True:
-        pairs = written(_apart(members, signatures, similarity, most), "apart")
+    def apart(pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """pairs whose texts are in different classes, a and b."""
+        root = lambda t, to: members.select(F.col("t").alias(t), F.col("root").alias(to))
+        return pairs.join(root("t", "a"), "t").join(root("leader", "b"), "leader").filter("a <> b")
+
+    def joined(pairs: DataFrame, shown: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """shown and members after pairs are verified, those that are known left out."""
         known = shown.select("t", "leader").union(shown.select("leader", "t"))
         more = written(_verified(pairs.select("t", "leader").join(known, ["t", "leader"], "left_anti"), held, shingle_words, similarity), "verified")
-        shown = shown.union(more)
-        ends = lambda df: df.join(members.select("t", F.col("root").alias("a")), "t").join(members.select(F.col("t").alias("leader"), F.col("root").alias("b")), "leader")  # noqa: E731, B023
-        whole = components(ends(more.filter("linked")).select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("whole"))
-        members = written(spread_join(members, whole, ["root"], "t", "left").select("t", "n", "buckets", F.coalesce("whole", "root").alias("root")), "members")
-        if ends(pairs.filter("more")).filter("a <> b").isEmpty():
+        whole = components(apart(more.filter("linked"), members).select("a", "b").distinct()).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+        members = spread_join(members, whole, ["root"], "t", "left").select("t", "n", "buckets", F.coalesce("whole", "root").alias("root"))
+        return shown.union(more), written(members, "members")
+
+    # what leaders left in different classes of a bucket; once two classes are one, their other pairs needn't be aligned: a
+    # meeting gives more pairs than are aligned at first, and few meet again
+    signatures, most = held.select("t", "signature"), MET
+    while True:
+        rest, low, high = written(_apart(members, signatures, similarity, most), "apart"), 0, ALIGNED
+        while True:
+            shown, members = joined(rest.filter((F.col("nth") >= low) & (F.col("nth") < high)), shown, members)
+            rest = written(apart(rest.filter((F.col("nth") >= high) | F.col("more")), members).select("t", "leader", "nth", "more"), "rest")
+            low, high = high, high * 8
+            if low >= most or rest.isEmpty():
+                break
+        if rest.filter("more").isEmpty():
             break
         most *= 8
     return spread_join(rows.select("id", "k1", "k2", "t"), members.select("t", "root"), ["t"], "k1", "left").select("id", "k1", "k2", F.coalesce("root", "t").alias("class"))
