@@ -53,3 +53,17 @@ def test_expressions(spark):
     got = circular_expressions(spark.createDataFrame(rows, "rule_id string, node_id string, children array<string>")).collect()
     assert {tuple(r) for r in got} == {("R1", "A", 2), ("R3", "Z", 1)}
     assert circular_expressions(spark.createDataFrame([], "rule_id string, node_id string, children array<string>")).collect() == []
+
+
+def test_splicing(spark, monkeypatch):
+    """Long chains, closed and open, a pair and a knot are spliced before anything is doubled: same circles, few nodes left."""
+    from verdikt.operators import cycles
+
+    doubled, chained = [], cycles._chained
+    monkeypatch.setattr(cycles, "SPLICED_OVER", 8)
+    monkeypatch.setattr(cycles, "_chained", lambda through: doubled.append(through.count()) or chained(through))
+    edges = [(i, (i + 1) % 300) for i in range(300)] + [(1000 + i, 1001 + i) for i in range(200)] + [(1200, 1100)] + [(5000, 5001), (5001, 5000), (6000, 6000), (6000, 7000)]
+    edges += [(8000, 8001), (8001, 8002), (8002, 8000), (8001, 8003), (8003, 8000)]
+    got = {r.node: r.circle for r in cycles.circles(spark.createDataFrame(edges, "u int, v int")).collect()}
+    assert got == {i: 0 for i in range(300)} | {i: 1100 for i in range(1100, 1201)} | {5000: 5000, 5001: 5000, 6000: 6000} | {i: 8000 for i in range(8000, 8004)}
+    assert sum(doubled) < 100

@@ -1,6 +1,8 @@
 """Circles in graphs kept as tables, as expressions and their children: by recursion over written tables.
 
-What can't lie on a circle is raked off (nodes that nothing leads to, or that lead nowhere), and chains of nodes with one way in
+Nodes are numbered first, so that only numbers are shuffled again and again. In large graphs a third of a chain's nodes, about,
+is spliced out at a time, so that what is left to shuffle falls by a third each time and all of it together is no more than a
+few times the edges. What can't lie on a circle is raked off (nodes that nothing leads to, or that lead nowhere), and chains of nodes with one way in
 and one way out are compressed to one edge by pointer doubling, again and again: a long chain or a deep tree takes a few
 rounds, not one for each step. What stays is a core of knots, whose strongly connected parts are found by least labels
 carried forward and then back. Then compressed nodes get their edge's part.
@@ -91,6 +93,22 @@ def _parts(edges: DataFrame) -> DataFrame:
     return found
 
 
+#: Above so many edges, chains are spliced until a share of the edges is left; doubling moves all nodes in each round.
+SPLICED_OVER, SPLICED_TO = 1 << 16, 1 / 16
+
+
+def _spliced(edges: DataFrame, nth: int) -> tuple[DataFrame, DataFrame]:
+    """edges without some nodes that have one way in and one way out, each of which is bridged by an edge, and node, start
+    and end of those. No two of them are neighbours: a node goes if its hash is less than that of the nodes on both sides."""
+    h = lambda c: F.xxhash64(F.lit(nth), c)
+    out = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("end"), F.max("v").alias("other")).filter("end = other").drop("other")
+    in_ = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("start"), F.max("u").alias("other")).filter("start = other").drop("other")
+    links = written(out.join(in_, "node").filter((h("node") < h("start")) & (h("node") < h("end"))).select("node", "start", "end"), "compressed")
+    gone, ahead = links.select(F.col("node").alias("x")), links.select(F.col("node").alias("x"), "end")
+    left = edges.join(gone, edges.u == gone.x, "left_anti").join(ahead, F.col("v") == F.col("x"), "left").select("u", F.coalesce("end", "v").alias("v"))
+    return written(left, "edges"), links
+
+
 def circles(edges: DataFrame) -> DataFrame:
     """node and circle for every node of edges (u, v, of one type) that some way leads back to itself. circle is the least node of
     its strongly connected part, so each circle, with all that are knotted with it, has one name.
@@ -98,10 +116,23 @@ def circles(edges: DataFrame) -> DataFrame:
     Null ends are dropped, repeated edges count once, an empty table gives none.
     """
     kind = edges.schema["u"].dataType.simpleString()
-    whole = written(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL").distinct(), "edges")
+    edges = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL")
+    names = written(edges.select(F.col("u").alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()), "names")  # a node without a way out is on no circle
+    number = lambda side: names.select(F.col("name").alias(f"{side}_"), F.col("id").alias(f"{side}n"))
+    whole = written(edges.join(number("u"), F.col("u") == F.col("u_")).select("un", "v").join(number("v"), F.col("v") == F.col("v_")).select(F.col("un").alias("u"), F.col("vn").alias("v")).distinct(), "edges")
     own = whole.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("part"))  # also a circle alone
     edges, n = written(whole.filter("u <> v"), "edges"), -1
     closed, compressed, loops = None, [], own
+    first = size = edges.count()
+    while size > max(SPLICED_OVER, SPLICED_TO * first):
+        before, (bridged, links) = size, _spliced(edges, len(compressed))
+        compressed.append(links)
+        loops = loops.unionByName(bridged.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("part")))
+        edges = bridged.filter("u <> v")
+        size = edges.count()
+        if size > 0.9 * before:
+            break
+    edges = written(edges.distinct(), "edges") if compressed else edges
     while (size := edges.count()) and (n < 0 or size < 0.8 * n):  # what is left then is for the core
         n = size
         edges = _raked(written(_raked(edges), "edges"))
@@ -131,8 +162,9 @@ def circles(edges: DataFrame) -> DataFrame:
         fresh = ends.join(known.select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left_anti")
         known = written(known.unionByName(inner.select("node", F.col("start_part").alias("part"))).unionByName(fresh), "parts")
     known = known.unionByName(single(known))
-    least = known.groupBy("part").agg(F.min("node").alias("circle"))
-    return known.join(least, "part").select(F.col("node").cast(kind).alias("node"), "circle")
+    named = written(known.join(names, F.col("node") == F.col("id")).select("name", "part"), "named")
+    least = named.groupBy("part").agg(F.min("name").alias("circle"))
+    return named.join(least, "part").select(F.col("name").cast(kind).alias("node"), "circle")
 
 
 def circular_expressions(expressions: DataFrame) -> DataFrame:
