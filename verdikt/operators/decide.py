@@ -89,15 +89,38 @@ def _no_action() -> Column:
     return F.col("action").isNull() | (F.col("action") == UNKNOWN_TOKEN)
 
 
-def decision(policy: Policy, requests: DataFrame, strict: bool = False) -> Column:
-    """The decision alone, for tables too large for traces: a cascade over booleans."""
-    c = Compiler(policy, requests, strict)
-    true = [(r.denies, F.coalesce(c.applies(r) & c.value(r), F.lit(False))) for r in policy.rules]
-    open_ = [c.applies(r) & c.value(r).isNull() for r in policy.rules]
+class Judged(Compiler):
+    """Rules over what is judged already: columns for predicates' outcomes, for whether rules' actions fit, and for the values
+    of whole rules, where they are given; each by the identity of the predicate or rule."""
+
+    def __init__(self, policy: Policy, requests: DataFrame, outcomes: dict[int, Column], fits: dict[int, Column], values: dict[int, Column]) -> None:
+        super().__init__(policy, requests)
+        self.outcomes, self.fits, self.values = outcomes, fits, values
+
+    def predicate(self, p: Predicate) -> tuple[Column, Column]:
+        return self.outcomes[id(p)], F.array().cast("array<string>")
+
+    def value(self, rule: Rule, node: str | None = None) -> Column:
+        return self.values[id(rule)] if node is None and id(rule) in self.values else super().value(rule, node)
+
+    def applies(self, rule: Rule) -> Column:
+        return self.fits[id(rule)]
+
+
+def combined(c: Compiler) -> Column:
+    """The decision by a compiler's rules: a cascade over booleans."""
+    rules = c.policy.rules
+    true = [(r.denies, F.coalesce(c.applies(r) & c.value(r), F.lit(False))) for r in rules]
+    open_ = [c.applies(r) & c.value(r).isNull() for r in rules]
     denied, permitted = ([v for denies, v in true if denies == d] for d in (True, False))
     return F.when(_no_action(), INSUFFICIENT).when(any_true(denied), DENY).when(any_true(permitted), PERMIT).when(any_true(open_), INSUFFICIENT).otherwise(DENY)
 
 
+def decision(policy: Policy, requests: DataFrame, strict: bool = False) -> Column:
+    """The decision alone, for tables too large for traces."""
+    return combined(Compiler(policy, requests, strict))
+
+
 def decide(requests: DataFrame, policy: Policy, strict: bool = False) -> DataFrame:
     """requests with a column decision. strict: a comparison of order between known values that have none is an error."""
     return requests.withColumn("decision", decision(policy, requests, strict))
