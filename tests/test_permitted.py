@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,51 @@ def test_members_are_numbered_by_block():
     key = lambda s: {repr(0.0 if x == 0 else x) for x in s}
     assert common.tolist() == [[len(key(p) & key(q)) for q in one(rows[1])] for p in one(rows[0])]
     assert size_a[:, 0].tolist() == [len(p) for p in one(rows[0])]
+
+
+@pytest.mark.parametrize("mapped", [512, 2])
+@pytest.mark.parametrize("name", CASES)
+def test_totals_by_bits(spark, name, mapped, monkeypatch):
+    """Blocks of more than a word, in slices of a few rows, with a bitmap for each value and without, equal resources met as one."""
+    for constant, value in (("SUBJECT_ROWS", 100), ("RESOURCE_ROWS", 70), ("WORDS", 26), ("STEP", 3), ("MAPPED", mapped)):
+        monkeypatch.setattr(totals, constant, value)
+    subjects, resources, made = people(spark, "subject", 3, 110), people(spark, "resource", 4, 140), policy(*CASES[name])
+    resources = resources.unionByName(resources.select(resources.resource.withField("id", resources.resource.id + 1000).alias("resource")))
+    product = subjects.crossJoin(resources).withColumn("action", F.lit("go"))
+    want = {}
+    for r in decide(product, made).filter("decision = 'Permit'").select("subject.id", F.col("resource.id").alias("of")).groupBy("id").agg(F.count("*").alias("n"), F.sum("of").alias("of")).collect():
+        want[r.id] = (r.n, r.of)
+    found = totals.permitted_totals(subjects, resources, made, "go", F.col("subject.id"), {"of": F.col("resource.id").cast("long")})
+    assert {r.key: (r.n, r.of) for r in found.collect()} == want
+
+
+def test_equal_resources_are_one(spark):
+    """Of a great many resources in a few kinds and many subjects, whose pairs couldn't be judged one by one in the time."""
+    side = lambda scope, n: spark.range(n).select(F.struct(F.col("id"), *((F.col("id") % 7 if c == "n" else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", ")[1:]))).alias(scope))
+    found = totals.permitted_totals(side("subject", 100_000), side("resource", 2_000_000), policy(*CASES["no link"]), "go", F.col("subject.id"), {"of": F.col("resource.id")})
+    got = {r.key: (r.n, r.of) for r in found.filter("key < 7").collect()}
+    each = {k: (len(range(k, 2_000_000, 7)), sum(range(k, 2_000_000, 7))) for k in range(7)}
+    assert got == {k: tuple(sum(each[o][i] for o in each if o != k) for i in (0, 1)) for k in range(2, 7)}
+
+
+def test_weights_are_summed_over_bits():
+    """Numbers of any size and sign, in blocks that end within a word and are wider than sums of lanes."""
+    draw = random.Random(9)
+    for rows, most in ((1, 5), (64, 1), (700, 2**50), (300_000, 3)):
+        weights = [draw.randint(-most, most) for _ in range(rows)]
+        words = -(-rows // 64)
+        marks = [[draw.random() < 0.9 for _ in range(rows)] for _ in range(2)]
+        bits = np.concatenate([totals._bitmaps(np.zeros(sum(m), int), np.flatnonzero(m), 1, words) for m in marks])
+        got = totals._Weights(np.array(weights), words).sums(bits, np.bitwise_count(bits), np.empty_like(bits))
+        assert got.tolist() == [sum(w for w, m in zip(weights, mark, strict=True) if m) for mark in marks]
+
+
+def test_unions_of_bitmaps():
+    """Tables of eight bitmaps each, for rows that mark many of them, few or none."""
+    draw = random.Random(11)
+    bitmaps = np.array([[draw.getrandbits(64) for _ in range(3)] for _ in range(19)], np.uint64)
+    masks = np.array([[draw.random() < p for _ in range(19)] for p in (0, 0, 0.05, 0.5, 1, 0.05, 0)])
+    rows = np.array([4, 0, 2, 3, 5, 6])
+    union = totals._unions(masks, bitmaps)
+    for some in (rows, rows[:1], rows[1:2]):
+        assert union(some).tolist() == [np.bitwise_or.reduce(bitmaps[masks[r]], initial=np.uint64(0)).tolist() for r in some]
